@@ -77,21 +77,21 @@ def lag_within_user(df: DataFrame, user: str, time_col: str, tiebreak: str,
     x = x.withColumn("_slice", F.when(F.col("_slices").isNull(), F.lit(0)).otherwise(
         F.least(F.floor((t - F.col("_t0")) * F.col("_slices") / F.col("_span")), F.col("_slices") - 1)
     ).cast("long")).drop("_t0", "_span")
-    w = Window.partitionBy(user, "_slice").orderBy(F.col(time_col), F.col(tiebreak))
-    for c in cols:
-        x = x.withColumn("_lag_" + c, F.lag(c, 1).over(w))
-    x = x.withColumn("_first", F.row_number().over(w) == 1)
-    # last row of every slice of hot users, handed to the next slice
+    # last row of every slice of hot users (only hot rows pass the filter),
+    # handed to the next slice of the same user
     last = (x.filter(F.col("_slices").isNotNull())
             .groupBy(user, "_slice")
             .agg(F.max(F.struct(F.col(time_col).alias("_t"), F.col(tiebreak).alias("_tb"),
                                 *[F.col(c) for c in cols])).alias("_last")))
     carry = last.withColumn("_carry", F.lag("_last", 1).over(Window.partitionBy(user).orderBy("_slice"))) \
                 .select(user, "_slice", "_carry")
+    w = Window.partitionBy(user, "_slice").orderBy(F.col(time_col), F.col(tiebreak))
+    x = x.select("*", *[F.lag(c, 1).over(w).alias("_lag_" + c) for c in cols],
+                 (F.row_number().over(w) == 1).alias("_first"))
     x = x.join(carry, [user, "_slice"], "left")
-    for c in cols:
-        x = x.withColumn(prefix + c, F.when(F.col("_first"), F.col("_carry." + c))
-                         .otherwise(F.col("_lag_" + c)))
+    x = x.select(*[c for c in x.columns if c not in ("_carry",)],
+                 *[F.when(F.col("_first"), F.col("_carry." + c)).otherwise(F.col("_lag_" + c)).alias(prefix + c)
+                   for c in cols])
     return x.drop("_slice", "_slices", "_first", "_carry", *["_lag_" + c for c in cols])
 
 

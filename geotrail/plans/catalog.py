@@ -1,6 +1,6 @@
 """All registered queries (importing the modules registers them)."""
 
-from geotrail.plans import cleaning_queries  # noqa: F401
+from geotrail.plans import cleaning_queries, mobility_queries  # noqa: F401
 from geotrail.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
