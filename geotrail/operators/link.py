@@ -27,7 +27,7 @@ def cross_source_posts(posts_b: DataFrame, links: DataFrame) -> DataFrame:
     """All B posts of linked B users in source-A shape (renamed to the A
     user's name), whole-row distinct."""
     l = links.select("user_id", "user_name").distinct()
-    x = posts_b.join(l, "user_id", "inner")
+    x = posts_b.drop("user_name").join(l, "user_id", "inner")
     return x.select("user_name", "media_id", "followers_count", "lat", "lon",
                     F.col("city_name").alias("place_name"), F.col("country_id").alias("country_code")).distinct()
 
