@@ -289,17 +289,19 @@ def propagate(edges: DataFrame, known: DataFrame, rounds: int = 5, keys: Sequenc
               weighted: bool = True, max_dispersion_km: float = PROPAGATION_DISPERSION_KM,
               keep_unlocated: bool = False, checkpoint: bool = True, tile: int = TILE_POINTS,
               sizes: list | None = None) -> DataFrame:
-    """``rounds`` rounds of ``propagate_once``; the known set is written to the
-    reliable checkpoint folder after each round (bounded plan, survives lost
-    executors). When ``sizes`` is a list, the per-round known-set sizes
+    """``rounds`` rounds of ``propagate_once``.
+
+    The edge table is written once to the reliable checkpoint folder; every
+    round's estimates are written by ``medoid_and_dispersion`` itself, so
+    each round starts from stored data: the plan does not grow with the
+    number of rounds and a lost executor never forces recomputation of
+    earlier rounds. When ``sizes`` is a list, the per-round known-set sizes
     (keys..., round, known) are appended to it as DataFrames."""
     cur = known
     if checkpoint:
         edges = cut_lineage(edges)
     for i in range(1, rounds + 1):
         cur = propagate_once(edges, cur, keys, weighted, max_dispersion_km, keep_unlocated, tile)
-        if checkpoint:
-            cur = cut_lineage(cur)
         if sizes is not None:
             sizes.append(cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("known"))
                          .withColumn("round", F.lit(i)))
