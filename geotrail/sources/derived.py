@@ -66,8 +66,8 @@ def posts_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-A posts, raw (create_time as text), one row per event."""
     e = events(spark, sf_dir)
     eid, uid = F.col("event_id"), F.col("user_id")
-    k = _place_key(eid, uid)
-    home = (uid * 5) % 12
+    e = e.select("event_id", "user_id", "ts", _place_key(eid, uid).alias("_k"), ((uid * 5) % 12).alias("_home"))
+    k, home = F.col("_k"), F.col("_home")
     place_lat = _lookup(k, 4) + ((eid * 37) % 200 - 100).cast("double") / 1000
     place_lon = _lookup(k, 5) + ((eid * 53) % 200 - 100).cast("double") / 1000
     tagged = eid % 3 == 0
@@ -117,7 +117,8 @@ def media_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-B media: even events."""
     e = events(spark, sf_dir).filter(F.col("event_id") % 2 == 0)
     eid, uid = F.col("event_id"), F.col("user_id")
-    kb = F.when(eid % 8 == 0, (uid + _div(eid, 8)) % 12).otherwise((uid * 5) % 12)
+    e = e.withColumn("_kb", F.when(eid % 8 == 0, (uid + _div(eid, 8)) % 12).otherwise((uid * 5) % 12))
+    kb = F.col("_kb")
     return e.select(
         F.concat(F.lit("m"), eid.cast("string")).alias("media_id"),
         F.concat(F.lit("b"), uid.cast("string")).alias("user_id"),
