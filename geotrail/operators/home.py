@@ -112,7 +112,12 @@ def medoid_and_dispersion(pts: DataFrame, keys: Sequence[str], tile: int = TILE_
         pts = cut_lineage(pts)
     located = F.col("lat").isNotNull()
     hot = hot_keys(pts.filter(located), keys, tile).select(*keys, F.ceil(F.col("_hot_n") / tile).alias("_ntiles"))
-    flagged = pts.join(F.broadcast(hot), list(keys), "left")
+    # Runtime plan choice, like AQE's: the point table is stored, so asking
+    # whether any key is hot is one small aggregate; without hot keys the
+    # tile branch (several stages) is left out of the plan.
+    any_hot = (not hot.isEmpty()) if materialize else True
+    flagged = pts.join(F.broadcast(hot), list(keys), "left") if any_hot else \
+        pts.withColumn("_ntiles", F.lit(None).cast("long"))
 
     # ordinary keys: one array per key (at most `tile` located points)
     cold = (flagged.filter(F.col("_ntiles").isNull())
@@ -138,6 +143,8 @@ def medoid_and_dispersion(pts: DataFrame, keys: Sequence[str], tile: int = TILE_
                            F.col("_home.label").alias("label"),
                            F.when(F.col("_hp").isNull(), F.lit(0.0)).otherwise(F.col("_disp")).alias("dispersion"),
                            "inferred")
+    if materialize and not any_hot:
+        return cut_lineage(cold_out)
 
     # hot keys: tile pairs
     hp = flagged.filter(F.col("_ntiles").isNotNull())

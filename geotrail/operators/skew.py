@@ -83,7 +83,7 @@ def _median_of_ranked(ranked: DataFrame, keys: Sequence[str], value: str) -> Dat
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None,
-                 hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                 hot_rows: int = DEFAULT_HOT_ROWS, check_empty: bool = False) -> DataFrame:
     """Exact median of ``value`` per key; ``weight`` gives a multiplicity.
 
     Equal to numpy's median of the multiset (mean of the middle pair for an
@@ -91,6 +91,9 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     most ``hot_rows`` distinct values); hot keys are ranked by range
     partitioning so no task holds a whole hot key. Rows with null value or
     non-positive weight are ignored; keys with nothing left are absent.
+    ``check_empty`` runs one small aggregate first and leaves the hot branch
+    out of the plan when no key is hot (for inputs that are cheap to read
+    twice, e.g. stored ones).
     """
     src = df.filter(F.col(value).isNotNull())
     if weight is not None:
@@ -98,10 +101,12 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     if not keys:
         # one global group: always ranked, never gathered in one task
         return _median_of_ranked(cumulative_weight(src, [], [F.col(value)], weight), [], value)
-    src = flag_hot(src, keys, hot_rows)
-    cold = src.filter(F.col("_hot_n").isNull())
     pct = (F.percentile(F.col(value), F.lit(0.5), F.col(weight)) if weight
            else F.percentile(F.col(value), F.lit(0.5)))
+    if check_empty and hot_keys(src, keys, hot_rows).isEmpty():
+        return src.groupBy(*keys).agg(pct.alias(value))
+    src = flag_hot(src, keys, hot_rows)
+    cold = src.filter(F.col("_hot_n").isNull())
     cold_med = cold.groupBy(*keys).agg(pct.alias(value))
     hot = src.filter(F.col("_hot_n").isNotNull()).drop("_hot_n")
     ranked = cumulative_weight(hot, keys, [F.col(value)], weight)
