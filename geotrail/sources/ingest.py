@@ -173,6 +173,15 @@ def read_parquet_batches(spark: SparkSession, path: str, merge_schema: bool = Tr
     return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
 
 
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> str:
+    """Parquet sink (S8): replace the table at ``path``."""
+    w = df.write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return path
+
+
 def write_batch(df: DataFrame, root: str, stamp: str, mode: str = "append") -> str:
     """Append one capture batch under ``root/batch_ts=<stamp>``."""
     df.withColumn("batch_ts", F.lit(stamp)).write.mode(mode).partitionBy("batch_ts").parquet(root)

@@ -75,3 +75,12 @@ def test_residence_parity_uncorrelated_in(spark):
     parity = sorted(tuple(r) for r in mobility.residence(counts, parity=True).collect())
     assert default == [("u1", "FR"), ("u2", "IT")]
     assert parity == [("u1", "DE"), ("u1", "FR"), ("u2", "IT")]
+
+
+def test_stage_counts_exact_and_approx(spark):
+    df = spark.range(0, 1000).select((F.col("id") % 100).cast("string").alias("user_id"),
+                                     F.col("id").cast("string").alias("media_id"))
+    exact = mobility.stage_counts([("all", df)]).collect()[0]
+    approx = mobility.stage_counts([("all", df)], approx=True).collect()[0]
+    assert (exact["posts"], exact["users"]) == (1000, 100)
+    assert abs(approx["posts"] - 1000) <= 30 and abs(approx["users"] - 100) <= 3
