@@ -86,6 +86,11 @@ def lag_within_user(df: DataFrame, user: str, time_col: str, tiebreak: str,
     carry = last.withColumn("_carry", F.lag("_last", 1).over(Window.partitionBy(user).orderBy("_slice"))) \
                 .select(user, "_slice", "_carry")
     w = Window.partitionBy(user, "_slice").orderBy(F.col(time_col), F.col(tiebreak))
+    # Explicit: an upstream shuffle on the user alone (e.g. a sort-merge semi
+    # join) would satisfy the window's clustering and keep all slices of a
+    # hot user in one task. Without such a shuffle this exchange is simply
+    # the one the window needs anyway.
+    x = x.repartition(user, "_slice")
     x = x.select("*", *[F.lag(c, 1).over(w).alias("_lag_" + c) for c in cols],
                  (F.row_number().over(w) == 1).alias("_first"))
     x = x.join(carry, [user, "_slice"], "left")

@@ -157,7 +157,10 @@ def medoid_and_dispersion(pts: DataFrame, keys: Sequence[str], tile: int = TILE_
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ntiles") - 1)).alias("_pt"))
     pnts = tiles.select(*keys, F.col("_tile_id").alias("_pt"), F.col("_A").alias("_Q"),
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ntiles") - 1)).alias("_ct"))
-    pairs = cand.join(pnts, [*keys, "_ct", "_pt"], "inner")
+    # both sides hashed on (key, candidate tile, point tile): one tile pair
+    # per join group, so a task never holds more than tile x tile distances
+    pairs = cand.repartition(*keys, "_ct", "_pt").join(pnts.repartition(*keys, "_ct", "_pt"),
+                                                        [*keys, "_ct", "_pt"], "inner")
     part = pairs.select(*keys, F.explode(F.transform(F.col("_C"), lambda c: F.struct(
         c["lat"].alias("lat"), c["lon"].alias("lon"), c["label"].alias("label"),
         F.aggregate(F.col("_Q"), F.lit(0.0), lambda a, p: a + p["w"] * _hav(p, c)).alias("part")))).alias("_p"))
