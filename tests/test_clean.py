@@ -61,3 +61,24 @@ def test_dedup_keeps_first_batch(spark):
 def test_users_ever_in(spark):
     df = spark.createDataFrame([("a", "FR"), ("a", "US"), ("b", "US"), ("c", "UK")], "user_id string, country_code string")
     assert rows(clean.users_ever_in(df), "user_id", "country_code") == [("a", "FR"), ("a", "US"), ("c", "UK")]
+
+
+def test_hot_user_lag_with_shuffle_joins(spark):
+    """Same result when every join is a sort-merge join (no broadcast)."""
+    from pyspark.sql.window import Window
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(0, 2000).select(
+            (F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise((F.col("id") % 30).cast("string"))).alias("user_id"),
+            F.format_string("%05d", "id").alias("media_id"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919) % 50_000).alias("create_time"),
+            (F.col("id") % 89 / 10.0).alias("place_lat"), (F.col("id") % 97 / 10.0).alias("place_lon"),
+            F.when(F.col("id") % 5 == 0, F.lit("FR")).otherwise(F.lit("US")).alias("country_code"))
+        x = clean.users_ever_in(df)
+        got = clean.lag_within_user(x, "user_id", "create_time", "media_id", ["place_lat"], hot_rows=64)
+        w = Window.partitionBy("user_id").orderBy("create_time", "media_id")
+        exp = x.select("media_id", F.lag("place_lat").over(w).alias("prev_place_lat"))
+        assert rows(got, "media_id", "prev_place_lat") == rows(exp)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
