@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geotrail.functions.geo import haversine_km
 from geotrail.functions.text import place_label

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import cosine_distance_km, haversine_km
-from geotrail.functions.text import parse_epoch, parse_post_time, safe_speed
 from geotrail.operators import clean
 from geotrail.plans.oracle_prelude import hav, with_prelude
 from geotrail.plans.registry import query

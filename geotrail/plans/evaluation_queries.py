@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geotrail.operators import evaluate, home
+from geotrail.operators import evaluate
 from geotrail.plans.home_queries import QUERY_MAX_DISPERSION_KM, SQL_HOME, ctx_a
 from geotrail.plans.home_sql import round_sql
 from geotrail.plans.oracle_prelude import hav, with_prelude

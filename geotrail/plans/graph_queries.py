@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from geotrail.operators import graph
 from geotrail.plans.oracle_prelude import with_prelude
 from geotrail.plans.registry import query

@@ -5,10 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geotrail.operators import clean, frontier, gazetteer, graph, link
+from geotrail.operators import clean, frontier, gazetteer, link
 from geotrail.plans.cleaning_queries import CODES_SQL
 from geotrail.plans.home_queries import SQL_HOME, ctx_a
-from geotrail.plans.home_sql import cands_sql
 from geotrail.plans.mobility_queries import SQL_POSTS_B, posts_b
 from geotrail.plans.oracle_prelude import hav, with_prelude
 from geotrail.plans.registry import query

@@ -1,8 +1,6 @@
 import math
 import random
 
-from pyspark.sql import functions as F
-
 from geotrail.operators import home
 from tests.conftest import rows
 
