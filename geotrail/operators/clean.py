@@ -73,14 +73,15 @@ def lag_within_user(df: DataFrame, user: str, time_col: str, tiebreak: str,
            .filter(F.col("_n") > hot_rows)
            .select(user, "_t0", (F.col("_t1") - F.col("_t0") + 1).alias("_span"),
                    F.ceil(F.col("_n") * 4 / hot_rows).alias("_slices")))
-    x = df.join(F.broadcast(hot), user, "left")
-    x = x.withColumn("_slice", F.when(F.col("_slices").isNull(), F.lit(0)).otherwise(
+    slice_of = F.when(F.col("_slices").isNull(), F.lit(0)).otherwise(
         F.least(F.floor((t - F.col("_t0")) * F.col("_slices") / F.col("_span")), F.col("_slices") - 1)
-    ).cast("long")).drop("_t0", "_span")
-    # last row of every slice of hot users (only hot rows pass the filter),
-    # handed to the next slice of the same user
-    last = (x.filter(F.col("_slices").isNotNull())
-            .groupBy(user, "_slice")
+    ).cast("long")
+    x = df.join(F.broadcast(hot), user, "left").withColumn("_slice", slice_of).drop("_t0", "_span")
+    # Last row of every slice of hot users, handed to the next slice. Built
+    # from an inner join with the hot-user table: when no user is hot, AQE
+    # sees the empty broadcast and prunes this whole branch at runtime.
+    hot_part = df.join(F.broadcast(hot), user, "inner").withColumn("_slice", slice_of)
+    last = (hot_part.groupBy(user, "_slice")
             .agg(F.max(F.struct(F.col(time_col).alias("_t"), F.col(tiebreak).alias("_tb"),
                                 *[F.col(c) for c in cols])).alias("_last")))
     carry = last.withColumn("_carry", F.lag("_last", 1).over(Window.partitionBy(user).orderBy("_slice"))) \
