@@ -12,6 +12,7 @@ from geotrail.plans.home_queries import ctx_a
 from geotrail.plans.mobility_queries import posts_b
 from geotrail.plans.oracle_prelude import with_prelude
 from geotrail.plans.registry import query
+from geotrail.session import scratch_path
 from geotrail.sources import derived, ingest, payloads
 
 
@@ -71,7 +72,7 @@ def q_paged_post_codes(spark, sf):
 SELECT media_id, user_id, country_code, CASE WHEN eid % 2 = 1 THEN lang END AS lang FROM posts_a"""))
 def q_scan_merge_schema(spark, sf):
     p = derived.posts_a(spark, sf)
-    root = ingest.scratch_path(spark, "posts-batches")
+    root = scratch_path(spark, "posts-batches")
     odd = F.col("media_id").cast("long") % 2 == 1
     ingest.write_batch(p.filter(~odd).select("media_id", "user_id", "country_code"), root, "2024_01_01_00_00")
     ingest.write_batch(p.filter(odd).select("media_id", "user_id", "country_code", "lang"), root, "2024_01_01_01_00")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,7 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.match(r"local($|\[)", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
     path = tempfile.mkdtemp(prefix="geotrail-ckpt-")
     sc.setCheckpointDir(path)
@@ -72,12 +74,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def _delete(spark: SparkSession, path: str) -> None:
+    """Best effort removal of a folder through Spark's own file system."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session is gone: the folder is scratch space
+        pass
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+_SCRATCH: set[str] = set()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder.
+
+    All folders of one application lie under one parent, which is deleted when
+    the driver's Python ends while the session still runs."""
+    root = f"{ensure_checkpoint_dir(spark)}/tables"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        atexit.register(_delete, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, and the reader prunes columns and
+    knows the true size of the table (so Catalyst can choose a broadcast
+    from a measured size). Works for empty tables too."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,8 +9,6 @@ array or a short array gives null.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,9 +184,3 @@ def write_batch(df: DataFrame, root: str, stamp: str, mode: str = "append") -> s
     """Append one capture batch under ``root/batch_ts=<stamp>``."""
     df.withColumn("batch_ts", F.lit(stamp)).write.mode(mode).partitionBy("batch_ts").parquet(root)
     return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint directory."""
-    from geotrail.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
