@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geotrail.llm.line_dedup import dedup_lines
 from geotrail.llm.registry import query, table
+from geotrail.llm.simhash import fingerprint_hex, simhash_groups
 
 WS = " \\x09-\\x0d"        # the contract's white space, inside a regex class
 
@@ -28,3 +29,11 @@ def op1_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     out = dedup_lines(docs, min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+# XXH64, the shingles' hash, has no DuckDB function: tested against brute force
+@query("op6_simhash")
+def op6_simhash(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = simhash_groups(docs, words=4, radius=4, columns=["doc_id"])
+    return out.select("doc_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
