@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geotrail.llm.html_extract import extract_text
 from geotrail.llm.registry import query, table
 from geotrail.llm.url_filter import judge_urls
 from geotrail.llm.warc import archive_pages, read_warc
@@ -13,6 +14,12 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
              ("allow", "org", "/fr/"))
 
 
+# parsing HTML has no SQL form: tested against an independent parse of known layouts
+@query("op5_html_extract")
+def op5_html_extract(spark, sf):
+    return extract_text(table(spark, sf, "pages"), columns=["page_id", "url"])
+
+
 @query("op7_warc", r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 r AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
