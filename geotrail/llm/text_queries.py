@@ -9,6 +9,7 @@ from geotrail.llm.mixing import mix_sources
 from geotrail.llm.packing import pack
 from geotrail.llm.registry import query, table
 from geotrail.llm.simhash import fingerprint_hex, simhash_groups
+from geotrail.llm.toxicity import held_out, score_toxicity, train
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -46,6 +47,15 @@ def op6_simhash(spark, sf):
     return out.select("doc_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+# a fitted model has no SQL form: tested by held-out accuracy and against brute force
+@query("op2_toxicity")
+def op2_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf, "labels"))
+    return (score_toxicity(docs, model, threshold=0.7, columns=["doc_id"], spans=False)
+            .withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted"))
+
+
 # token ids have no SQL form: tested against brute force and by round trip
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark, sf):
