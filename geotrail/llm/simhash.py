@@ -177,19 +177,24 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str
     group is a connected component of all links.
 
     Returns ``columns`` of ``docs`` (all, by default) plus ``fingerprint``
-    (signed long) and ``component_id``: the smallest ``id_col`` in the group.
-    Null ids belong to their group but never name it; a group of null ids only
-    has a null component. Repeated rows and ids stay, each with its result; an
-    empty table gives an empty one. Input columns with the two result names
-    are replaced.
+    (signed long), ``component_id``: the smallest ``id_col`` in the group, and
+    ``leads``: the row has that id and, of the group's rows with it, the
+    smallest fingerprint. Null ids belong to their group but never name it; a
+    group of null ids only has a null component, and is led by its smallest
+    fingerprint. Repeated rows and ids stay, each with its result (copies of
+    the leading row lead too); an empty table gives an empty one. Input
+    columns with the result names are replaced.
     """
-    keep = [c for c in (columns or docs.columns) if c not in ("fingerprint", "component_id")]
+    keep = [c for c in (columns or docs.columns) if c not in ("fingerprint", "component_id", "leads")]
     rows = store(with_fingerprint(docs, words, text_col, list(dict.fromkeys([*keep, id_col]))), "fingerprints")
     fps = store(rows.groupBy(F.col(KEY).alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("least")), "distinct")
     roots = connected_components(fingerprint_links(fps.select("fp"), radius))
     labelled = store(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                      .select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    first = F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first")
+    least = labelled.groupBy("component").agg(first).select(
+        "component", F.col("first.least").alias("component_id"), F.col("first.fp").alias("_sh_lead"))
     names = labelled.select("component", F.col("fp").alias(KEY)).join(least, "component").drop("component")
+    leads = (F.col(KEY) == F.col("_sh_lead")) & F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))
     return rows.join(names, KEY).select(*[F.col(f"`{c}`") for c in keep], F.col(KEY).alias("fingerprint"),
-                                        "component_id")
+                                        "component_id", leads.alias("leads"))
