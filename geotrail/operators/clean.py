@@ -7,11 +7,10 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geotrail.functions.geo import haversine_km, cosine_distance_km
 from geotrail.functions.text import parse_epoch, parse_post_time, safe_speed
-from geotrail.operators.skew import DEFAULT_HOT_ROWS
+from geotrail.operators.skew import lag_in_order
 
 # Fixed value of the reference: the 39 country codes whose posters are kept
 # (its own spelling, with EL and UK).
@@ -28,9 +27,10 @@ MAX_SPEED_KMH = 1000.0
 def dedup_first(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
     """One row per ``key``: the first by ``order`` (then by the whole row).
 
-    ``min(struct(order..., row...))`` is a declarative aggregate, so copies
-    are combined map-side before the shuffle — a key with millions of copies
-    never reaches one task as millions of rows.
+    ``min(struct(order..., row...))`` is combined before the shuffle, so a key
+    with millions of copies reaches one task as one row per input task. The
+    buffer is a whole row, which Spark aggregates by sorting each input
+    partition on the key (SortAggregate), not by hashing.
     """
     rest = [c for c in df.columns if c != key and c not in order]
     packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
@@ -56,59 +56,23 @@ def posts_in_countries(df: DataFrame, country: str = "country_code",
 
 
 def lag_within_user(df: DataFrame, user: str, time_col: str, tiebreak: str,
-                    cols: Sequence[str], prefix: str = "prev_",
-                    hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                    cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Previous row's ``cols`` within each user in (time, tiebreak) order.
 
-    Equivalent to ``lag(c).over(partitionBy(user).orderBy(time, tiebreak))``
-    without putting a hot user in one task: users with more than
-    ``hot_rows`` rows are cut into time slices of about ``hot_rows`` rows
-    each (the slice is a monotone function of time, so ties stay together);
-    the window runs per (user, slice) and the first row of a slice takes the
-    last row of the previous slice from a per-slice table (at most
-    rows / hot_rows * 4 entries). Ordinary users form one slice.
-    """
-    t = F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6
-    hot = (df.groupBy(user).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"))
-           .filter(F.col("_n") > hot_rows)
-           .select(user, "_t0", (F.col("_t1") - F.col("_t0") + 1).alias("_span"),
-                   F.ceil(F.col("_n") * 4 / hot_rows).alias("_slices")))
-    slice_of = F.when(F.col("_slices").isNull(), F.lit(0)).otherwise(
-        F.least(F.floor((t - F.col("_t0")) * F.col("_slices") / F.col("_span")), F.col("_slices") - 1)
-    ).cast("long")
-    x = df.join(F.broadcast(hot), user, "left").withColumn("_slice", slice_of).drop("_t0", "_span")
-    # Last row of every slice of hot users, handed to the next slice. Built
-    # from an inner join with the hot-user table: when no user is hot, AQE
-    # sees the empty broadcast and prunes this whole branch at runtime.
-    hot_part = df.join(F.broadcast(hot), user, "inner").withColumn("_slice", slice_of)
-    last = (hot_part.groupBy(user, "_slice")
-            .agg(F.max(F.struct(F.col(time_col).alias("_t"), F.col(tiebreak).alias("_tb"),
-                                *[F.col(c) for c in cols])).alias("_last")))
-    carry = last.withColumn("_carry", F.lag("_last", 1).over(Window.partitionBy(user).orderBy("_slice"))) \
-                .select(user, "_slice", "_carry")
-    w = Window.partitionBy(user, "_slice").orderBy(F.col(time_col), F.col(tiebreak))
-    # Explicit: an upstream shuffle on the user alone (e.g. a sort-merge semi
-    # join) would satisfy the window's clustering and keep all slices of a
-    # hot user in one task. Without such a shuffle this exchange is simply
-    # the one the window needs anyway.
-    x = x.repartition(user, "_slice")
-    x = x.select("*", *[F.lag(c, 1).over(w).alias("_lag_" + c) for c in cols],
-                 (F.row_number().over(w) == 1).alias("_first"))
-    x = x.join(carry, [user, "_slice"], "left")
-    x = x.select(*[c for c in x.columns if c not in ("_carry",)],
-                 *[F.when(F.col("_first"), F.col("_carry." + c)).otherwise(F.col("_lag_" + c)).alias(prefix + c)
-                   for c in cols])
-    return x.drop("_slice", "_slices", "_first", "_carry", *["_lag_" + c for c in cols])
+    Equivalent to ``lag(c).over(partitionBy(user).orderBy(time, tiebreak))``:
+    null times come first and null users form one sequence. A user of any
+    size, also one with bursts of equal times, spans as many range partitions
+    as its rows need (see skew.py)."""
+    return lag_in_order(df, user, [time_col, tiebreak], cols, prefix)
 
 
 def with_movement(df: DataFrame, user: str = "user_id", time_col: str = "create_time",
                   tiebreak: str = "media_id", lat: str = "place_lat", lon: str = "place_lon",
-                  method: str = "haversine", hot_rows: int = DEFAULT_HOT_ROWS,
-                  keep_prev_id: bool = False) -> DataFrame:
+                  method: str = "haversine", keep_prev_id: bool = False) -> DataFrame:
     """Add ``dist`` (km from the previous post), ``interarrivaltime`` (s) and
     ``prev_media_id`` (optional) over the unfiltered sequence of each user."""
     cols = [lat, lon, time_col] + ([tiebreak] if keep_prev_id else [])
-    x = lag_within_user(df, user, time_col, tiebreak, cols, prefix="_p_", hot_rows=hot_rows)
+    x = lag_within_user(df, user, time_col, tiebreak, cols, prefix="_p_")
     dist_fn = haversine_km if method == "haversine" else cosine_distance_km
     x = x.withColumn("dist", dist_fn(F.col(lon), F.col(lat), F.col("_p_" + lon), F.col("_p_" + lat)))
     x = x.withColumn("interarrivaltime",
@@ -119,9 +83,9 @@ def with_movement(df: DataFrame, user: str = "user_id", time_col: str = "create_
 
 
 def with_day_gap(df: DataFrame, user: str = "user_id", time_col: str = "create_time",
-                 tiebreak: str = "media_id", hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                 tiebreak: str = "media_id") -> DataFrame:
     """Day-granular gap to the previous post (``datediff``)."""
-    x = lag_within_user(df, user, time_col, tiebreak, [time_col], prefix="_p_", hot_rows=hot_rows)
+    x = lag_within_user(df, user, time_col, tiebreak, [time_col], prefix="_p_")
     return x.withColumn("interarrival_days", F.datediff(F.col(time_col), F.col("_p_" + time_col))) \
             .drop("_p_" + time_col)
 
@@ -154,7 +118,7 @@ def drop_impossible(df: DataFrame, mode: str = "later", max_speed: float = MAX_S
 
 
 def clean_posts_a(posts: DataFrame, codes: Sequence[str] = EUROPE_CODES, mode: str = "later",
-                  max_speed: float = MAX_SPEED_KMH, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                  max_speed: float = MAX_SPEED_KMH) -> DataFrame:
     """Source-A cleaning: dedup by media_id -> users ever in ``codes`` ->
     parse time -> distance between consecutive place centroids and seconds
     between posts -> drop zero intervals -> drop impossible speed."""
@@ -164,7 +128,7 @@ def clean_posts_a(posts: DataFrame, codes: Sequence[str] = EUROPE_CODES, mode: s
         x = x.drop("batch")
     x = users_ever_in(x, "user_id", "country_code", codes)
     x = x.withColumn("create_time", parse_post_time(F.col("create_time")))
-    x = with_movement(x, lat="place_lat", lon="place_lon", hot_rows=hot_rows, keep_prev_id=(mode == "both"))
+    x = with_movement(x, lat="place_lat", lon="place_lon", keep_prev_id=(mode == "both"))
     return drop_impossible(x, mode, max_speed)
 
 
@@ -186,11 +150,11 @@ def assemble_posts_b(users: DataFrame, media: DataFrame | Sequence[DataFrame],
 
 
 def clean_posts_b(posts_b: DataFrame, codes: Sequence[str] = EUROPE_CODES, mode: str = "later",
-                  max_speed: float = MAX_SPEED_KMH, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                  max_speed: float = MAX_SPEED_KMH) -> DataFrame:
     """Source-B cleaning: dedup -> users ever in ``codes`` -> epoch time ->
     distance between exact points -> same filters as source A."""
     x = dedup_first(posts_b, "media_id")
     x = users_ever_in(x, "user_id", "country_id", codes)
     x = x.withColumn("create_time", parse_epoch(F.col("create_time_stamp")))
-    x = with_movement(x, lat="lat", lon="lon", hot_rows=hot_rows, keep_prev_id=(mode == "both"))
+    x = with_movement(x, lat="lat", lon="lon", keep_prev_id=(mode == "both"))
     return drop_impossible(x, mode, max_speed)

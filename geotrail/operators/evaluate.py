@@ -56,8 +56,7 @@ def holdout_run(edges: DataFrame, truth: DataFrame, truth_posts: DataFrame, runs
     sample = holdout_split(truth_posts, runs)
     start = runs_frame(truth.select("user_name", "lat", "lon", "user_location"), runs)
     start = start.join(sample.select("fold", "user_name"), ["fold", "user_name"], "left_anti")
-    e = runs_frame(edges.select("source", "target", "weight"), runs)
-    final = home.propagate(e, start, rounds, keys=["fold"], weighted=weighted, sizes=sizes, **kw)
+    final = home.propagate(edges.select("source", "target", "weight"), start, rounds, keys=["fold"], weighted=weighted, sizes=sizes, **kw)
     return sample, final
 
 
@@ -75,7 +74,7 @@ def holdout_metrics(sample: DataFrame, final: DataFrame, runs: int = RUNS) -> Da
     err = holdout_errors(sample, final)
     size = sample.groupBy("fold").agg(F.count(F.lit(1)).alias("sample_size"))
     cov = err.groupBy("fold").agg(F.count(F.lit(1)).alias("coverage"), F.avg("error").alias("error_mean"))
-    med = group_median(err, ["fold"], "error", check_empty=True).withColumnRenamed("error", "error_median")
+    med = group_median(err, ["fold"], "error").withColumnRenamed("error", "error_median")
     folds = sample.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("fold"))
     out = folds.join(size, "fold", "left").join(cov, "fold", "left").join(med, "fold", "left")
     return out.select(

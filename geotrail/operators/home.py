@@ -6,29 +6,30 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import EARTH_RADIUS_KM, haversine_km
+from geotrail.functions.geo import great_circle_km, haversine_km
 from geotrail.functions.text import place_label
-from geotrail.operators.skew import group_median, hot_keys
-from geotrail.session import cut_lineage
+from geotrail.operators.skew import group_median, join_null_safe
+from geotrail.session import store
 
 TILE_POINTS = 1024          # distinct points per key evaluated in one array
 ACTIVITY_RADIUS_KM = 30.0
 PROPAGATION_DISPERSION_KM = 100.0
-MIN_POSTS, MAX_POSTS = 3, 500
+MIN_POSTS = 3
+GRID = 48                   # cells per side of the grid that bounds the costs of a large key
+COST_TILE = 2048            # points a side in one pair of tiles of a large key
 COST_DIGITS = 6
 
 
 def _hav(p: Column, q: Column) -> Column:
-    """Haversine between two point structs carrying rlat, rlon (radians) and
-    clat (cosine of latitude), for use inside higher-order functions where no
+    """Distance of two point structs carrying rlat, rlon (radians) and clat
+    (cosine of latitude), for higher-order functions, where no
     common-subexpression elimination happens. Both points are located."""
-    sdlat = F.sin((q["rlat"] - p["rlat"]) / 2)
-    sdlon = F.sin((q["rlon"] - p["rlon"]) / 2)
-    a = F.least(F.pow(sdlat, 2) + p["clat"] * q["clat"] * F.pow(sdlon, 2), F.lit(1.0))
-    return F.lit(EARTH_RADIUS_KM) * (2 * F.atan2(F.sqrt(a), F.sqrt(1 - a)))
+    return great_circle_km(F, (p["rlat"], p["rlon"], p["clat"]), (q["rlat"], q["rlon"], q["clat"]))
 
 
 def _pt(lat: Column, lon: Column, *extra: Column) -> Column:
@@ -50,8 +51,9 @@ def collapse_points(df: DataFrame, keys: Sequence[str], lat: str = "lat", lon: s
     aggs = [F.sum(F.when(F.col("lat").isNotNull(), F.col("_w"))).alias("w"), F.count(F.lit(1)).alias("m"),
             F.min(F.col(label)).alias("label")]
     if home:
-        aggs.append(F.min(F.struct(F.col(home[0]).alias("lat"), F.col(home[1]).alias("lon"),
-                                   F.col(home[2]).alias("label"))).alias("H"))
+        known = F.col(home[0]).isNotNull() & F.col(home[1]).isNotNull()
+        aggs.append(F.min(F.when(known, F.struct(F.col(home[0]).alias("lat"), F.col(home[1]).alias("lon"),
+                                                 F.col(home[2]).alias("label")))).alias("H"))
     return (df.select(*keys, F.when(located, F.col(lat)).alias("lat"), F.when(located, F.col(lon)).alias("lon"),
                       w.alias("_w"), *[c for c in [label, *(home or [])] if c not in keys])
             .groupBy(*keys, "lat", "lon").agg(*aggs))
@@ -87,8 +89,7 @@ def _argmin(P: Column) -> Column:
     return F.array_min(costs)
 
 
-def medoid_and_dispersion(pts: DataFrame, keys: Sequence[str], tile: int = TILE_POINTS,
-                          hot_rows: int | None = None, materialize: bool = True) -> DataFrame:
+def medoid_and_dispersion(pts: DataFrame, keys: Sequence[str], tile: int = TILE_POINTS) -> DataFrame:
     """From ``collapse_points`` output: per key the home and its dispersion.
 
     Home: the known home ``H`` when present, else the medoid of the located
@@ -98,36 +99,29 @@ def medoid_and_dispersion(pts: DataFrame, keys: Sequence[str], tile: int = TILE_
     Output (keys..., lat, lon, label, dispersion, inferred).
 
     Keys with at most ``tile`` distinct located points are solved in one
-    array per key with higher-order functions (JVM side). Hotter keys are
-    cut into tiles and every (candidate tile, point tile) pair is one row, so
-    no task evaluates more than tile x tile distances at once and no row per
-    point pair is ever emitted.
+    array per key with higher-order functions (JVM side); larger keys by
+    ``_large_medoids``. Null keys are keys. The point table feeds several
+    branches and is stored once; so is the result, one row per key, because a
+    filter on dispersion would otherwise be pushed into the higher-order
+    expressions and evaluate them again.
     """
     if "H" not in pts.columns:
         pts = pts.withColumn("H", F.lit(None).cast("struct<lat:double,lon:double,label:string>"))
-    if materialize:
-        # the point table feeds several branches (hot-key count, ordinary
-        # keys, tiles, medians): write it once to the reliable checkpoint
-        # folder so every branch reads the same rows and the plan stays small
-        pts = cut_lineage(pts)
+    pts = store(pts, "points")
     located = F.col("lat").isNotNull()
-    hot = hot_keys(pts.filter(located), keys, tile).select(*keys, F.ceil(F.col("_hot_n") / tile).alias("_ntiles"))
-    # Runtime plan choice, like AQE's: the point table is stored, so asking
-    # whether any key is hot is one small aggregate; without hot keys the
-    # tile branch (several stages) is left out of the plan.
-    any_hot = (not hot.isEmpty()) if materialize else True
-    flagged = pts.join(F.broadcast(hot), list(keys), "left") if any_hot else \
-        pts.withColumn("_ntiles", F.lit(None).cast("long"))
-
-    # ordinary keys: one array per key (at most `tile` located points)
-    cold = (flagged.filter(F.col("_ntiles").isNull())
-            .groupBy(*keys).agg(
-                F.collect_list(F.when(located, _pt(F.col("lat"), F.col("lon"), F.col("w").alias("w"),
-                                                   F.col("m").alias("m"), F.col("label").alias("label"))))
-                .alias("P"),
-                F.min("H").alias("H")))
-    known = F.col("H.lat").isNotNull() & F.col("H.lon").isNotNull()
-    cold = cold.withColumn("inferred", ~known)
+    large = (pts.filter(located).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") > tile))
+    # the point table is stored, so this is one small aggregate; like AQE it
+    # only leaves out a branch that would get no rows
+    some_large = not large.isEmpty()
+    flagged = join_null_safe(pts, store(large, "large-keys"), keys, "left") if some_large else None
+    small = pts if flagged is None else flagged.filter(F.col("_n").isNull())
+
+    cold = small.groupBy(*keys).agg(
+        F.collect_list(F.when(located, _pt(F.col("lat"), F.col("lon"), F.col("w").alias("w"),
+                                           F.col("m").alias("m"), F.col("label").alias("label")))).alias("P"),
+        F.min("H").alias("H"))
+    cold = cold.withColumn("inferred", F.col("H").isNull())
     cold = cold.withColumn("_home", F.when(F.col("inferred"), _argmin(F.col("P"))).otherwise(
         F.struct(F.lit(None).cast("double").alias("cost"), F.col("H.lat").alias("lat"),
                  F.col("H.lon").alias("lon"), F.col("H.label").alias("label"))))
@@ -139,54 +133,116 @@ def medoid_and_dispersion(pts: DataFrame, keys: Sequence[str], tile: int = TILE_
         (p["m"] - F.when(F.col("inferred") & (p["lat"] == hp_["lat"]) & (p["lon"] == hp_["lon"]), 1)
          .otherwise(0)).cast("long").alias("m"))))
     cold = _with_median(cold, "_vals", "_disp")
-    cold_out = cold.select(*keys, F.col("_home.lat").alias("lat"), F.col("_home.lon").alias("lon"),
-                           F.col("_home.label").alias("label"),
-                           F.when(F.col("_hp").isNull(), F.lit(0.0)).otherwise(F.col("_disp")).alias("dispersion"),
-                           "inferred")
-    if materialize and not any_hot:
-        return cut_lineage(cold_out)
-
-    # hot keys: tile pairs
-    hp = flagged.filter(F.col("_ntiles").isNotNull())
-    hk = hp.groupBy(*keys).agg(F.min("H").alias("H"), F.first("_ntiles").alias("_ntiles"))
-    hp = hp.filter(located).withColumn("_tile_id", F.pmod(F.xxhash64("lat", "lon"), F.col("_ntiles")))
-    tiles = hp.groupBy(*keys, "_tile_id").agg(
-        F.collect_list(_pt(F.col("lat"), F.col("lon"), F.col("w").alias("w"), F.col("label").alias("label")))
-        .alias("_A"), F.first("_ntiles").alias("_ntiles"))
-    cand = tiles.select(*keys, F.col("_tile_id").alias("_ct"), F.col("_A").alias("_C"),
-                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ntiles") - 1)).alias("_pt"))
-    pnts = tiles.select(*keys, F.col("_tile_id").alias("_pt"), F.col("_A").alias("_Q"),
-                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ntiles") - 1)).alias("_ct"))
-    # both sides hashed on (key, candidate tile, point tile): one tile pair
-    # per join group, so a task never holds more than tile x tile distances
-    pairs = cand.repartition(*keys, "_ct", "_pt").join(pnts.repartition(*keys, "_ct", "_pt"),
-                                                        [*keys, "_ct", "_pt"], "inner")
-    part = pairs.select(*keys, F.explode(F.transform(F.col("_C"), lambda c: F.struct(
-        c["lat"].alias("lat"), c["lon"].alias("lon"), c["label"].alias("label"),
-        F.aggregate(F.col("_Q"), F.lit(0.0), lambda a, p: a + p["w"] * _hav(p, c)).alias("part")))).alias("_p"))
-    cost = part.groupBy(*keys, "_p.lat", "_p.lon", "_p.label").agg(F.sum("_p.part").alias("cost"))
-    med = cost.groupBy(*keys).agg(F.min(F.struct(F.round("cost", COST_DIGITS).alias("cost"), "lat", "lon",
-                                                 "label")).alias("_med"))
-    hk = hk.join(med, list(keys), "left")
-    hknown = F.col("H.lat").isNotNull() & F.col("H.lon").isNotNull()
-    hk = hk.select(*keys, F.when(hknown, F.col("H.lat")).otherwise(F.col("_med.lat")).alias("_hlat"),
-                   F.when(hknown, F.col("H.lon")).otherwise(F.col("_med.lon")).alias("_hlon"),
-                   F.when(hknown, F.col("H.label")).otherwise(F.col("_med.label")).alias("_hlabel"),
-                   (~hknown).alias("inferred"))
-    hv = hp.join(F.broadcast(hk), list(keys), "inner")   # at most rows/tile hot keys
+    out = cold.select(*keys, F.col("_home.lat").alias("lat"), F.col("_home.lon").alias("lon"),
+                      F.col("_home.label").alias("label"),
+                      F.when(F.col("_hp").isNull(), F.lit(0.0)).otherwise(F.col("_disp")).alias("dispersion"),
+                      "inferred")
+    if flagged is not None:
+        out = out.unionByName(_large_keys(flagged.filter(F.col("_n").isNotNull()), keys))
+    return store(out, "medoids")
+
+
+def _large_keys(pts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Home and dispersion of keys with many points, from their point rows."""
+    located = F.col("lat").isNotNull()
+    homes = pts.groupBy(*keys).agg(F.min("H").alias("H"))
+    unknown = join_null_safe(pts.filter(located).drop("H"), homes.filter(F.col("H").isNull()).select(*keys), keys)
+    homes = join_null_safe(homes, large_medoids(unknown, keys), keys, "left")
+    homes = store(homes.select(*keys, F.coalesce("H.lat", "_med.lat").alias("_hlat"),
+                               F.coalesce("H.lon", "_med.lon").alias("_hlon"),
+                               F.coalesce("H.label", "_med.label").alias("_hlabel"),
+                               F.col("H").isNull().alias("inferred")), "large-homes")
+    d = join_null_safe(pts.filter(located), homes, keys)
     at_home = (F.col("lat") == F.col("_hlat")) & (F.col("lon") == F.col("_hlon"))
-    hv = hv.select(*keys, haversine_km(F.col("lon"), F.col("lat"), F.col("_hlon"), F.col("_hlat")).alias("d"),
-                   (F.col("m") - F.when(F.col("inferred") & at_home, 1).otherwise(0)).alias("m"))
-    hmed = group_median(hv, keys, "d", "m", **({"hot_rows": hot_rows} if hot_rows else {}))
-    hot_out = (hk.join(hmed, list(keys), "left")
-               .select(*keys, F.col("_hlat").alias("lat"), F.col("_hlon").alias("lon"),
-                       F.col("_hlabel").alias("label"), F.coalesce(F.col("d"), F.lit(0.0)).alias("dispersion"),
-                       "inferred"))
-    out = cold_out.unionByName(hot_out)
-    # One row per key. Written out as well: a filter on dispersion downstream
-    # would otherwise be pushed into the higher-order expressions above and
-    # re-evaluate them inside the predicate.
-    return cut_lineage(out) if materialize else out
+    d = d.select(*keys, haversine_km(F.col("lon"), F.col("lat"), F.col("_hlon"), F.col("_hlat")).alias("d"),
+                 (F.col("m") - F.when(F.col("inferred") & at_home, 1).otherwise(0)).alias("m"))
+    return join_null_safe(homes, group_median(d, keys, "d", "m"), keys, "left").select(
+        *keys, F.col("_hlat").alias("lat"), F.col("_hlon").alias("lon"), F.col("_hlabel").alias("label"),
+        F.coalesce(F.col("d"), F.lit(0.0)).alias("dispersion"), "inferred")
+
+
+def _radians(lat: np.ndarray, lon: np.ndarray) -> tuple:
+    rlat = np.radians(lat)
+    return rlat, np.radians(lon), np.cos(rlat)
+
+
+def _across(a: tuple, b: tuple) -> np.ndarray:
+    """Distances (rows of a) x (rows of b)."""
+    return great_circle_km(np, tuple(x[:, None] for x in a), tuple(x[None, :] for x in b))
+
+
+def _possible_cells(cells: pa.Table) -> pa.Table:
+    """Grid cells of one key that may hold its medoid.
+
+    cells: _cell, clat, clon (a point of reference), w (weight), s (weighted
+    sum of distances to the reference), r (largest of them). The cost of a
+    reference, computed from references only, is off by sum(s) at most, and a
+    member of the cell is off by another total weight * r."""
+    at = _radians(cells["clat"].to_numpy(), cells["clon"].to_numpy())
+    w, s, r = (cells[c].to_numpy().astype(float) for c in ("w", "s", "r"))
+    cost = np.concatenate([_across(tuple(x[i:i + 256] for x in at), at) @ w for i in range(0, len(w), 256)])
+    slack = s.sum() + w.sum() * r
+    keep = cost - slack <= (cost + slack).min() * (1 + 1e-9) + 1e-6
+    return cells.filter(pa.array(keep)).drop_columns(["clat", "clon", "w", "s", "r"])
+
+
+def _partial_costs(keys: Sequence[str]):
+    """Candidates of one tile against one tile of points."""
+    def run(cands: pa.Table, points: pa.Table) -> pa.Table:
+        out = cands.select([*keys, "lat", "lon", "label"])
+        if not points.num_rows or not cands.num_rows:
+            return out.slice(0, 0).append_column("part", pa.array([], pa.float64()))
+        c = _radians(cands["lat"].to_numpy(), cands["lon"].to_numpy())
+        p = _radians(points["lat"].to_numpy(), points["lon"].to_numpy())
+        w = points["w"].to_numpy().astype(float)
+        part = np.concatenate([_across(tuple(x[i:i + 128] for x in c), p) @ w for i in range(0, len(c[0]), 128)])
+        return out.append_column("part", pa.array(part))
+    return run
+
+
+def large_medoids(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exact medoid of keys with many distinct points: (keys..., _med).
+
+    points: keys, lat, lon (located), w, label. A grid over the key's bounding
+    box has at most GRID x GRID cells; their references bound the cost of
+    every member from below and above, and only the cells whose lower bound
+    reaches the best upper bound keep candidates. Those are costed exactly:
+    tiles of candidates meet tiles of points, and a pair of tiles returns one
+    partial sum per candidate, so neither pairs of points nor a whole key get
+    into one task."""
+    points = points.select(*keys, "lat", "lon", "w", "label")
+    box = points.groupBy(*keys).agg(F.min("lat").alias("_y0"), F.max("lat").alias("_y1"), F.min("lon").alias("_x0"),
+                                    F.max("lon").alias("_x1"), F.count(F.lit(1)).alias("_n"))
+
+    def step(v, lo, hi):
+        return F.least(F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo) + 1e-12) * GRID), F.lit(GRID - 1))
+    boxed = join_null_safe(points, store(box, "boxes"), keys).withColumn(
+        "_cell", (step("lat", "_y0", "_y1") * GRID + step("lon", "_x0", "_x1")).cast("int"))
+    boxed = store(boxed.drop("_y0", "_y1", "_x0", "_x1"), "boxed")
+    refs = boxed.groupBy(*keys, "_cell").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
+    near = join_null_safe(boxed, refs, [*keys, "_cell"])
+    d = haversine_km(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"))
+    cells = near.withColumn("_d", d).groupBy(*keys, "_cell", "clat", "clon").agg(
+        F.sum(F.col("w").cast("double")).alias("w"), F.sum(F.col("w") * F.col("_d")).alias("s"),
+        F.max("_d").alias("r"))
+    kept_schema = cells.select(*keys, "_cell").schema
+    kept = store(cells.groupBy(*keys).applyInArrow(_possible_cells, kept_schema), "possible-cells")
+    cands = join_null_safe(boxed, kept, [*keys, "_cell"])
+    cands = store(join_null_safe(cands, cands.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nc")), keys), "candidates")
+    tiles = lambda n: F.ceil(F.col(n) / COST_TILE).cast("long")
+    mine = F.xxhash64("lat", "lon")
+    per_key = cands.groupBy(*keys).agg(F.max(tiles("_nc")).alias("_ct"))
+    left = cands.select(*keys, "lat", "lon", "label", F.pmod(mine, tiles("_nc")).alias("_c"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), tiles("_n") - 1)).alias("_p"))
+    right = join_null_safe(boxed, per_key, keys).select(
+        *keys, "lat", "lon", "w", F.pmod(mine, tiles("_n")).alias("_p"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ct") - 1)).alias("_c"))
+    schema = left.select(*keys, "lat", "lon", "label", F.lit(0.0).alias("part")).schema
+    parts = (left.groupBy(*keys, "_c", "_p").cogroup(right.groupBy(*keys, "_c", "_p"))
+             .applyInArrow(_partial_costs(keys), schema))
+    cost = parts.groupBy(*keys, "lat", "lon", "label").agg(F.sum("part").alias("cost"))
+    return cost.groupBy(*keys).agg(F.min(F.struct(F.round("cost", COST_DIGITS).alias("cost"), "lat", "lon",
+                                                  "label")).alias("_med"))
 
 
 def l1_median(points: DataFrame, keys: Sequence[str], lat: str = "lat", lon: str = "lon",
@@ -196,11 +252,11 @@ def l1_median(points: DataFrame, keys: Sequence[str], lat: str = "lat", lon: str
     return medoid_and_dispersion(pts, keys, tile).select(*keys, "lat", "lon", "label")
 
 
-def home_candidates(net_posts: DataFrame, min_posts: int = MIN_POSTS, max_posts: int | None = MAX_POSTS,
+def home_candidates(net_posts: DataFrame, min_posts: int = MIN_POSTS, max_posts: int | None = None,
                     count_by: str = "user_id") -> DataFrame:
-    """Geo-tagged city posts of users with min_posts <= distinct posts < max_posts.
+    """Geo-tagged city posts of users with min_posts <= distinct posts (< max_posts).
 
-    Posts are counted over all geo-tagged rows of the user (any place type),
+    ``max_posts`` drops the most active users; by default nobody is dropped. Posts are counted over all geo-tagged rows of the user (any place type),
     then only 'city' rows are kept, as the reference did.
     """
     geo = net_posts.filter(F.col("lat").isNotNull())
@@ -266,15 +322,42 @@ def adjacency(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = ()) -> D
                     "source_lat", "source_lon", "source_location")
 
 
-def estimate(adj: DataFrame, keys: Sequence[str] = (), weighted: bool = True,
+def neighbour_points(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = (),
+                     weighted: bool = True) -> DataFrame:
+    """Points per (keys..., source) for ``estimate``: the located targets of a
+    source's edges and, as ``H``, the source's own known point.
+
+    Edges carry no key (fold) columns and are shuffled once: a known point
+    holds its keys in an array through the join and is spread over them
+    afterwards. Sources with neither drop out."""
+    k = list(keys)
+    cols = ["user_name", "lat", "lon", "user_location"]
+    here = truth.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    at = here.groupBy(*cols).agg(F.collect_list(F.struct(*k)).alias("_ks")) if k else here.select(*cols)
+    none = F.lit(None).cast("double")
+    near = edges.join(at, edges["target"] == at["user_name"]).select(
+        "source", "lat", "lon", F.col("user_location").alias("label"),
+        (F.col("weight") if weighted else F.lit(1)).cast("double").alias("_weight"),
+        none.alias("hlat"), none.alias("hlon"), F.lit(None).cast("string").alias("hlabel"),
+        *(["_ks"] if k else []))
+    sources = edges.select(F.col("source").alias("user_name")).distinct()
+    own = at.join(sources, "user_name", "left_semi").select(
+        F.col("user_name").alias("source"), none.alias("lat"), none.alias("lon"),
+        F.lit(None).cast("string").alias("label"), none.alias("_weight"), F.col("lat").alias("hlat"),
+        F.col("lon").alias("hlon"), F.col("user_location").alias("hlabel"), *(["_ks"] if k else []))
+    rows = near.unionByName(own)
+    if k:
+        rows = rows.withColumn("_k", F.explode("_ks")).select("*", "_k.*").drop("_ks", "_k")
+    return collapse_points(rows, [*k, "source"], weight="_weight", home=["hlat", "hlon", "hlabel"])
+
+
+def estimate(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = (), weighted: bool = True,
              tile: int = TILE_POINTS) -> DataFrame:
-    """One estimate per source: known sources keep their point; others take
-    the (edge-weighted) medoid of their located neighbours.
+    """One estimate per source that is known or has a located neighbour: known
+    sources keep their point; others take the (edge-weighted) medoid of their
+    located neighbours. Truth must be unique per (keys..., user_name).
     (keys..., user_name, lat, lon, user_location, dispersion, inferred)."""
-    k = [*keys, "source"]
-    pts = collapse_points(adj, k, "target_lat", "target_lon", "target_location",
-                          "weight" if weighted else None, home=["source_lat", "source_lon", "source_location"])
-    r = medoid_and_dispersion(pts, k, tile)
+    r = medoid_and_dispersion(neighbour_points(edges, truth, keys, weighted), [*keys, "source"], tile)
     return r.select(*keys, F.col("source").alias("user_name"), "lat", "lon",
                     F.col("label").alias("user_location"), "dispersion", "inferred")
 
@@ -287,29 +370,36 @@ def propagate_once(edges: DataFrame, known: DataFrame, keys: Sequence[str] = (),
     Users with dispersion >= max are dropped (and may be re-estimated later);
     users outside the edge table vanish; users without any located neighbour
     are dropped unless ``keep_unlocated`` (the reference kept them with a null
-    point)."""
-    est = estimate(adjacency(edges, known, keys), keys, weighted, tile)
-    est = est.filter(F.col("dispersion") < max_dispersion_km)
-    if not keep_unlocated:
-        est = est.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    return est.select(*keys, "user_name", "lat", "lon", "user_location")
+    point; only without ``keys``)."""
+    est = estimate(edges, known, keys, weighted, tile).filter(F.col("dispersion") < max_dispersion_km)
+    out = est.select(*keys, "user_name", "lat", "lon", "user_location")
+    if keep_unlocated:
+        if keys:
+            raise ValueError("keep_unlocated needs a run without keys")
+        heard = edges.join(known.filter("lat is not null and lon is not null").select(
+            F.col("user_name").alias("target")), "target", "left_semi").select(F.col("source").alias("user_name"))
+        placed = heard.unionByName(known.filter("lat is not null and lon is not null").select("user_name"))
+        lost = edges.select(F.col("source").alias("user_name")).distinct().join(placed, "user_name", "left_anti")
+        none = F.lit(None)
+        out = out.unionByName(lost.select("user_name", none.cast("double").alias("lat"),
+                                          none.cast("double").alias("lon"),
+                                          none.cast("string").alias("user_location")))
+    return out
 
 
 def propagate(edges: DataFrame, known: DataFrame, rounds: int = 5, keys: Sequence[str] = (),
               weighted: bool = True, max_dispersion_km: float = PROPAGATION_DISPERSION_KM,
-              keep_unlocated: bool = False, checkpoint: bool = True, tile: int = TILE_POINTS,
+              keep_unlocated: bool = False, tile: int = TILE_POINTS,
               sizes: list | None = None) -> DataFrame:
     """``rounds`` rounds of ``propagate_once``.
 
-    The edge table is written once to the reliable checkpoint folder; every
-    round's estimates are written by ``medoid_and_dispersion`` itself, so
-    each round starts from stored data: the plan does not grow with the
-    number of rounds and a lost executor never forces recomputation of
-    earlier rounds. When ``sizes`` is a list, the per-round known-set sizes
-    (keys..., round, known) are appended to it as DataFrames."""
-    cur = known
-    if checkpoint:
-        edges = cut_lineage(edges)
+    The edge table is stored once in the shared folder, without a copy per
+    key; every round's point table and estimates are stored by
+    ``medoid_and_dispersion``, so the plan does not grow with the rounds and a
+    lost executor never forces earlier rounds to be computed again. When
+    ``sizes`` is a list, the per-round known-set sizes (keys..., round, known)
+    are appended to it as DataFrames."""
+    cur, edges = known, store(edges, "edges")
     for i in range(1, rounds + 1):
         cur = propagate_once(edges, cur, keys, weighted, max_dispersion_km, keep_unlocated, tile)
         if sizes is not None:

@@ -1,14 +1,12 @@
-"""Building blocks that keep hot keys from landing in one task.
-
-Any key (user, country, fold) may hold a large share of all rows. Rules used
-throughout the library:
-
-* aggregate with partial (map-side) aggregation before any shuffle;
-* per-key side tables that are joined back to row-level data are broadcast
-  only when their size is proven bounded: the *hot-key* table holds keys with
-  more than ``threshold`` rows, so it has at most ``rows / threshold`` entries;
-* ordering work over a hot key (ranks, medians, ECDF) goes through range
-  partitioning, which splits one key over many tasks.
+"""Ordered work over keys of any size.
+
+Any key (user, country, fold, also null) may hold a large share of all rows.
+Work that needs the rows of a key in order (running totals, ranks, medians,
+lags) goes through ``in_ranges``: the rows are range partitioned on (key,
+order), so a large key spans as many partitions as its rows need, and are
+written once with their partition number. What crosses from one partition to
+the next is carried by a table with at most one row per partition. There is
+one path for all keys; no row count switches the method.
 """
 
 from __future__ import annotations
@@ -19,59 +17,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Rows per key above which a key is treated as hot (split over many tasks).
-DEFAULT_HOT_ROWS = 200_000
+from geotrail.session import store
+
+PART = "_pid"
+
+
+def _cols(order: Sequence[Column | str]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int,
-             extra_aggs: Sequence[Column] = ()) -> DataFrame:
-    """Keys with more than ``threshold`` rows (partial aggregation).
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """``df`` range partitioned on (keys, order), with the partition number.
 
-    At most ``count(df) / threshold`` rows: safe to broadcast.
-    """
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n"), *extra_aggs)
-            .filter(F.col("_hot_n") > threshold))
+    Range bounds come from a sample, so two evaluations of the same plan may
+    cut differently. The rows are therefore stored with the number they got,
+    and everything derived from it reads the stored table."""
+    return store(df.repartitionByRange(*[F.col(k) for k in keys], *_cols(order))
+                 .withColumn(PART, F.spark_partition_id()), "ranges")
 
 
-def flag_hot(df: DataFrame, keys: Sequence[str], threshold: int,
-             extra_aggs: Sequence[Column] = ()) -> DataFrame:
-    """Add ``_hot_n`` (null for ordinary keys) by a broadcast of the hot keys."""
-    hot = hot_keys(df, keys, threshold, extra_aggs)
-    return df.join(F.broadcast(hot), list(keys), "left")
+def join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equally named keys of which some may be null (null meets null).
+
+    Returns the columns of ``a`` and the other columns of ``b``."""
+    b = b.withColumnsRenamed({k: "_r_" + k for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col("_r_" + k))
+        on = same if on is None else on & same
+    return a.join(b, on, how).drop(*["_r_" + k for k in keys])
 
 
 def cumulative_weight(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                      weight: Column | str | None = None, n_parts: int | None = None) -> DataFrame:
+                      weight: Column | str | None = None) -> DataFrame:
     """Running total of ``weight`` within ``keys`` in ``order`` order.
 
-    Adds ``_cum`` (inclusive running total) and ``_tot`` (group total). With
-    weight 1 ``_cum`` is the 1-based row number. The data are range
-    partitioned on (keys, order) so one key may span many tasks; each task
-    sums locally and the per-(partition, key) totals — at most
-    partitions + keys rows — carry the offsets across partitions.
-    """
+    Adds ``_w``, ``_cum`` (inclusive running total) and ``_tot`` (group
+    total). With weight 1 ``_cum`` is the 1-based row number. A null key is a
+    key like any other. Groups that cross partitions have at most two rows
+    per partition in the carried table, which is what makes it safe to
+    broadcast."""
     w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    key_cols = [F.col(k) for k in keys]
-    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    r = (df.withColumn("_w", w)
-         .repartitionByRange(n, *key_cols, *order_cols)
-         .withColumn("_pid", F.spark_partition_id()))
-    local = Window.partitionBy("_pid", *keys).orderBy(*order_cols).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumn("_lcum", F.sum("_w").over(local))
-    part = r.groupBy("_pid", *keys).agg(F.sum("_w").alias("_ptot"))
+    r = in_ranges(df.withColumn("_w", w), keys, order)
+    chunk = Window.partitionBy(PART, *keys)
+    here = chunk.orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = r.withColumn("_lcum", F.sum("_w").over(here)).withColumn("_ltot", F.sum("_w").over(chunk))
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = by_key.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    part = (part.withColumn("_carry", F.coalesce(F.sum("_ptot").over(before), F.lit(0)))
-            .withColumn("_tot", F.sum("_ptot").over(by_key))
-            .drop("_ptot"))
-    out = r.join(part, ["_pid", *keys], "inner")
-    return out.withColumn("_cum", F.col("_lcum") + F.col("_carry")).drop("_lcum", "_carry", "_pid")
-
+    before = by_key.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (r.groupBy(PART, *keys).agg(F.sum("_w").alias("_ptot"))
+               .withColumn("_parts", F.count(F.lit(1)).over(by_key))
+               .withColumn("_carry", F.coalesce(F.sum("_ptot").over(before), F.lit(0)))
+               .withColumn("_ktot", F.sum("_ptot").over(by_key))
+               .filter(F.col("_parts") > 1).select(PART, *keys, "_carry", "_ktot"))
+    out = join_null_safe(rows, F.broadcast(carried), [PART, *keys], "left")
+    return out.select(*df.columns, "_w",
+                      (F.col("_lcum") + F.coalesce("_carry", F.lit(0))).alias("_cum"),
+                      F.coalesce("_ktot", "_ltot").alias("_tot"))
+
+
+def group_median(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Exact median of ``value`` per key; ``weight`` gives a multiplicity.
 
-def _median_of_ranked(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median from rows carrying ``_cum``, ``_w`` and ``_tot`` (multiset semantics)."""
+    Equal to numpy's median of the multiset (mean of the middle pair for an
+    even count). Rows with null value or non-positive weight are ignored; keys
+    with nothing left are absent. No task holds a whole key."""
+    src = df.filter(F.col(value).isNotNull())
+    if weight is not None:
+        src = src.filter(F.col(weight) > 0)
+    ranked = cumulative_weight(src, keys, [F.col(value)], weight)
     lo = F.floor((F.col("_tot") - 1) / 2)    # 0-based ranks of the middle pair
     hi = F.floor(F.col("_tot") / 2)
     start = F.col("_cum") - F.col("_w")       # 0-based rank of the row's first copy
@@ -82,33 +95,24 @@ def _median_of_ranked(ranked: DataFrame, keys: Sequence[str], value: str) -> Dat
     return picked.groupBy(*keys).agg(((F.max("_vlo") + F.max("_vhi")) / 2).alias(value))
 
 
-def group_median(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None,
-                 hot_rows: int = DEFAULT_HOT_ROWS, check_empty: bool = False) -> DataFrame:
-    """Exact median of ``value`` per key; ``weight`` gives a multiplicity.
-
-    Equal to numpy's median of the multiset (mean of the middle pair for an
-    even count). Ordinary keys use Spark's exact ``percentile`` (buffer at
-    most ``hot_rows`` distinct values); hot keys are ranked by range
-    partitioning so no task holds a whole hot key. Rows with null value or
-    non-positive weight are ignored; keys with nothing left are absent.
-    ``check_empty`` runs one small aggregate first and leaves the hot branch
-    out of the plan when no key is hot (for inputs that are cheap to read
-    twice, e.g. stored ones).
-    """
-    src = df.filter(F.col(value).isNotNull())
-    if weight is not None:
-        src = src.filter(F.col(weight) > 0)
-    if not keys:
-        # one global group: always ranked, never gathered in one task
-        return _median_of_ranked(cumulative_weight(src, [], [F.col(value)], weight), [], value)
-    pct = (F.percentile(F.col(value), F.lit(0.5), F.col(weight)) if weight
-           else F.percentile(F.col(value), F.lit(0.5)))
-    if check_empty and hot_keys(src, keys, hot_rows).isEmpty():
-        return src.groupBy(*keys).agg(pct.alias(value))
-    src = flag_hot(src, keys, hot_rows)
-    cold = src.filter(F.col("_hot_n").isNull())
-    cold_med = cold.groupBy(*keys).agg(pct.alias(value))
-    hot = src.filter(F.col("_hot_n").isNotNull()).drop("_hot_n")
-    ranked = cumulative_weight(hot, keys, [F.col(value)], weight)
-    hot_med = _median_of_ranked(ranked, keys, value)
-    return cold_med.unionByName(hot_med)
+def lag_in_order(df: DataFrame, key: str, order: Sequence[Column | str], cols: Sequence[str],
+                 prefix: str) -> DataFrame:
+    """``cols`` of the previous row of the same ``key``, as prefix + name.
+
+    Like ``lag`` over a window on the key (nulls first, a null key is a key),
+    but a key's rows may lie in many partitions: the first row of a partition
+    takes the last row that the key has in an earlier one. At most one key
+    crosses each partition border, so the carried table has at most one row
+    per partition and is safe to broadcast."""
+    r = in_ranges(df, [key], order)
+    w = Window.partitionBy(PART, key).orderBy(*_cols(order))
+    rows = r.select("*", *[F.lag(c, 1).over(w).alias("_lag_" + c) for c in cols],
+                    (F.row_number().over(w) == 1).alias("_first"))
+    last = r.select(PART, key, F.struct(*cols).alias("_end"),
+                    F.lead(F.lit(1), 1).over(w).isNull().alias("_last")).filter("_last")
+    carried = (last.withColumn("_carry", F.lag("_end", 1).over(Window.partitionBy(key).orderBy(PART)))
+               .filter(F.col("_carry").isNotNull()).select(PART, key, "_carry"))
+    out = join_null_safe(rows, F.broadcast(carried), [PART, key], "left")
+    return out.select(*df.columns,
+                      *[F.when(F.col("_first"), F.col("_carry." + c)).otherwise(F.col("_lag_" + c)).alias(prefix + c)
+                        for c in cols])

@@ -7,7 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotrail.functions.geo import haversine_km
 from geotrail.operators import evaluate, graph, home
+from geotrail.operators.skew import group_median
 from geotrail.plans.graph_queries import SQL_GRAPH
 from geotrail.plans.home_sql import cands_sql, inferred_dispersion_sql, medoid_sql, round_sql
 from geotrail.plans.oracle_prelude import hav, with_prelude
@@ -137,7 +139,7 @@ SELECT source AS user_name, lat, lon, label AS user_location, round(dispersion,
 UNION ALL SELECT source, lat, lon, label, round(dispersion, 3) FROM r1_disp"""))
 def q_dispersion(spark, sf):
     c = ctx_a(spark, sf)
-    est = home.estimate(home.adjacency(c.rec, c.truth), weighted=True)
+    est = home.estimate(c.rec, c.truth, weighted=True)
     return est.filter(F.col("lat").isNotNull()).select(
         "user_name", "lat", "lon", "user_location", _r3(F.col("dispersion")).alias("dispersion"))
 
@@ -148,10 +150,12 @@ fd AS (SELECT e.source AS user_name, median(""" + hav("t.lon", "t.lat", "s.lon",
 
 
 def friend_distance(c: Ctx) -> DataFrame:
+    """Median distance between a located user and its located friends."""
     adj = home.adjacency(c.rec, c.truth_posts).filter(
         F.col("source_lat").isNotNull() & F.col("target_lat").isNotNull())
-    est = home.estimate(adj, weighted=False)
-    return est.select("user_name", F.col("dispersion").alias("median_distance"))
+    d = haversine_km("target_lon", "target_lat", "source_lon", "source_lat")
+    return group_median(adj.select(F.col("source").alias("user_name"), d.alias("median_distance")),
+                        ["user_name"], "median_distance")
 
 
 @query("friend_distance", with_prelude(SQL_FRIENDS,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from geotrail.plans.oracle_prelude import hav
 
 
-def cands_sql(net: str = "net", name: str = "cand", max_posts: int | None = 500) -> str:
+def cands_sql(net: str = "net", name: str = "cand", max_posts: int | None = None) -> str:
     upper = f" AND COUNT(DISTINCT media_id) < {max_posts}" if max_posts else ""
     return f"""
 {name} AS (

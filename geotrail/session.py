@@ -64,14 +64,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint folder).
+    """Stored in the shared folder and read back (see ``store``).
 
-    Used between iterations of the propagation loop so the plan does not grow
-    with the number of rounds and a lost executor does not force recomputation
-    from the first round.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    One job: an eager ``checkpoint()`` would compute the rows twice, once for
+    its action and once for the files."""
+    return store(df, "cut")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

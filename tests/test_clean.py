@@ -45,7 +45,7 @@ def test_hot_user_lag_equals_plain_window(spark):
         F.format_string("%05d", "id").alias("media_id"),
         F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919) % 100_000).alias("create_time"),
         (F.col("id") % 89 / 10.0).alias("place_lat"), (F.col("id") % 97 / 10.0).alias("place_lon"))
-    got = clean.lag_within_user(df, "user_id", "create_time", "media_id", ["place_lat", "media_id"], hot_rows=100)
+    got = clean.lag_within_user(df, "user_id", "create_time", "media_id", ["place_lat", "media_id"])
     w = Window.partitionBy("user_id").orderBy("create_time", "media_id")
     exp = df.select("media_id", F.lag("place_lat").over(w).alias("prev_place_lat"),
                     F.lag("media_id").over(w).alias("prev_media_id"))
@@ -76,7 +76,7 @@ def test_hot_user_lag_with_shuffle_joins(spark):
             (F.col("id") % 89 / 10.0).alias("place_lat"), (F.col("id") % 97 / 10.0).alias("place_lon"),
             F.when(F.col("id") % 5 == 0, F.lit("FR")).otherwise(F.lit("US")).alias("country_code"))
         x = clean.users_ever_in(df)
-        got = clean.lag_within_user(x, "user_id", "create_time", "media_id", ["place_lat"], hot_rows=64)
+        got = clean.lag_within_user(x, "user_id", "create_time", "media_id", ["place_lat"])
         w = Window.partitionBy("user_id").orderBy("create_time", "media_id")
         exp = x.select("media_id", F.lag("place_lat").over(w).alias("prev_place_lat"))
         assert rows(got, "media_id", "prev_place_lat") == rows(exp)

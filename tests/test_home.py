@@ -48,7 +48,7 @@ def _frame(spark, groups):
 def _run(spark, groups, weighted=False, tile=home.TILE_POINTS):
     df = _frame(spark, groups)
     pts = home.collapse_points(df, ["k"], weight="w" if weighted else None)
-    r = home.medoid_and_dispersion(pts, ["k"], tile=tile, hot_rows=50)
+    r = home.medoid_and_dispersion(pts, ["k"], tile=tile)
     return {x["k"]: (x["lat"], x["lon"], x["label"], x["dispersion"]) for x in r.collect()}
 
 
@@ -98,7 +98,7 @@ def test_known_home_and_propagation_chain(spark):
     known = spark.createDataFrame([("u1", 48.85, 2.35, "Paris,FR")], "user_name string, lat double, lon double, user_location string")
     r1 = home.propagate_once(edges, known)
     assert rows(r1, "user_name") == [("u1",), ("u2",)]          # u1 keeps its point, u2 inferred
-    r3 = home.propagate(edges, known, rounds=3, checkpoint=True)
+    r3 = home.propagate(edges, known, rounds=3)
     got = {x["user_name"]: (x["lat"], x["lon"]) for x in r3.collect()}
     assert got["u4"] == (48.85, 2.35) and set(got) == {"u1", "u2", "u3", "u4"}
 
