@@ -4,8 +4,8 @@ T1 incremental flatten: JSON drop folder -> flat parquet, checkpointed.
 T2 bounding box on the stream.
 T3 duplicate posts across captures: watermark + dropDuplicatesWithinWatermark.
 T4 per-user speed check on arrival: applyInPandasWithState keyed by user,
-   arrivals buffered until the watermark passes them, then processed in
-   event-time order against the user's last kept post.
+   arrivals wait until the watermark passes them, then leave in event-time
+   order next to the user's previous post; the checks are the batch ones.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from geotrail.functions.geo import in_bbox
+from geotrail.functions.geo import haversine_km, in_bbox
 from geotrail.functions.text import parse_post_time
+from geotrail.operators.clean import drop_impossible
 from geotrail.sources import ingest
 
 WORLD_BOX = (-180.0, -85.0, 180.0, 85.0)
@@ -58,83 +59,61 @@ def write_parquet_stream(df: DataFrame, out: str, checkpoint: str, available_now
     return w.outputMode("append").start()
 
 
-SPEED_OUT = ("user_id string, media_id string, t long, place_lat double, place_lon double, "
-             "dist double, interarrivaltime long, speed double, late boolean")
-SPEED_STATE = ("last_t long, last_lat double, last_lon double, "
-               "buf_media array<string>, buf_t array<long>, buf_lat array<double>, buf_lon array<double>")
-_COLS = ["user_id", "media_id", "t", "place_lat", "place_lon", "dist", "interarrivaltime", "speed", "late"]
+PREV_OUT = ("user_id string, media_id string, t long, place_lat double, place_lon double, "
+            "prev_t long, prev_lat double, prev_lon double")
+PREV_STATE = ("last_t long, last_lat double, last_lon double, "
+              "media_id array<string>, t array<long>, place_lat array<double>, place_lon array<double>")
+POST = ["media_id", "t", "place_lat", "place_lon"]
+PREV = ["prev_t", "prev_lat", "prev_lon"]
 
 
-def _hav_np(lon1, lat1, lon2, lat2):
-    import numpy as np
-    r = np.pi / 180.0
-    dlat = (lat2 - lat1) * r
-    dlon = (lon2 - lon1) * r
-    a = np.sin(dlat / 2) ** 2 + np.cos(lat1 * r) * np.cos(lat2 * r) * np.sin(dlon / 2) ** 2
-    a = np.clip(a, 0.0, 1.0)
-    return 6371.0 * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+def _with_previous(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One user's posts in event-time order, each with the post before it.
 
-
-def _speed_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState, max_speed: float):
-    """Per user: buffer arrivals, release those at or below the watermark in
-    (time, media_id) order and compare each with the previous released post.
-    A post older than that one arrived too late: emitted with late=True and
-    not used. State holds one user's last post plus the unreleased
-    buffer (bounded by the watermark delay)."""
-    user = key[0]
+    Arrivals wait until the watermark has passed them (nothing older can
+    come any more; while there is no watermark all wait), then leave in (time,
+    media_id) order. The last post that left stays in the state for good, so a
+    user who returns after months is compared with it; the waiting posts are
+    bounded by the watermark delay."""
+    last, held = (None, None, None), pd.DataFrame({c: [] for c in POST})
     if state.exists:
-        last_t, last_lat, last_lon, bm, bt, bla, blo = state.get
-        bm, bt, bla, blo = list(bm), list(bt), list(bla), list(blo)
-    else:
-        last_t = last_lat = last_lon = None
-        bm, bt, bla, blo = [], [], [], []
-    for pdf in pdfs:
-        bm += pdf["media_id"].tolist()
-        bt += pdf["t"].tolist()
-        bla += pdf["place_lat"].tolist()
-        blo += pdf["place_lon"].tolist()
-    wm = state.getCurrentWatermarkMs()
-    cutoff = None if state.hasTimedOut or not wm or wm <= 0 else wm // 1000
-    order = sorted(range(len(bm)), key=lambda i: (bt[i], bm[i]))
-    out, rest = [], []
-    for i in order:
-        if cutoff is not None and bt[i] > cutoff:
-            rest.append(i)
-            continue
-        t, lat, lon = int(bt[i]), bla[i], blo[i]
-        if last_t is not None and t < last_t:
-            out.append((user, bm[i], t, lat, lon, None, None, None, True))
-            continue
-        if last_t is None:
-            dist = iat = speed = None
-        else:
-            dist = float(_hav_np(lon, lat, last_lon, last_lat))
-            iat = t - int(last_t)
-            speed = None if iat == 0 else dist * 3600.0 / iat
-        if not (iat == 0 or (speed is not None and speed > max_speed)):
-            out.append((user, bm[i], t, lat, lon, dist, iat, speed, False))
-        # as in the batch cleaning, the next post is compared with this one
-        # whether or not it was kept (lags over the unfiltered sequence)
-        last_t, last_lat, last_lon = t, lat, lon
-    bm, bt = [bm[i] for i in rest], [bt[i] for i in rest]
-    bla, blo = [bla[i] for i in rest], [blo[i] for i in rest]
-    if state.hasTimedOut and not bm:
-        state.remove()
-    else:
-        state.update((last_t, last_lat, last_lon, bm, bt, bla, blo))
-        if wm and wm > 0:
-            state.setTimeoutTimestamp(wm + 1)
-    yield pd.DataFrame(out, columns=_COLS) if out else pd.DataFrame({c: [] for c in _COLS})
+        *last, media, t, lat, lon = state.get
+        held = pd.DataFrame({"media_id": list(media), "t": list(t), "place_lat": list(lat), "place_lon": list(lon)})
+    held = pd.concat([x for x in (held, *[p[POST] for p in pdfs]) if len(x)] or [held], ignore_index=True)
+    held = held.sort_values(["t", "media_id"], ignore_index=True)
+    watermark = state.getCurrentWatermarkMs()
+    ripe = (held["t"].astype("int64") * 1000 <= watermark) if watermark and watermark > 0 else held["t"].isna()
+    out, held = held[ripe].copy(), held[~ripe]
+    if len(out):
+        for name, column, first in zip(PREV, POST[1:], last):
+            before = out[column].shift(1).astype("object")
+            before.iloc[0] = first
+            out[name] = pd.array([None if pd.isna(x) else int(x) if name == "prev_t" else float(x) for x in before],
+                                 dtype="Int64" if name == "prev_t" else "Float64")
+        end = out.iloc[-1]
+        last = (int(end["t"]), *(None if pd.isna(end[c]) else float(end[c]) for c in ("place_lat", "place_lon")))
+        out.insert(0, "user_id", key[0])
+    state.update((*last, held["media_id"].tolist(), [int(x) for x in held["t"]],
+                  *([None if pd.isna(x) else float(x) for x in held[c]] for c in ("place_lat", "place_lon"))))
+    if len(held) and watermark and watermark > 0:
+        state.setTimeoutTimestamp(int(held["t"].min()) * 1000)
+    if len(out):
+        yield out[["user_id", *POST, *PREV]]
 
 
 def speed_check_stream(posts: DataFrame, delay: str = "2 hours", max_speed: float = 1000.0) -> DataFrame:
     """T4: per-user impossible-speed filter on a stream of posts
-    (needs user_id, media_id, create_time text, place_lat, place_lon)."""
+    (needs user_id, media_id, create_time text, place_lat, place_lon).
+
+    The state function only finds each post's predecessor; distance, interval,
+    speed and the filters are the columns of the batch cleaning. Posts that
+    come later than ``delay`` are dropped by the watermark, posts without a
+    readable time at once. A post leaves when the watermark has passed it."""
     x = posts.withColumn("event_time", parse_post_time(F.col("create_time")))
     x = x.select("user_id", "media_id", "event_time", F.unix_timestamp("event_time").alias("t"),
-                 "place_lat", "place_lon").withWatermark("event_time", delay)
-
-    def fn(key, pdfs, state):
-        return _speed_step(key, pdfs, state, max_speed)
-    return x.groupBy("user_id").applyInPandasWithState(fn, SPEED_OUT, SPEED_STATE, "append",
-                                                        GroupStateTimeout.EventTimeTimeout)
+                 "place_lat", "place_lon").filter("event_time is not null").withWatermark("event_time", delay)
+    x = x.groupBy("user_id").applyInPandasWithState(_with_previous, PREV_OUT, PREV_STATE, "append",
+                                                     GroupStateTimeout.EventTimeTimeout)
+    x = x.withColumn("dist", haversine_km("place_lon", "place_lat", "prev_lon", "prev_lat"))
+    x = x.withColumn("interarrivaltime", F.col("t") - F.col("prev_t")).drop(*PREV)
+    return drop_impossible(x, "later", max_speed)

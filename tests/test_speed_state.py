@@ -1,6 +1,6 @@
 import pandas as pd
 
-from geotrail.streaming.capture import _speed_step
+from geotrail.streaming.capture import _with_previous
 
 
 class StubState:
@@ -34,37 +34,38 @@ class StubState:
         self.timeout = ms
 
 
-def batch(rows):
-    return [pd.DataFrame(rows, columns=["media_id", "t", "place_lat", "place_lon"])]
+def run(state, rows, user="u"):
+    state.timeout = None
+    pdf = pd.DataFrame(rows, columns=["media_id", "t", "place_lat", "place_lon"])
+    got = list(_with_previous((user,), iter([pdf] if rows else []), state))
+    return [tuple(None if pd.isna(x) else x for x in r) for f in got
+            for r in f[["media_id", "t", "prev_t", "prev_lat", "prev_lon"]].itertuples(index=False)]
 
 
-def run(state, rows):
-    return next(_speed_step(("u",), iter(batch(rows)), state, 1000.0))
-
-
-def test_buffers_until_watermark_then_orders_and_flags_late():
+def test_waits_without_a_watermark_and_orders():
     st = StubState()
-    st.wm = 1_000 * 1000                   # watermark at t = 1000 s
-    out = run(st, [("b", 900, 48.85, 2.35), ("a", 800, 48.85, 2.35), ("c", 2000, 48.9, 2.4)])
-    assert list(out["media_id"]) == ["a", "b"]          # time order; "c" waits for the watermark
-    assert out["interarrivaltime"].iloc[1] == 100
-    st.wm = 3_000 * 1000
-    out = run(st, [("z", 850, 40.0, 0.0)])              # older than the last released post
-    assert list(out["media_id"]) == ["z", "c"] and bool(out["late"].iloc[0]) and not bool(out["late"].iloc[1])
+    assert run(st, [("b", 900, 48.85, 2.35), ("a", 800, 48.0, 2.0)]) == []     # first batch: no watermark yet
+    st.wm = 1_000 * 1000
+    assert run(st, [("0", 800, 1.0, 1.0), ("c", 2000, 48.9, 2.4)]) == [
+        ("0", 800, None, None, None), ("a", 800, 800, 1.0, 1.0), ("b", 900, 800, 48.0, 2.0)]
+    assert st.timeout == 2_000_000
 
 
-def test_impossible_jump_dropped_and_next_compared_with_it():
+def test_timeout_releases_up_to_the_watermark_only_and_keeps_the_last_post():
     st = StubState()
-    st.wm = 10_000 * 1000
-    out = run(st, [("p1", 0, 48.85, 2.35), ("t1", 3600, 35.68, 139.69), ("p2", 7200, 48.85, 2.35)])
-    # Tokyo one hour after Paris is dropped; the return hop is measured from it and dropped too
-    assert list(out["media_id"]) == ["p1"]
-
-
-def test_timeout_with_empty_buffer_removes_state():
+    st.wm = 100
+    run(st, [("a", 36_000, 48.85, 2.35), ("b", 30_000, 48.0, 2.0)])
+    st.timed_out, st.wm = True, 30_600 * 1000
+    assert [r[0] for r in run(st, [])] == ["b"]             # "a" is later than the watermark
+    st.wm = 40_000 * 1000
+    assert run(st, []) == [("a", 36_000, 30_000, 48.0, 2.0)]
+    assert not st.removed and st.timeout is None
+    st.timed_out, st.wm = False, 90_000 * 1000
+    assert run(st, [("tokyo", 80_000, 35.68, 139.69)]) == [("tokyo", 80_000, 36_000, 48.85, 2.35)]
+
+
+def test_missing_coordinates_pass_through():
     st = StubState()
-    st.wm = 5_000 * 1000
-    run(st, [("a", 100, 1.0, 1.0)])
-    st.timed_out = True
-    run(st, [])
-    assert st.removed
+    st.wm = 10_000 * 1000
+    assert run(st, [("a", 1, None, None), ("b", 2, 1.0, 2.0), ("c", 3, 1.0, 2.0)]) == [
+        ("a", 1, None, None, None), ("b", 2, 1, None, None), ("c", 3, 2, 1.0, 2.0)]

@@ -43,16 +43,51 @@ def test_bbox_and_dedup_stream(spark, sf_small):
     assert rows(got) == rows(exp)
 
 
-def test_speed_stream_equals_batch_on_in_order_input(spark, sf_small):
+def _speed_drain(spark, posts, folder, delay, name):
+    """Drain one file per micro-batch through the speed check."""
+    src = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(folder, "*"))
+    s = capture.speed_check_stream(src, delay=delay)
+    q = s.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    return spark.sql(f"select * from {name} where user_id != 'end'")
+
+
+def _batch_check(posts):
+    b = posts.withColumn("create_time", F.to_timestamp(F.substring("create_time", 5, 64), "MMM dd HH:mm:ss Z yyyy"))
+    return clean.drop_impossible(clean.with_movement(b))
+
+
+def test_speed_stream_equals_batch_over_many_unordered_batches(spark, sf_small):
     from geotrail.sources import derived
-    posts = derived.posts_a(spark, sf_small)
+    posts = derived.posts_a(spark, sf_small).select("user_id", "media_id", "create_time", "place_lat", "place_lon")
     d = tempfile.mkdtemp(prefix="geotrail-speed-")
-    posts.select("user_id", "media_id", "create_time", "place_lat", "place_lon").write.parquet(os.path.join(d, "p"))
-    src = spark.readStream.schema(spark.read.parquet(os.path.join(d, "p")).schema).parquet(os.path.join(d, "p"))
-    s = capture.speed_check_stream(src, delay="1 second")
-    q = s.writeStream.format("memory").queryName("speed_out").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    got = spark.sql("select media_id from speed_out where not late")
-    b = posts.withColumn("create_time", F.to_timestamp(F.substring("create_time", 5, 64), "MMM dd HH:mm:ss Z yyyy"))
-    exp = clean.drop_impossible(clean.with_movement(b)).select("media_id")
-    assert rows(got) == rows(exp)
+    n = 6
+    # every file holds posts of the whole period: nothing is later than the delay, nothing in order
+    for i in range(n):
+        part = posts.filter(F.pmod(F.xxhash64("media_id"), F.lit(n)) == i)
+        part.coalesce(1).write.parquet(os.path.join(d, f"a{i}"))
+    for i, year in enumerate((2090, 2095, 2099)):         # moves the watermark past everything
+        end = spark.createDataFrame([("end", f"e{i}", f"Sat Jan 01 10:00:00 +0000 {year}", 1.0, 1.0)], posts.schema)
+        end.coalesce(1).write.parquet(os.path.join(d, f"z{i}"))
+    got = _speed_drain(spark, posts, d, "3650 days", "speed_out")
+    want = _batch_check(posts)
+    cols = ["media_id", "interarrivaltime", F.round("dist", 6), F.round("speed", 6)]
+    assert rows(got.select(*cols)) == rows(want.select(*cols))
+
+
+def test_speed_stream_returns_after_a_long_break(spark):
+    schema = "user_id string, media_id string, create_time string, place_lat double, place_lon double"
+    d = tempfile.mkdtemp(prefix="geotrail-break-")
+    files = [[("u", "1", "Mon Jan 01 10:00:00 +0000 2024", 48.85, 2.35)],
+             [("x", "9", "Tue Jan 02 10:00:00 +0000 2024", 1.0, 1.0)],
+             [("x", "8", "Wed Jan 03 10:00:00 +0000 2024", 1.0, 1.0)],
+             [("u", "2", "Wed Jan 03 10:30:00 +0000 2024", 48.86, 2.35)],
+             [("u", "3", "Wed Jan 03 11:30:00 +0000 2024", 35.68, 139.69)],      # Tokyo one hour later: impossible
+             [("end", "e", "Wed Jan 01 10:00:00 +0000 2090", 1.0, 1.0)],
+             [("end", "f", "Sun Jan 01 10:00:00 +0000 2095", 1.0, 1.0)]]
+    for i, f in enumerate(files):
+        df = spark.createDataFrame(f, schema)
+        df.coalesce(1).write.parquet(os.path.join(d, f"f{i}"))
+    got = _speed_drain(spark, df, d, "1 hour", "break_out")
+    assert {r.media_id: r.interarrivaltime for r in got.filter("user_id = 'u'").collect()} == {
+        "1": None, "2": 2 * 86_400 + 1800}
