@@ -68,47 +68,51 @@ def holdout_errors(sample: DataFrame, final: DataFrame) -> DataFrame:
                     haversine_km(F.col("lon_sample"), F.col("lat_sample"), F.col("lon"), F.col("lat")).alias("error"))
 
 
-def holdout_metrics(sample: DataFrame, final: DataFrame, runs: int = RUNS) -> DataFrame:
-    """Per fold: coverage (hidden users re-located), sample size, share,
-    median and mean error (km)."""
-    err = holdout_errors(sample, final)
+def holdout_coverage(sample: DataFrame, final: DataFrame, runs: int = RUNS) -> DataFrame:
+    """Per fold: coverage (hidden users re-located), sample size and share."""
     size = sample.groupBy("fold").agg(F.count(F.lit(1)).alias("sample_size"))
-    cov = err.groupBy("fold").agg(F.count(F.lit(1)).alias("coverage"), F.avg("error").alias("error_mean"))
-    med = group_median(err, ["fold"], "error").withColumnRenamed("error", "error_median")
+    cov = holdout_errors(sample, final).groupBy("fold").agg(F.count(F.lit(1)).alias("coverage"))
     folds = sample.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("fold"))
-    out = folds.join(size, "fold", "left").join(cov, "fold", "left").join(med, "fold", "left")
+    out = folds.join(size, "fold", "left").join(cov, "fold", "left")
     return out.select(
         "fold", F.coalesce("coverage", F.lit(0)).cast("long").alias("coverage"),
         F.coalesce("sample_size", F.lit(0)).cast("long").alias("sample_size"),
         F.try_divide(F.coalesce("coverage", F.lit(0)).cast("double"), F.col("sample_size").cast("double"))
-        .alias("coverage_share"),
-        "error_median", "error_mean")
-
-
-def _student_t_two_sided_p(t: Column, df: Column, max_df: int = 400) -> Column:
-    """Two-sided p of Student's t for integer df, by the finite series
-    (odd df: arctan term plus cosine powers; even df: cosine powers)."""
-    theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
-    c2 = F.cos(theta) * F.cos(theta)
-    s = F.sin(theta)
-    ks = F.sequence(F.lit(1), F.greatest(df, F.lit(1)))
-
-    def series(odd: bool) -> Column:
-        # sum_{k=0}^{K} coef_k * c2^k with coef_0 = 1 and the ratio of the df parity
-        K = F.when(F.lit(odd), F.floor((df - 3) / 2)).otherwise(F.floor((df - 2) / 2)).cast("int")
-        init = F.struct(F.lit(1.0).alias("coef"), F.lit(1.0).alias("pw"), F.lit(0.0).alias("sum"))
-
-        def step(acc, k):
-            inside = k <= K + 1
-            term = acc["coef"] * acc["pw"]
-            ratio = ((2 * k) / (2 * k + 1)) if odd else ((2 * k - 1) / (2 * k))
-            return F.struct((acc["coef"] * ratio).alias("coef"), (acc["pw"] * c2).alias("pw"),
-                            (acc["sum"] + F.when(inside, term).otherwise(0.0)).alias("sum"))
-        return F.aggregate(ks, init, step)["sum"]
-    a_odd = (2 / math.pi) * (theta + F.when(df > 1, s * F.cos(theta) * series(True)).otherwise(0.0))
-    a_even = s * series(False)
-    a = F.when(df % 2 == 1, a_odd).otherwise(a_even)
-    return F.when(df >= 1, F.lit(1.0) - a)
+        .alias("coverage_share"))
+
+
+def holdout_metrics(sample: DataFrame, final: DataFrame, runs: int = RUNS) -> DataFrame:
+    """``holdout_coverage`` with the median and mean error (km) per fold."""
+    err = holdout_errors(sample, final)
+    mean = err.groupBy("fold").agg(F.avg("error").alias("error_mean"))
+    med = group_median(err, ["fold"], "error").withColumnRenamed("error", "error_median")
+    out = holdout_coverage(sample, final, runs).join(med, "fold", "left").join(mean, "fold", "left")
+    return out.select("fold", "coverage", "sample_size", "coverage_share", "error_median", "error_mean")
+
+
+STEPS = 2000             # Simpson intervals; their number does not depend on df
+
+
+def _cosine_power_integral(lo: Column, hi: Column, df: Column) -> Column:
+    """Integral of cos(u) ** (df - 1) from lo to hi by Simpson's rule."""
+    h = (hi - lo) / STEPS
+
+    def term(i):
+        s = F.sin(lo + h * i)
+        weight = F.when((i == 0) | (i == STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        # log1p keeps the digits that a huge df would lose
+        return weight * F.exp((df - 1) / 2 * F.log1p(-F.least(s * s, F.lit(1 - 1e-16))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda acc, i: acc + term(i)) * h / 3
+
+
+def _student_t_two_sided_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t: with u = atan(x / sqrt(df)) the density is
+    proportional to cos(u) ** (df - 1), and beyond 40 / sqrt(df) it is nil."""
+    df = df.cast("double")
+    end = F.least(F.lit(math.pi / 2), F.lit(40.0) / F.sqrt(df))
+    theta = F.least(F.atan(F.abs(t) / F.sqrt(df)), end)
+    p = _cosine_power_integral(theta, end, df) / _cosine_power_integral(F.lit(0.0), end, df)
+    return F.when(df >= 1, p)
 
 
 def paired_t_test(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -118,7 +122,7 @@ def paired_t_test(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     s = d.agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), F.stddev_samp("_d").alias("_sd"))
     t = F.try_divide(F.col("mean_diff"), F.col("_sd") / F.sqrt(F.col("n").cast("double")))
     t = F.when(F.col("_sd") > 0, t)
-    s = s.select("n", "mean_diff", t.alias("t"), (F.col("n") - 1).cast("int").alias("df"))
+    s = s.select("n", "mean_diff", t.alias("t"), (F.col("n") - 1).alias("df"))
     return s.select("n", "mean_diff", "t", "df", F.when(F.col("t").isNotNull(),
                                                           _student_t_two_sided_p(F.col("t"), F.col("df"))).alias("p"))
 

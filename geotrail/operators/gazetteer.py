@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.geo import haversine_km
 from geotrail.functions.text import place_label
+from geotrail.session import store
 
 KM_PER_DEGREE = 111.195          # 6371 km * pi / 180
 
@@ -25,46 +26,63 @@ def normalise_place(c) -> F.Column:
 def geocode(strings: DataFrame, gazetteer: DataFrame, text: str = "user_location") -> DataFrame:
     """Free-text place -> (lat, lon, 'city,country') by exact normalised key.
 
-    The gazetteer join is planned by AQE: broadcast when the measured
-    gazetteer is small, shuffle join otherwise (a full world gazetteer is
-    not assumed to fit)."""
-    g = gazetteer.select(F.col("key").alias("_k"), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"),
-                         place_label(F.col("city"), F.col("country")).alias("g_label"))
-    s = strings.withColumn("_k", normalise_place(F.col(text)))
-    return s.join(g, "_k", "inner").drop("_k")
+    Every string stays, with nulls where it is null or has no match. Of several
+    places with one key the first by (label, lat, lon) counts. The join is
+    planned by AQE (a full world gazetteer is not assumed to be small)."""
+    place = F.struct(place_label(F.col("city"), F.col("country")).alias("g_label"), F.col("lat").alias("g_lat"),
+                     F.col("lon").alias("g_lon"))
+    g = gazetteer.groupBy(F.col("key").alias("_k")).agg(F.min(place).alias("_g"))
+    s = strings.withColumn("_k", normalise_place(F.col(text))).join(g, "_k", "left")
+    return s.select(*strings.columns, "_g.g_lat", "_g.g_lon", "_g.g_label")
 
 
-def reverse_geocode(points: DataFrame, gazetteer: DataFrame, max_km: float = 100.0,
-                    lat: str = "lat", lon: str = "lon", id_col: str = "media_id") -> DataFrame:
-    """Nearest gazetteer place within ``max_km`` of each point (exact).
+def _nearest(points: DataFrame, gazetteer: DataFrame, km: float) -> DataFrame:
+    """(lat, lon, place_label, dist_km) of the nearest place within ``km``.
 
-    Points keep their grid cell (cell side = max_km in latitude degrees);
-    each gazetteer place is copied to every cell a circle of radius max_km
-    around it can touch — wider in longitude towards the poles, all cells
-    near a pole, wrapping across the date line. The large side (points) is
-    never replicated; candidates are checked with the haversine distance and
-    the nearest kept by (distance, label)."""
-    cell = max_km / KM_PER_DEGREE
+    Points keep their grid cell (cell side = km in latitude degrees); each
+    place is copied to every cell that a circle of radius km around it can
+    touch: wider in longitude towards the poles, all cells near a pole,
+    wrapping across the date line. The points are never copied."""
+    cell = km / KM_PER_DEGREE
     n_lon = int(math.ceil(360.0 / cell))
-    p = points.select(id_col, lat, lon,
-                      F.floor((F.col(lat) + 90) / cell).cast("long").alias("_cy"),
-                      F.pmod(F.floor((F.col(lon) + 180) / cell).cast("long"), F.lit(n_lon)).alias("_cx"))
-    g = gazetteer.select(F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"),
-                         place_label(F.col("city"), F.col("country")).alias("place_label"))
+    p = points.select("lat", "lon", F.floor((F.col("lat") + 90) / cell).cast("long").alias("_cy"),
+                      F.pmod(F.floor((F.col("lon") + 180) / cell).cast("long"), F.lit(n_lon)).alias("_cx"))
     # widest |lat| the circle reaches, and the longitude half-width there
-    far = F.least(F.abs(F.col("g_lat")) + F.lit(cell), F.lit(89.999))
-    half = F.least(F.lit(cell) / F.cos(F.radians(far)), F.lit(180.0))
-    near_pole = F.abs(F.col("g_lat")) + F.lit(cell) >= 89.999
-    cy0 = F.floor((F.col("g_lat") + 90) / cell).cast("long")
-    cx_lo = F.floor((F.col("g_lon") - half + 180) / cell).cast("long")
-    cx_hi = F.floor((F.col("g_lon") + half + 180) / cell).cast("long")
-    g = g.select("*", F.explode(F.sequence(cy0 - 1, cy0 + 1)).alias("_cy"),
-                 F.when(near_pole, F.sequence(F.lit(0).cast("long"), F.lit(n_lon - 1)))
-                 .otherwise(F.sequence(cx_lo, cx_hi)).alias("_cxs"))
+    reach = F.abs(F.col("g_lat")) + F.lit(cell)
+    half = F.least(F.lit(cell) / F.cos(F.radians(F.least(reach, F.lit(89.999)))), F.lit(180.0))
+    row = F.floor((F.col("g_lat") + 90) / cell).cast("long")
+    around = F.sequence(F.floor((F.col("g_lon") - half + 180) / cell).cast("long"),
+                        F.floor((F.col("g_lon") + half + 180) / cell).cast("long"))
+    columns = F.when(reach >= 89.999, F.sequence(F.lit(0).cast("long"), F.lit(n_lon - 1))).otherwise(around)
+    g = gazetteer.select("*", F.explode(F.sequence(row - 1, row + 1)).alias("_cy"), columns.alias("_cxs"))
     g = g.select("*", F.explode(F.array_distinct(F.transform("_cxs", lambda x: F.pmod(x, F.lit(n_lon)))))
                  .alias("_cx")).drop("_cxs")
-    x = p.join(g, ["_cy", "_cx"], "inner")
-    x = x.withColumn("dist_km", haversine_km(F.col(lon), F.col(lat), F.col("g_lon"), F.col("g_lat"))) \
-         .filter(F.col("dist_km") <= max_km)
-    best = x.groupBy(id_col).agg(F.min(F.struct("dist_km", "place_label")).alias("_b"))
-    return best.select(id_col, "_b.place_label", "_b.dist_km")
+    d = haversine_km(F.col("lon"), F.col("lat"), F.col("g_lon"), F.col("g_lat"))
+    best = (p.join(g, ["_cy", "_cx"]).withColumn("dist_km", d).filter(F.col("dist_km") <= km)
+            .groupBy("lat", "lon").agg(F.min(F.struct("dist_km", "place_label")).alias("_b")))
+    return best.select("lat", "lon", "_b.place_label", "_b.dist_km")
+
+
+def reverse_geocode(points: DataFrame, gazetteer: DataFrame, max_km: float = 100.0,
+                    lat: str = "lat", lon: str = "lon", rings: int = 4) -> DataFrame:
+    """Nearest gazetteer place within ``max_km`` of each point (exact).
+
+    Adds place_label and dist_km to every row, null where the point is null or
+    has no place in range; ties go to the smaller label. Distinct points are
+    looked up, in rings that double up to ``max_km``: what is found within a
+    ring's radius is certainly the nearest, only the other points go on, so a
+    point in a dense region is compared with the places of a few small cells."""
+    g = store(gazetteer.select(F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"),
+                               place_label(F.col("city"), F.col("country")).alias("place_label")), "places")
+    todo = store(points.select(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+                 .filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct(), "points")
+    found = None
+    for ring in range(rings - 1, -1, -1):
+        here = store(_nearest(todo, g, max_km / 2 ** ring), "nearest")
+        found = here if found is None else found.unionByName(here)
+        todo = todo.join(here, ["lat", "lon"], "left_anti")
+        if ring:
+            todo = store(todo, "points")
+    found = found.withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    on = (F.col(lat) == F.col("_lat")) & (F.col(lon) == F.col("_lon"))
+    return points.join(found, on, "left").drop("_lat", "_lon")

@@ -20,7 +20,8 @@ def link_accounts(posts_b: DataFrame, posts_a: DataFrame, normalise: bool = Fals
     a = posts_a.select("user_name", "user_location", F.col("expanded_url").alias("_u")).filter(F.col("_u").isNotNull())
     if normalise:
         b, a = b.withColumn("_u", normalise_url(F.col("_u"))), a.withColumn("_u", normalise_url(F.col("_u")))
-    return b.join(a, "_u", "inner").select("user_id", "user_name", "user_location").distinct()
+    # a URL posted many times on either side joins once per account
+    return b.distinct().join(a.distinct(), "_u").select("user_id", "user_name", "user_location").distinct()
 
 
 def cross_source_posts(posts_b: DataFrame, links: DataFrame) -> DataFrame:

@@ -10,17 +10,17 @@ from pyspark.sql.window import Window
 
 from geotrail.operators.skew import cumulative_weight
 
-TOP_N = 50
 
-
-def top_n(df: DataFrame, measure: str, key: str, n: int = TOP_N) -> DataFrame:
-    """``n`` rows with the largest ``measure``; ties broken by ``key``
-    (TakeOrderedAndProject: each task keeps its local top n)."""
+def top_n(df: DataFrame, measure: str, key: str, n: int | None) -> DataFrame:
+    """``n`` rows with the largest ``measure`` (all for None); ties broken by
+    ``key`` (TakeOrderedAndProject: each task keeps its local top n)."""
+    if n is None:
+        return df
     return df.orderBy(F.col(measure).desc(), F.col(key).asc()).limit(n)
 
 
-def posts_by_language(posts: DataFrame, n: int = TOP_N) -> DataFrame:
-    """Distinct posts per detected language (null excluded), top ``n``."""
+def posts_by_language(posts: DataFrame, n: int | None = None) -> DataFrame:
+    """Distinct posts per detected language (null excluded), the top ``n`` or all."""
     agg = (posts.filter(F.col("lang").isNotNull()).groupBy("lang")
            .agg(F.count_distinct("media_id").alias("posts")))
     return top_n(agg, "posts", "lang", n)
@@ -53,9 +53,9 @@ def residence(counts: DataFrame, user: str = "user_id", country: str = "country_
 
 
 def users_by_country(res: DataFrame, user: str = "user_id", country: str = "country_code",
-                     name: str = "users", n: int | None = TOP_N) -> DataFrame:
+                     name: str = "users", n: int | None = None) -> DataFrame:
     agg = res.groupBy(country).agg(F.count_distinct(user).alias(name))
-    return agg if n is None else top_n(agg, name, country, n)
+    return top_n(agg, name, country, n)
 
 
 def mobile_users(posts: DataFrame, user: str = "user_id", country: str = "country_code") -> DataFrame:
@@ -65,19 +65,19 @@ def mobile_users(posts: DataFrame, user: str = "user_id", country: str = "countr
 
 
 def mobile_users_by_country(res: DataFrame, mobile: DataFrame, user: str = "user_id",
-                            country: str = "country_code", n: int | None = TOP_N) -> DataFrame:
+                            country: str = "country_code", n: int | None = None) -> DataFrame:
     agg = (res.join(mobile, user, "inner").groupBy(country)
            .agg(F.count_distinct(user).alias("mobile_users")))
-    return agg if n is None else top_n(agg, "mobile_users", country, n)
+    return top_n(agg, "mobile_users", country, n)
 
 
 def mobile_share_by_country(res: DataFrame, mobile: DataFrame, user: str = "user_id",
-                            country: str = "country_code", n: int = TOP_N, parity: bool = False,
-                            digits: int = 3) -> DataFrame:
+                            country: str = "country_code", n: int | None = None, parity: bool = False,
+                            digits: int = 3, name: str = "mobile_share") -> DataFrame:
     """Mobile users / resident users per country, rounded to ``digits``.
 
-    Default: the share is computed over all countries, then the top ``n``
-    kept. ``parity=True`` first cuts both lists to their top ``n`` as the
+    Default: the share is computed over all countries, then the top ``n`` (or
+    all) kept. ``parity=True`` first cuts both lists to their top ``n`` as the
     reference did.
     """
     cut = n if parity else None
@@ -85,8 +85,8 @@ def mobile_share_by_country(res: DataFrame, mobile: DataFrame, user: str = "user
     u = users_by_country(res, user, country, "users", cut)
     share = (m.join(u, country, "inner")
              .select(country, F.round(F.try_divide(F.col("mobile_users").cast("double"),
-                                                   F.col("users").cast("double")), digits).alias("mobile_share")))
-    return top_n(share, "mobile_share", country, n)
+                                                   F.col("users").cast("double")), digits).alias(name)))
+    return top_n(share, name, country, n)
 
 
 def countries_per_user(posts: DataFrame, user: str = "user_id", country: str = "country_code") -> DataFrame:

@@ -13,18 +13,18 @@ from geotrail.plans.registry import query
 RUNS, ROUNDS = evaluate.RUNS, 5
 
 
-def sql_holdout(tag: str, weighted: bool) -> str:
+def sql_holdout(tag: str, weighted: bool, truth: str = "truth", sample: str = "sample") -> str:
     """CTEs <tag>_r1..r5 (fold-keyed rounds) and <tag>_m (per-fold metrics)."""
     parts = [f"""
-{tag}_s0 AS (SELECT f.fold, t.user_name, t.lat, t.lon, t.user_location FROM truth t CROSS JOIN folds f
-             WHERE NOT EXISTS (SELECT 1 FROM sample s WHERE s.fold = f.fold AND s.user_name = t.user_name))"""]
+{tag}_s0 AS (SELECT f.fold, t.user_name, t.lat, t.lon, t.user_location FROM {truth} t CROSS JOIN folds f
+             WHERE NOT EXISTS (SELECT 1 FROM {sample} s WHERE s.fold = f.fold AND s.user_name = t.user_name))"""]
     for i in range(1, ROUNDS + 1):
         prev = f"{tag}_s0" if i == 1 else f"{tag}_r{i - 1}"
         parts.append(round_sql("edges_f", prev, f"{tag}_r{i}", weighted, fold=True,
                                max_disp=QUERY_MAX_DISPERSION_KM))
     parts.append(f"""
 {tag}_err AS (SELECT s.fold, s.user_name, {hav("s.lon", "s.lat", "r.lon", "r.lat")} AS error
-              FROM sample s JOIN {tag}_r{ROUNDS} r ON r.fold = s.fold AND r.user_name = s.user_name
+              FROM {sample} s JOIN {tag}_r{ROUNDS} r ON r.fold = s.fold AND r.user_name = s.user_name
               WHERE r.user_location IS NOT NULL),
 {tag}_m AS (
   SELECT f.fold, CAST(coalesce(c.coverage, 0) AS BIGINT) AS coverage,
@@ -33,7 +33,7 @@ def sql_holdout(tag: str, weighted: bool) -> str:
               ELSE CAST(coalesce(c.coverage, 0) AS DOUBLE) / z.sample_size END AS coverage_share,
          c.error_median, c.error_mean
   FROM folds f
-  LEFT JOIN (SELECT fold, COUNT(*) AS sample_size FROM sample GROUP BY fold) z ON z.fold = f.fold
+  LEFT JOIN (SELECT fold, COUNT(*) AS sample_size FROM {sample} GROUP BY fold) z ON z.fold = f.fold
   LEFT JOIN (SELECT fold, COUNT(*) AS coverage, median(error) AS error_median, avg(error) AS error_mean
              FROM {tag}_err GROUP BY fold) c ON c.fold = f.fold)""")
     return ",".join(p.lstrip() if j else p for j, p in enumerate(parts))
@@ -49,11 +49,14 @@ SQL_EVAL_W = SQL_EVAL_BASE + "," + sql_holdout("w", True)
 SQL_EVAL_WU = SQL_EVAL_W + "," + sql_holdout("u", False)
 
 
-def _metrics(spark, sf, weighted=True, sizes=None):
-    c = ctx_a(spark, sf)
-    sample, final = evaluate.holdout_run(c.rec, c.truth, c.truth_posts, RUNS, ROUNDS, weighted, sizes=sizes,
-                                         max_dispersion_km=QUERY_MAX_DISPERSION_KM)
-    return evaluate.holdout_metrics(sample, final, RUNS)
+def _holdout(c, weighted=True, sizes=None, truth=None, truth_posts=None):
+    """(sample, final) of the hold-out runs over a chain, A's by default."""
+    return evaluate.holdout_run(c.rec, truth or c.truth, truth_posts or c.truth_posts, RUNS, ROUNDS, weighted,
+                                sizes=sizes, max_dispersion_km=QUERY_MAX_DISPERSION_KM)
+
+
+def _metrics(c, weighted=True, **kw):
+    return evaluate.holdout_metrics(*_holdout(c, weighted, **kw), RUNS)
 
 
 def _round_metrics(m):
@@ -70,13 +73,14 @@ def q_holdout_split(spark, sf):
 SELECT fold, coverage, sample_size, round(coverage_share, 6) AS coverage_share,
        round(error_median, 3) AS error_median, round(error_mean, 3) AS error_mean FROM w_m"""))
 def q_holdout_error(spark, sf):
-    return _round_metrics(_metrics(spark, sf))
+    return _round_metrics(_metrics(ctx_a(spark, sf)))
 
 
 @query("holdout_coverage", with_prelude(SQL_EVAL_W, """
 SELECT fold, coverage, sample_size, round(coverage_share, 6) AS coverage_share FROM w_m"""))
 def q_holdout_coverage(spark, sf):
-    return _round_metrics(_metrics(spark, sf)).select("fold", "coverage", "sample_size", "coverage_share")
+    return evaluate.holdout_coverage(*_holdout(ctx_a(spark, sf)), RUNS).withColumn(
+        "coverage_share", F.round("coverage_share", 6))
 
 
 @query("coverage_by_round", with_prelude(SQL_EVAL_W, "SELECT round, CAST(round(avg(known)) AS BIGINT) AS known_mean "
@@ -85,7 +89,7 @@ def q_holdout_coverage(spark, sf):
     + ") GROUP BY round"))
 def q_coverage_by_round(spark, sf):
     sizes = []
-    _metrics(spark, sf, sizes=sizes)
+    _holdout(ctx_a(spark, sf), sizes=sizes)
     return evaluate.mean_by_round(sizes).select(F.col("round").cast("int").alias("round"), "known_mean")
 
 
@@ -97,7 +101,7 @@ tv AS (SELECT n, md, CASE WHEN sd > 0 THEN md / (sd / sqrt(n)) END AS t, CAST(n
 th AS (SELECT *, atan(abs(t) / sqrt(df)) AS theta FROM tv),
 rat AS (SELECT k, CASE WHEN k = 0 THEN 0.0
                       WHEN df % 2 = 1 THEN ln((2.0 * k) / (2.0 * k + 1)) ELSE ln((2.0 * k - 1) / (2.0 * k)) END AS lr,
-               theta, df FROM th CROSS JOIN (SELECT range AS k FROM range(0, 400)) r),
+               theta, df FROM (SELECT *, unnest(range(0, greatest(df, 1))) AS k FROM th)),
 terms AS (SELECT k, exp(sum(lr) OVER (ORDER BY k)) * pow(cos(theta) * cos(theta), k) AS term, theta, df FROM rat),
 ser AS (SELECT coalesce(sum(term), 0.0) AS s FROM terms
         WHERE k <= CASE WHEN df % 2 = 1 THEN floor((df - 3) / 2) ELSE floor((df - 2) / 2) END),
@@ -109,8 +113,10 @@ pv AS (SELECT n, md, t, df, CASE WHEN t IS NULL OR df < 1 THEN NULL
 @query("paired_t_test", with_prelude(SQL_TTEST, """
 SELECT CAST(n AS BIGINT) AS n, round(md, 6) AS mean_diff, round(t, 6) AS t, df, round(p, 6) AS p FROM pv"""))
 def q_paired_t_test(spark, sf):
-    a = _metrics(spark, sf, weighted=True).select("fold", F.col("error_median").alias("a"))
-    b = _metrics(spark, sf, weighted=False).select("fold", F.col("error_median").alias("b"))
+    c = ctx_a(spark, sf)
+    a = _metrics(c, weighted=True).select("fold", F.col("error_median").alias("a"))
+    b = _metrics(c, weighted=False).select("fold", F.col("error_median").alias("b"))
     r = evaluate.paired_t_test(a.join(b, "fold"))
     return r.select(F.col("n").cast("long").alias("n"), F.round("mean_diff", 6).alias("mean_diff"),
-                    F.round("t", 6).alias("t"), "df", F.round("p", 6).alias("p"))
+                    F.round("t", 6).alias("t"), F.col("df").cast("int").alias("df"),
+                    F.round("p", 6).alias("p"))

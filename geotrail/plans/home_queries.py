@@ -14,12 +14,13 @@ from geotrail.plans.graph_queries import SQL_GRAPH
 from geotrail.plans.home_sql import cands_sql, inferred_dispersion_sql, medoid_sql, round_sql
 from geotrail.plans.oracle_prelude import hav, with_prelude
 from geotrail.plans.registry import query
+from geotrail.session import store
 from geotrail.sources import derived
 
 
 class Ctx:
     """Source-A chain up to the merged ground truth; each stage is built on
-    first use only."""
+    first use only. Reciprocal edges, which several stages read, are stored."""
 
     def __init__(self, spark, sf):
         self.spark, self.sf = spark, sf
@@ -30,7 +31,7 @@ class Ctx:
 
     @cached_property
     def rec(self) -> DataFrame:
-        return graph.reciprocal_edges(graph.mention_edges(self.posts))
+        return store(graph.reciprocal_edges(graph.mention_edges(self.posts)), "reciprocal")
 
     @cached_property
     def net(self) -> DataFrame:
@@ -183,11 +184,7 @@ def q_friend_distance_ecdf(spark, sf):
     return e.select(_r3(F.col("x")).alias("x"), F.round("y", 6).alias("y"))
 
 
-# The derived data put every user's friends in other cities (median
-# dispersion ~1,650 km at sf0.01), so the reference's 100 km cut would empty
-# every round. The registered propagation queries use this cut instead; the
-# operators keep 100 km as their default.
-QUERY_MAX_DISPERSION_KM = 2000.0
+QUERY_MAX_DISPERSION_KM = home.PROPAGATION_DISPERSION_KM
 
 SQL_ROUND1_Q = SQL_HOME + "," + round_sql("rec", "truth", "q1", weighted=True,
                                           max_disp=QUERY_MAX_DISPERSION_KM).lstrip()

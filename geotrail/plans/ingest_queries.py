@@ -1,15 +1,14 @@
 """Queries of JSON ingestion and parquet batches (S2, S4-S9, F1-F8, F22, F26,
-P11, P12, C3, C4) and the settings comparison (G9)."""
+P11, P12, C3, C4) and of the text patterns over the given texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geotrail.operators import evaluate, home, link
-from geotrail.plans.evaluation_queries import QUERY_MAX_DISPERSION_KM, ROUNDS, RUNS
+from geotrail.functions import text
+from geotrail.operators import clean, graph, home
+from geotrail.plans.cleaning_queries import CLEAN_COLS_SQL, SQL_COPIES, _clean_cols
 from geotrail.plans.function_queries import PERIOD
-from geotrail.plans.home_queries import ctx_a
-from geotrail.plans.mobility_queries import posts_b
 from geotrail.plans.oracle_prelude import with_prelude
 from geotrail.plans.registry import query
 from geotrail.session import scratch_path
@@ -79,22 +78,66 @@ def q_scan_merge_schema(spark, sf):
     return ingest.read_parquet_batches(spark, root).select("media_id", "user_id", "country_code", "lang")
 
 
-@query("setting_comparison")
-def q_setting_comparison(spark, sf):
-    """Per-fold hold-out metrics of three settings (rows-only check)."""
-    c = ctx_a(spark, sf)
-    kw = {"max_dispersion_km": QUERY_MAX_DISPERSION_KM}
-    out = []
-    for name, weighted in (("a_weighted", True), ("a_unweighted", False)):
-        s, f = evaluate.holdout_run(c.rec, c.truth, c.truth_posts, RUNS, ROUNDS, weighted, **kw)
-        out.append(evaluate.holdout_metrics(s, f, RUNS).withColumn("setting", F.lit(name)))
-    both = link.home_candidates_both(c.cands, link.cross_source_posts(posts_b(spark, sf),
-                                                                      link.link_accounts(posts_b(spark, sf), c.net)))
-    tp = home.ground_truth_from_posts(both)
-    truth = home.merge_ground_truth(c.profile, tp)
-    s, f = evaluate.holdout_run(c.rec, truth, tp, RUNS, ROUNDS, False, **kw)
-    out.append(evaluate.holdout_metrics(s, f, RUNS).withColumn("setting", F.lit("a_plus_b_unweighted")))
-    r = out[0]
-    for o in out[1:]:
-        r = r.unionByName(o)
-    return r
+FLAT = ("user_id", "media_id", "text", "create_time", "lang", "lat", "lon", "expanded_url")
+
+
+@query("scan_json_lines", with_prelude("",
+    "SELECT user_id, media_id, text, create_time, lang, lat, lon, expanded_url FROM posts_a"))
+def q_scan_json_lines(spark, sf):
+    """Post payloads written as JSON-lines files, read back and flattened."""
+    path = scratch_path(spark, "json-lines")
+    payloads.post_payloads(spark, sf).write.text(path)
+    return ingest.flatten_posts(ingest.read_json_lines(spark, path)).select(*FLAT)
+
+
+@query("scan_csv_profiles", with_prelude("", """
+SELECT user_name, TRY_CAST(lat AS DOUBLE) AS lat, TRY_CAST(lon AS DOUBLE) AS lon,
+       concat_ws(',', user_city, user_country) AS user_location FROM (SELECT DISTINCT * FROM profile_truth_raw)"""))
+def q_scan_csv_profiles(spark, sf):
+    """Profile truth written as CSV with a header, read as text and typed."""
+    path = scratch_path(spark, "csv")
+    derived.profile_truth_raw(spark, sf).write.option("header", True).csv(path)
+    return home.profile_ground_truth(ingest.read_csv(spark, path))
+
+
+@query("overwrite_clean_posts", with_prelude(SQL_COPIES, f"SELECT {CLEAN_COLS_SQL} FROM clean"))
+def q_overwrite_clean_posts(spark, sf):
+    """Cleaned posts written twice to one place; the second run replaces the first."""
+    path = scratch_path(spark, "clean")
+    ingest.write_table(derived.posts_a(spark, sf).select("media_id"), path)
+    clean_cols = _clean_cols(clean.clean_posts_a(derived.posts_a_with_copies(spark, sf)))
+    return spark.read.parquet(ingest.write_table(clean_cols, path))
+
+
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"      # what a name in a text may consist of
+
+
+@query("document_mentions", rf"""
+SELECT doc_id, list_aggregate(m, 'string_agg', ',') AS mention, len(m)::INT AS mentions
+FROM (SELECT doc_id, regexp_extract_all(text, '@[\s\x0B\x{{85}}\p{{Z}}]*({_WORD}+)', 1) AS m FROM documents
+      WHERE contains(text, '@'))""")
+def q_document_mentions(spark, sf):
+    """The mention pattern over the given texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    m = graph.with_mentions(docs)
+    return m.select("doc_id", F.nullif("mention", F.lit("")).alias("mention"), F.size("mentions").alias("mentions"))
+
+
+@query("conversation_mentions", rf"""
+SELECT target, count(*)::BIGINT AS weight FROM (
+  SELECT unnest(regexp_extract_all(text, '@[\s\x0B\x{{85}}\p{{Z}}]*({_WORD}+)', 1)) AS target
+  FROM conversations WHERE contains(text, '@')) GROUP BY target""")
+def q_conversation_mentions(spark, sf):
+    """Names mentioned in the given conversations, with their number."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("role", F.col("conv_id").alias("media_id"), "text")
+    edges = graph.mention_edges(turns, user="role")
+    return edges.groupBy("target").agg(F.sum("weight").alias("weight"))
+
+
+@query("document_coordinates", r"""
+SELECT doc_id, nullif(regexp_extract(text, '(-?\d+\.\d{3,}),[\s\x0B]*(-?\d+\.\d{3,})', 0), '') AS match
+FROM documents""")
+def q_document_coordinates(spark, sf):
+    """The coordinate pattern over the given texts (null where there is none)."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.select("doc_id", text.profile_coordinates("text")["match"].alias("match"))

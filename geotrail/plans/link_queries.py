@@ -13,11 +13,12 @@ from geotrail.plans.oracle_prelude import hav, with_prelude
 from geotrail.plans.registry import query
 from geotrail.sources import derived
 
-SQL_LINK = SQL_HOME + "," + SQL_POSTS_B.lstrip() + """,
+SQL_LINK_TABLES = SQL_POSTS_B.lstrip() + """,
 links AS (SELECT DISTINCT b.user_id, a.user_name, a.user_location FROM posts_b b JOIN net a ON b.url = a.expanded_url),
 cross_b AS (SELECT DISTINCT l.user_name, b.media_id, b.followers_count, b.lat, b.lon, b.city_name AS place_name,
                    b.country_id AS country_code
             FROM posts_b b JOIN (SELECT DISTINCT user_id, user_name FROM links) l ON l.user_id = b.user_id)"""
+SQL_LINK = SQL_HOME + "," + SQL_LINK_TABLES
 
 
 def _links(spark, sf):
@@ -77,23 +78,26 @@ def q_profile_strings(spark, sf):
 @query("geocode_gazetteer", with_prelude(SQL_HOME, r"""
 SELECT s.source AS user_name, s.user_location, g.lat AS g_lat, g.lon AS g_lon, g.city || ',' || g.country AS g_label
 FROM (SELECT DISTINCT user_name AS source, user_location FROM net) s
-JOIN gazetteer g ON g.key = lower(trim(regexp_replace(s.user_location, '\s+', ' ', 'g')))"""))
+LEFT JOIN gazetteer g ON g.key = lower(trim(regexp_replace(s.user_location, '\s+', ' ', 'g')))"""))
 def q_geocode_gazetteer(spark, sf):
     s = gazetteer.profile_strings(ctx_a(spark, sf).net)
     return gazetteer.geocode(s, derived.gazetteer(spark)).withColumnRenamed("source", "user_name")
 
 
 @query("reverse_geocode", with_prelude("", f"""
-SELECT media_id, place_label, round(dist_km, 3) AS dist_km FROM (
-  SELECT p.media_id, g.city || ',' || g.country AS place_label, {hav("p.lon", "p.lat", "g.lon", "g.lat")} AS dist_km,
+SELECT media_id, lat, lon, place_label, round(dist_km, 3) AS dist_km FROM (
+  SELECT p.media_id, p.lat, p.lon, g.city || ',' || g.country AS place_label,
+         {hav("p.lon", "p.lat", "g.lon", "g.lat")} AS dist_km,
          row_number() OVER (PARTITION BY p.media_id ORDER BY {hav("p.lon", "p.lat", "g.lon", "g.lat")},
                             g.city || ',' || g.country) AS rn
-  FROM posts_a p CROSS JOIN gazetteer g WHERE p.lat IS NOT NULL AND {hav("p.lon", "p.lat", "g.lon", "g.lat")} <= 100.0)
+  FROM posts_a p LEFT JOIN gazetteer g ON g.city <> 'Rome' AND {hav("p.lon", "p.lat", "g.lon", "g.lat")} <= 100.0)
 WHERE rn = 1"""))
 def q_reverse_geocode(spark, sf):
-    pts = derived.posts_a(spark, sf).filter(F.col("lat").isNotNull())
-    r = gazetteer.reverse_geocode(pts, derived.gazetteer(spark), 100.0)
-    return r.select("media_id", "place_label", F.round("dist_km", 3).alias("dist_km"))
+    """All posts against a gazetteer that lacks one city: points without a
+    coordinate and points out of range stay, with nulls."""
+    places = derived.gazetteer(spark).filter("city <> 'Rome'")
+    r = gazetteer.reverse_geocode(derived.posts_a(spark, sf).select("media_id", "lat", "lon"), places, 100.0)
+    return r.select("media_id", "lat", "lon", "place_label", F.round("dist_km", 3).alias("dist_km"))
 
 
 SQL_FRONTIER = """

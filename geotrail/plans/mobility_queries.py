@@ -11,6 +11,9 @@ from geotrail.plans.registry import query
 from geotrail.sources import derived
 
 
+TOP_N = 50      # rows of the report tables, as the mobility report cut them
+
+
 def posts_b(spark, sf):
     """Source-B posts: users x media (two batches) x locations."""
     media = derived.media_b(spark, sf)
@@ -53,7 +56,7 @@ def _res_a(spark, sf):
 SELECT lang, CAST(COUNT(DISTINCT media_id) AS BIGINT) AS posts FROM posts_a WHERE lang IS NOT NULL
 GROUP BY lang ORDER BY posts DESC, lang LIMIT 50"""))
 def q_posts_by_language(spark, sf):
-    return mobility.posts_by_language(_a(spark, sf))
+    return mobility.posts_by_language(_a(spark, sf), TOP_N)
 
 
 @query("user_country_counts", with_prelude(SQL_UCC,
@@ -80,7 +83,7 @@ def q_residence_parity(spark, sf):
 SELECT country_code, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users FROM res GROUP BY country_code
 ORDER BY users DESC, country_code LIMIT 50"""))
 def q_users_by_country(spark, sf):
-    return mobility.users_by_country(_res_a(spark, sf))
+    return mobility.users_by_country(_res_a(spark, sf), n=TOP_N)
 
 
 @query("mobile_users", with_prelude(SQL_UCC, "SELECT user_id FROM mob"))
@@ -94,7 +97,7 @@ FROM res r JOIN mob m ON r.user_id = m.user_id GROUP BY r.country_code
 ORDER BY mobile_users DESC, r.country_code LIMIT 50"""))
 def q_mobile_users_by_country(spark, sf):
     a = _a(spark, sf)
-    return mobility.mobile_users_by_country(_res_a(spark, sf), mobility.mobile_users(a))
+    return mobility.mobile_users_by_country(_res_a(spark, sf), mobility.mobile_users(a), n=TOP_N)
 
 
 @query("mobile_share_by_country", with_prelude(SQL_UCC + """,
@@ -105,23 +108,72 @@ SELECT mu.country_code, round(CAST(mobile_users AS DOUBLE) / CAST(users AS DOUBL
 FROM mu JOIN uu ON mu.country_code = uu.country_code ORDER BY mobile_share DESC, mu.country_code LIMIT 50"""))
 def q_mobile_share_by_country(spark, sf):
     a = _a(spark, sf)
-    return mobility.mobile_share_by_country(_res_a(spark, sf), mobility.mobile_users(a))
+    return mobility.mobile_share_by_country(_res_a(spark, sf), mobility.mobile_users(a), n=TOP_N)
 
 
-@query("users_by_country_both", with_prelude(SQL_UCC + "," + SQL_UCC_B.lstrip() + """,
-ua AS (SELECT country_code, COUNT(DISTINCT user_id) AS users FROM res GROUP BY country_code
-       ORDER BY users DESC, country_code LIMIT 50),
-ub AS (SELECT country_id, COUNT(DISTINCT user_id) AS instagram_users FROM resb GROUP BY country_id
-       ORDER BY instagram_users DESC, country_id LIMIT 50)""", """
-SELECT ua.country_code, CAST(users AS BIGINT) AS users, CAST(instagram_users AS BIGINT) AS instagram_users
-FROM ua JOIN ub ON ua.country_code = ub.country_id ORDER BY users DESC"""))
-def q_users_by_country_both(spark, sf):
-    ua = _res_a(spark, sf).transform(mobility.users_by_country)
+SQL_BOTH = SQL_UCC + "," + SQL_UCC_B.lstrip() + """,
+mobb AS (SELECT user_id FROM posts_b WHERE country_id IS NOT NULL GROUP BY user_id
+         HAVING COUNT(DISTINCT country_id) > 1),
+ua AS (SELECT country_code, COUNT(DISTINCT user_id) AS users FROM res GROUP BY country_code),
+ub AS (SELECT country_id, COUNT(DISTINCT user_id) AS users_b FROM resb GROUP BY country_id),
+ma AS (SELECT r.country_code, COUNT(DISTINCT m.user_id) AS mobile_users FROM res r JOIN mob m
+       ON r.user_id = m.user_id GROUP BY r.country_code),
+mb AS (SELECT r.country_id, COUNT(DISTINCT m.user_id) AS mobile_users FROM resb r JOIN mobb m
+       ON r.user_id = m.user_id GROUP BY r.country_id),
+sa AS (SELECT ma.country_code, round(CAST(mobile_users AS DOUBLE) / CAST(users AS DOUBLE), 3) AS mobile_share
+       FROM ma JOIN ua ON ma.country_code = ua.country_code),
+sb AS (SELECT mb.country_id, round(CAST(mobile_users AS DOUBLE) / CAST(users_b AS DOUBLE), 3) AS mobile_share_b
+       FROM mb JOIN ub ON mb.country_id = ub.country_id)"""
+
+
+def _b(spark, sf):
+    """Source B: posts, residence and mobile users."""
     pb = posts_b(spark, sf)
-    rb = mobility.residence(mobility.user_country_counts(pb, "user_id", "country_id"), "user_id", "country_id")
-    ub = mobility.users_by_country(rb, "user_id", "country_id", "instagram_users")
-    return (ua.join(ub, ua["country_code"] == ub["country_id"], "inner").drop("country_id")
-            .orderBy(F.col("users").desc()))
+    res = mobility.residence(mobility.user_country_counts(pb, *B_COLS), *B_COLS)
+    return res, mobility.mobile_users(pb, *B_COLS)
+
+
+B_COLS = ("user_id", "country_id")
+
+
+# the two lists are joined whole; a cut of each before the join would lose
+# countries that are frequent in one source only
+@query("users_by_country_both", with_prelude(SQL_BOTH, """
+SELECT ua.country_code, CAST(users AS BIGINT) AS users, CAST(users_b AS BIGINT) AS instagram_users
+FROM ua JOIN ub ON ua.country_code = ub.country_id ORDER BY users DESC, ua.country_code LIMIT 50"""))
+def q_users_by_country_both(spark, sf):
+    ua = mobility.users_by_country(_res_a(spark, sf))
+    ub = mobility.users_by_country(_b(spark, sf)[0], *B_COLS, "instagram_users")
+    return mobility.top_n(ua.join(ub, ua["country_code"] == ub["country_id"]).drop("country_id"),
+                          "users", "country_code", TOP_N)
+
+
+@query("mobile_users_b", with_prelude(SQL_BOTH, "SELECT user_id FROM mobb"))
+def q_mobile_users_b(spark, sf):
+    return _b(spark, sf)[1]
+
+
+@query("mobile_users_by_country_b", with_prelude(SQL_BOTH, """
+SELECT country_id, CAST(mobile_users AS BIGINT) AS mobile_users FROM mb
+ORDER BY mobile_users DESC, country_id LIMIT 50"""))
+def q_mobile_users_by_country_b(spark, sf):
+    return mobility.mobile_users_by_country(*_b(spark, sf), *B_COLS, n=TOP_N)
+
+
+@query("mobile_share_by_country_b", with_prelude(SQL_BOTH, """
+SELECT country_id, mobile_share_b AS mobile_share FROM sb ORDER BY mobile_share DESC, country_id LIMIT 50"""))
+def q_mobile_share_by_country_b(spark, sf):
+    return mobility.mobile_share_by_country(*_b(spark, sf), *B_COLS, n=TOP_N)
+
+
+@query("mobile_share_both", with_prelude(SQL_BOTH, """
+SELECT country_code, mobile_share, mobile_share_b FROM sa JOIN sb ON sa.country_code = sb.country_id
+ORDER BY mobile_share DESC, country_code LIMIT 50"""))
+def q_mobile_share_both(spark, sf):
+    a = mobility.mobile_share_by_country(_res_a(spark, sf), mobility.mobile_users(_a(spark, sf)))
+    b = mobility.mobile_share_by_country(*_b(spark, sf), *B_COLS, name="mobile_share_b")
+    return mobility.top_n(a.join(b, a["country_code"] == b["country_id"]).drop("country_id"),
+                          "mobile_share", "country_code", TOP_N)
 
 
 @query("countries_per_user", with_prelude("", """

@@ -30,10 +30,10 @@ geo(k, code, city, country, lat0, lon0) AS (VALUES
 ev AS (
   SELECT event_id, ts, user_id,
     CASE WHEN user_id % 7 = 2 AND event_id % 2 = 0 THEN (user_id + CAST(floor(event_id / 2) AS BIGINT)) % 12
-         WHEN user_id % 3 = 0 THEN (user_id * 5) % 12
+         WHEN user_id % 3 = 0 THEN (user_id // 7 * 5) % 12
          WHEN event_id % 10 = 0 THEN (user_id + CAST(floor(event_id / 10) AS BIGINT)) % 12
-         ELSE (user_id * 5) % 12 END AS k,
-    (user_id * 5) % 12 AS home_k
+         ELSE (user_id // 7 * 5) % 12 END AS k,
+    (user_id // 7 * 5) % 12 AS home_k
   FROM events
 ),
 posts_a AS (
@@ -72,7 +72,7 @@ media_b AS (
          event_id AS eid, user_id AS uid,
          CASE WHEN event_id % 5 = 0 THEN NULL
               WHEN event_id % 8 = 0 THEN 'L' || CAST((user_id + CAST(floor(event_id / 8) AS BIGINT)) % 12 AS VARCHAR)
-              ELSE 'L' || CAST((user_id * 5) % 12 AS VARCHAR) END AS location_id,
+              ELSE 'L' || CAST((user_id // 7 * 5) % 12 AS VARCHAR) END AS location_id,
          CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'pic ' || CAST(event_id AS VARCHAR) END AS text,
          CAST(floor(epoch(ts)) AS BIGINT) AS create_time_stamp,
          'https://media.example/p/m' || CAST(event_id AS VARCHAR) || '/' AS url
@@ -91,7 +91,7 @@ locations_b AS (
 profile_truth_raw AS (
   SELECT 'u' || CAST(u.user_id AS VARCHAR) AS user_name, CAST(g.lat0 AS VARCHAR) AS lat,
          CAST(g.lon0 AS VARCHAR) AS lon, g.city AS user_city, g.country AS user_country
-  FROM (SELECT DISTINCT user_id FROM events) u JOIN geo g ON g.k = (u.user_id * 5) % 12
+  FROM (SELECT DISTINCT user_id FROM events) u JOIN geo g ON g.k = (u.user_id // 7 * 5) % 12
   WHERE u.user_id % 5 IN (2, 3, 4)
 ),
 gazetteer AS (

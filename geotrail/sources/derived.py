@@ -50,11 +50,17 @@ def geo(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GEO_ROWS, GEO_SCHEMA)
 
 
+def _home_key(uid: Column) -> Column:
+    """Users in blocks of seven live in one city, so most friends (ids at most
+    three apart) are near and some are far."""
+    return (_div(uid, 7) * 5) % 12
+
+
 def _place_key(eid: Column, uid: Column) -> Column:
     return (F.when((uid % 7 == 2) & (eid % 2 == 0), (uid + _div(eid, 2)) % 12)
-            .when(uid % 3 == 0, (uid * 5) % 12)
+            .when(uid % 3 == 0, _home_key(uid))
             .when(eid % 10 == 0, (uid + _div(eid, 10)) % 12)
-            .otherwise((uid * 5) % 12))
+            .otherwise(_home_key(uid)))
 
 
 def post_time_text(ts: Column) -> Column:
@@ -66,7 +72,7 @@ def posts_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-A posts, raw (create_time as text), one row per event."""
     e = events(spark, sf_dir)
     eid, uid = F.col("event_id"), F.col("user_id")
-    e = e.select("event_id", "user_id", "ts", _place_key(eid, uid).alias("_k"), ((uid * 5) % 12).alias("_home"))
+    e = e.select("event_id", "user_id", "ts", _place_key(eid, uid).alias("_k"), (_home_key(uid)).alias("_home"))
     k, home = F.col("_k"), F.col("_home")
     place_lat = _lookup(k, 4) + ((eid * 37) % 200 - 100).cast("double") / 1000
     place_lon = _lookup(k, 5) + ((eid * 53) % 200 - 100).cast("double") / 1000
@@ -117,7 +123,7 @@ def media_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-B media: even events."""
     e = events(spark, sf_dir).filter(F.col("event_id") % 2 == 0)
     eid, uid = F.col("event_id"), F.col("user_id")
-    e = e.withColumn("_kb", F.when(eid % 8 == 0, (uid + _div(eid, 8)) % 12).otherwise((uid * 5) % 12))
+    e = e.withColumn("_kb", F.when(eid % 8 == 0, (uid + _div(eid, 8)) % 12).otherwise(_home_key(uid)))
     kb = F.col("_kb")
     return e.select(
         F.concat(F.lit("m"), eid.cast("string")).alias("media_id"),
@@ -170,7 +176,7 @@ def profile_truth_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile ground truth as read from its CSV: every column a string."""
     u = events(spark, sf_dir).select("user_id").distinct().filter((F.col("user_id") % 5).isin(2, 3, 4))
     uid = F.col("user_id")
-    home = (uid * 5) % 12
+    home = _home_key(uid)
     return u.select(
         F.concat(F.lit("u"), uid.cast("string")).alias("user_name"),
         _lookup(home, 4).cast("string").alias("lat"),

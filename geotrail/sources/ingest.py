@@ -166,6 +166,12 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header, every column as text (quotes, line breaks in
+    quotes). Nothing is inferred; the caller casts."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
 def read_parquet_batches(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
     """Many parquet batches whose columns grew over time, read as one table."""
     return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)

@@ -12,16 +12,35 @@ def _gaz(spark, data):
 def test_reverse_geocode_wraps_date_line_and_poles(spark):
     gaz = _gaz(spark, [("a", "East", "X", "X", 0.0, 179.9), ("b", "Pole", "Y", "Y", 89.9, 0.0),
                        ("c", "Paris", "France", "FR", 48.85, 2.35), ("d", "Far", "Z", "Z", 10.0, 10.0)])
-    pts = spark.createDataFrame([("p1", 0.0, -179.9), ("p2", 89.95, 120.0), ("p3", 48.9, 2.4), ("p4", -40.0, -40.0)],
+    pts = spark.createDataFrame([("p1", 0.0, -179.9), ("p2", 89.95, 120.0), ("p3", 48.9, 2.4), ("p4", -40.0, -40.0),
+                                 ("p3", 48.9, 2.4), ("p5", None, 2.0), ("p6", 0.0, 179.95), (None, 48.85, 2.35)],
                                 "media_id string, lat double, lon double")
-    got = {r["media_id"]: r["place_label"] for r in gazetteer.reverse_geocode(pts, gaz, 100.0).collect()}
-    assert got == {"p1": "East,X", "p2": "Pole,Y", "p3": "Paris,France"}
+    got = rows(gazetteer.reverse_geocode(pts, gaz, 100.0), "media_id", "place_label")
+    assert got == [("p1", "East,X"), ("p2", "Pole,Y"), ("p3", "Paris,France"), ("p3", "Paris,France"), ("p4", None),
+                   ("p5", None), ("p6", "East,X"), (None, "Paris,France")]
+
+
+def test_reverse_geocode_against_all_places(spark):
+    import random
+    from geotrail.functions.geo import haversine_km
+    rng = random.Random(8)
+    gaz = _gaz(spark, [(f"k{i}", f"c{i}", "X", "X", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)])
+    pts = spark.createDataFrame([(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)],
+                                "media_id long, lat double, lon double")
+    got = gazetteer.reverse_geocode(pts, gaz, 900.0).select("media_id", "place_label", F.round("dist_km", 6))
+    d = haversine_km("lon", "lat", "g_lon", "g_lat")
+    near = (pts.crossJoin(gaz.select(F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), "city"))
+            .withColumn("d", d).filter("d <= 900").groupBy("media_id")
+            .agg(F.min(F.struct("d", F.concat("city", F.lit(",X")).alias("l"))).alias("b")))
+    want = pts.select("media_id").join(near, "media_id", "left").select("media_id", "b.l", F.round("b.d", 6))
+    assert rows(got) == rows(want) and 50 < got.filter("place_label is null").count() < 250
 
 
 def test_geocode_normalises_text(spark):
     gaz = _gaz(spark, [("paris, france", "Paris", "France", "FR", 48.85, 2.35)])
-    s = spark.createDataFrame([("u1", "  Paris,   France "), ("u2", "48.8566, 2.3522")], "source string, user_location string")
-    assert rows(gazetteer.geocode(s, gaz), "source", "g_label") == [("u1", "Paris,France")]
+    s = spark.createDataFrame([("u1", "  Paris,   France "), ("u2", "48.8566, 2.3522"), ("u3", None)], "source string, user_location string")
+    twice = gaz.unionByName(_gaz(spark, [("paris, france", "Paris", "Texas", "US", 33.6, -95.5)]))
+    assert rows(gazetteer.geocode(s, twice), "source", "g_label") == [("u1", "Paris,France"), ("u2", None), ("u3", None)]
 
 
 def test_reciprocal_edges_weights_and_self_loops(spark):
