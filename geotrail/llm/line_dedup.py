@@ -242,6 +242,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text") ->
              .applyInArrow(_probe(min_docs), "t1 long, t2 long, at array<int>")
              .groupBy(F.col("t1").alias("_ld_t1"), F.col("t2").alias("_ld_t2"))
              .agg(F.flatten(F.collect_list("at")).alias("_ld_drop")))
+    # stored, so that the join below has plain shuffles on both sides and Spark
+    # can split the rows of a text that very many documents share
+    drops = store(drops, "drops")
 
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     doc = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_ld_text"))
