@@ -101,7 +101,7 @@ def _with_cells(directions: dict[int, np.ndarray], epsilon: float):
 
 
 BLOCKS = ("block long, d int, lo array<double>, hi array<double>, cells array<array<int>>, "
-          "cids binary, counts binary, vecs binary, proj binary")
+          "cids binary, counts binary, wide boolean, vecs binary")
 
 
 def _cut_blocks(directions: dict[int, np.ndarray], epsilon: float):
@@ -110,17 +110,16 @@ def _cut_blocks(directions: dict[int, np.ndarray], epsilon: float):
 
     def block(number: int, rows: pa.Table, d: int) -> pa.RecordBatch:
         rows = rows.combine_chunks()
-        vec = rows["vec"].combine_chunks()
-        x = unit(vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-        p = _project(x, directions)
+        raw = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        p = _project(unit(raw), directions)
         cells = np.unique(np.floor(p[:, :CELL_DIRECTIONS] / epsilon).astype(np.int32), axis=0)
         return pa.RecordBatch.from_arrays([
             pa.array([number], pa.int64()), pa.array([d], pa.int32()), pa.array([p.min(0).tolist()]),
             pa.array([p.max(0).tolist()]), pa.array([cells.tolist()], cells_kind),
             pa.array([rows["cid"].to_numpy().astype("<i8").tobytes()]),
-            pa.array([rows["n"].to_numpy().astype("<i8").tobytes()]), pa.array([x.astype("<f8").tobytes()]),
-            pa.array([p.astype("<f8").tobytes()])],
-            names=["block", "d", "lo", "hi", "cells", "cids", "counts", "vecs", "proj"])
+            pa.array([rows["n"].to_numpy().astype("<i8").tobytes()]), pa.array([raw.dtype.itemsize == 8]),
+            pa.array([raw.tobytes()])],
+            names=["block", "d", "lo", "hi", "cells", "cids", "counts", "wide", "vecs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -219,13 +218,14 @@ class PairJoin:
             union(self.parent, i + i0, j + j0)
 
 
-def _side(row: dict, side: str, d: int) -> dict:
-    return {"x": np.frombuffer(row[f"vecs_{side}"], "<f8").reshape(-1, d),
-            "p": np.frombuffer(row[f"proj_{side}"], "<f8").reshape(-1, DIRECTIONS),
-            "n": np.frombuffer(row[f"counts_{side}"], "<i8"), "cid": np.frombuffer(row[f"cids_{side}"], "<i8")}
+def _side(row: dict, side: str, d: int, directions: dict[int, np.ndarray]) -> dict:
+    """A block from its bytes: vectors travel as they came and are scaled here."""
+    x = unit(np.frombuffer(row[f"vecs_{side}"], "<f8" if row[f"wide_{side}"] else "<f4").reshape(-1, d))
+    return {"x": x, "p": _project(x, directions), "n": np.frombuffer(row[f"counts_{side}"], "<i8"),
+            "cid": np.frombuffer(row[f"cids_{side}"], "<i8")}
 
 
-def _join_pairs(threshold: float):
+def _join_pairs(threshold: float, directions: dict[int, np.ndarray]):
     """Block pairs -> rows (u, v, n): link counts (v null) and forest edges."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
@@ -233,8 +233,8 @@ def _join_pairs(threshold: float):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                a = _side(row, "a", row["d"])
-                b = None if row["a"] == row["b"] else _side(row, "b", row["d"])
+                a = _side(row, "a", row["d"], directions)
+                b = None if row["a"] == row["b"] else _side(row, "b", row["d"], directions)
                 j = PairJoin(a, b, threshold)
                 cid = a["cid"] if b is None else np.concatenate([a["cid"], b["cid"]])
                 some = np.flatnonzero(j.links > 0)
@@ -263,10 +263,11 @@ def class_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
                .repartitionByRange(parts, *order).sortWithinPartitions(*order).coalesce(parts))
     blocks = store(ordered.mapInArrow(_cut_blocks(directions, epsilon), BLOCKS), "blocks")
     pairs = store(_block_pairs(blocks, epsilon), "block-pairs")
-    load = blocks.select("block", "d", "cids", "counts", "vecs", "proj")
-    both = (pairs.join(load.toDF("a", "d", *(f"{c}_a" for c in ("cids", "counts", "vecs", "proj"))), "a")
-            .join(load.drop("d").toDF("b", *(f"{c}_b" for c in ("cids", "counts", "vecs", "proj"))), "b"))
-    found = store(both.mapInArrow(_join_pairs(threshold), "u long, v long, n long"), "links")
+    names = ("cids", "counts", "wide", "vecs")
+    load = blocks.select("block", "d", *names)
+    both = (pairs.join(load.toDF("a", "d", *(f"{c}_a" for c in names)), "a")
+            .join(load.drop("d").toDF("b", *(f"{c}_b" for c in names)), "b"))
+    found = store(both.mapInArrow(_join_pairs(threshold, directions), "u long, v long, n long"), "links")
     counts = (found.filter(F.col("v").isNull()).groupBy(F.col("u").alias("cid"))
               .agg(F.sum("n").alias("linked")))
     return counts, found.filter(F.col("v").isNotNull()).select("u", "v")
