@@ -47,10 +47,10 @@ BY_TAG = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer",
 BY_WORD = {
     "menu": "menu navbar navigation nav breadcrumb breadcrumbs topbar pagination pager toc tabs skip",
     "header": "header masthead",
-    "footer": "footer copyright colophon",
+    "footer": "footer copyright colophon contentinfo",
     "sidebar": "sidebar widget related recommended recommendations popular trending rail more-stories complementary",
     "notice": "notice cookie cookies consent gdpr alert banner popup modal overlay paywall warning disclaimer",
-    "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion commercial",
+    "ad": "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion commercial",
     "form": "form newsletter subscribe subscription signup login search feedback",
     "comment": "comment comments commentlist respond disqus reply replies discussion reviews",
     "share": "share sharing social follow tags byline meta",
@@ -67,6 +67,8 @@ TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|data-main)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""",
                        re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+ABOUT_LAYOUT = frozenset("has no not with without is".split())      # "no-sidebar" is not a sidebar
+WHOLE_PAGE = frozenset("html body main".split())                    # never surroundings themselves
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -76,20 +78,24 @@ def _kinds(name: str, attributes: str, inside: int) -> tuple[int, bool, bool]:
     """(kinds of this element, hidden, marked as content)."""
     kind = BY_TAG.get(name)
     own = BIT[kind] if kind else 0
-    if name == "header" and inside & BIT["main"]:
-        own = 0         # the heading of an article
     hidden = marked = False
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key in ("class", "id", "role"):
-                for w in WORDS.findall(value):
-                    own |= BIT.get(HINTS.get(w.lower()), 0)
+                for part in value.split():
+                    words = [w.lower() for w in WORDS.findall(part)]
+                    if words and words[0] not in ABOUT_LAYOUT:
+                        own |= sum(BIT[k] for k in {HINTS[w] for w in words if w in HINTS})
             elif key == "data-main":
                 marked = True
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (
                     key == "style" and HIDDEN.search(value)):
                 hidden = True
+    if name in WHOLE_PAGE:
+        own &= ~AROUND
+    if inside & BIT["main"]:
+        own &= ~BIT["header"]       # the heading of an article
     if own & AROUND:
         own &= ~BIT["main"]
     return own, hidden, marked

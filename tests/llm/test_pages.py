@@ -41,6 +41,12 @@ STORY = "A plain sentence of the story, as long as sentences usually are, follow
     ("<header><p>Site name and motto</p></header>{}", '{}<div class="advert">' + STORY + "</div>"),
     ("<script>var a = '<p>words</p>';</script><style>p {{ x }}</style>{}", "{}<!-- a note <p>words</p> -->"),
     ("{}", '{}<aside class="related"><h3>More</h3><p>' + STORY + "</p></aside>"),
+    ('<div class="layout no-sidebar has-banner"><div role="navigation">Some links</div><main>{}</main></div>', "{}"),
+    ('<div class="site-header">The site</div><article class="post">{}</article><div class="page-footer">x y</div>',
+     '<header class="entry-header">{}</header>'),
+    ('<ul class="menu"><li>One<li>Two</ul><table><tr><td>{}</td></tr></table>', "{}"),
+    ('{}<div class="post-comments"><ol><li><p>' + STORY * 2 + "</p><li><p>" + STORY + "</p></ol></div>", "{}"),
+    ("{}<ins class=adsbygoogle>" + STORY + "</ins><noscript>" + STORY + "</noscript>", "<div>{}</div>"),
 ])
 def test_surroundings_are_left_out(around, inside):
     first = "<h1>The head</h1><p>" + STORY + " One &amp; two&nbsp;<b>bold</b>word.<br>next</p>"
