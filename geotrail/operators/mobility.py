@@ -64,6 +64,11 @@ def mobile_users(posts: DataFrame, user: str = "user_id", country: str = "countr
             .agg(F.count_distinct(country).alias("_c")).filter(F.col("_c") > 1).select(user))
 
 
+def mobile_from_counts(counts: DataFrame, user: str = "user_id") -> DataFrame:
+    """``mobile_users`` from the (user, country) table, without another scan."""
+    return counts.groupBy(user).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > 1).select(user)
+
+
 def mobile_users_by_country(res: DataFrame, mobile: DataFrame, user: str = "user_id",
                             country: str = "country_code", n: int | None = None) -> DataFrame:
     agg = (res.join(mobile, user, "inner").groupBy(country)

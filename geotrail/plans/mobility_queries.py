@@ -8,6 +8,7 @@ from geotrail.operators import clean, mobility
 from geotrail.plans.cleaning_queries import SQL_COPIES
 from geotrail.plans.oracle_prelude import with_prelude
 from geotrail.plans.registry import query
+from geotrail.session import store
 from geotrail.sources import derived
 
 
@@ -48,6 +49,12 @@ def _a(spark, sf):
     return derived.posts_a(spark, sf)
 
 
+def _residence_and_mobile(posts, user="user_id", country="country_code"):
+    """Both from one pass over the posts: the (user, country) table is stored."""
+    counts = store(mobility.user_country_counts(posts, user, country), "counts")
+    return mobility.residence(counts, user, country), mobility.mobile_from_counts(counts, user)
+
+
 def _res_a(spark, sf):
     return mobility.residence(mobility.user_country_counts(_a(spark, sf)))
 
@@ -96,8 +103,7 @@ SELECT r.country_code, CAST(COUNT(DISTINCT m.user_id) AS BIGINT) AS mobile_users
 FROM res r JOIN mob m ON r.user_id = m.user_id GROUP BY r.country_code
 ORDER BY mobile_users DESC, r.country_code LIMIT 50"""))
 def q_mobile_users_by_country(spark, sf):
-    a = _a(spark, sf)
-    return mobility.mobile_users_by_country(_res_a(spark, sf), mobility.mobile_users(a), n=TOP_N)
+    return mobility.mobile_users_by_country(*_residence_and_mobile(_a(spark, sf)), n=TOP_N)
 
 
 @query("mobile_share_by_country", with_prelude(SQL_UCC + """,
@@ -107,8 +113,7 @@ uu AS (SELECT country_code, COUNT(DISTINCT user_id) AS users FROM res GROUP BY c
 SELECT mu.country_code, round(CAST(mobile_users AS DOUBLE) / CAST(users AS DOUBLE), 3) AS mobile_share
 FROM mu JOIN uu ON mu.country_code = uu.country_code ORDER BY mobile_share DESC, mu.country_code LIMIT 50"""))
 def q_mobile_share_by_country(spark, sf):
-    a = _a(spark, sf)
-    return mobility.mobile_share_by_country(_res_a(spark, sf), mobility.mobile_users(a), n=TOP_N)
+    return mobility.mobile_share_by_country(*_residence_and_mobile(_a(spark, sf)), n=TOP_N)
 
 
 SQL_BOTH = SQL_UCC + "," + SQL_UCC_B.lstrip() + """,
@@ -127,10 +132,8 @@ sb AS (SELECT mb.country_id, round(CAST(mobile_users AS DOUBLE) / CAST(users_b A
 
 
 def _b(spark, sf):
-    """Source B: posts, residence and mobile users."""
-    pb = posts_b(spark, sf)
-    res = mobility.residence(mobility.user_country_counts(pb, *B_COLS), *B_COLS)
-    return res, mobility.mobile_users(pb, *B_COLS)
+    """Source B: residence and mobile users."""
+    return _residence_and_mobile(posts_b(spark, sf), *B_COLS)
 
 
 B_COLS = ("user_id", "country_id")
@@ -150,7 +153,7 @@ def q_users_by_country_both(spark, sf):
 
 @query("mobile_users_b", with_prelude(SQL_BOTH, "SELECT user_id FROM mobb"))
 def q_mobile_users_b(spark, sf):
-    return _b(spark, sf)[1]
+    return mobility.mobile_users(posts_b(spark, sf), *B_COLS)
 
 
 @query("mobile_users_by_country_b", with_prelude(SQL_BOTH, """
@@ -170,7 +173,7 @@ def q_mobile_share_by_country_b(spark, sf):
 SELECT country_code, mobile_share, mobile_share_b FROM sa JOIN sb ON sa.country_code = sb.country_id
 ORDER BY mobile_share DESC, country_code LIMIT 50"""))
 def q_mobile_share_both(spark, sf):
-    a = mobility.mobile_share_by_country(_res_a(spark, sf), mobility.mobile_users(_a(spark, sf)))
+    a = mobility.mobile_share_by_country(*_residence_and_mobile(_a(spark, sf)))
     b = mobility.mobile_share_by_country(*_b(spark, sf), *B_COLS, name="mobile_share_b")
     return mobility.top_n(a.join(b, a["country_code"] == b["country_id"]).drop("country_id"),
                           "mobile_share", "country_code", TOP_N)
