@@ -3,8 +3,8 @@
 Each round joins the edges with their nodes' smallest neighbours; the edge
 table is written to the shared folder after every half round. Nothing but
 two counters per round comes to the driver. Partial minima are combined
-before the shuffle and the joins are plain equi-joins, so a node with very
-many neighbours is split by Spark's adaptive skew handling.
+before the shuffle, and are stored, so that the joins have plain shuffles on
+both sides and Spark can split the rows of a node with very many neighbours.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from geotrail.session import store
 
 def _smallest(pairs: DataFrame) -> DataFrame:
     """(u, m): the smallest of u and its neighbours in ``pairs`` (u, v)."""
-    return pairs.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+    return store(pairs.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "minima")
 
 
 def _large_star(e: DataFrame) -> DataFrame:

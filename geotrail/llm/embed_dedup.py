@@ -6,8 +6,9 @@ principal directions, put into the order of the grid of epsilon cells on those
 directions, and cut into sequence intervals (blocks). Two blocks meet only if
 they own neighbouring cells and their boxes are at most epsilon apart; inside
 a pair the intervals are halved recursively, skipping every sub-pair whose
-boxes are further apart than epsilon, down to leaves that are compared by one
-matrix product. A projection never makes two vectors further apart, so nothing
+boxes are further apart than epsilon and linking as a whole those that lie
+within epsilon of each other, down to leaves that are compared by one matrix
+product. A projection never makes two vectors further apart, so nothing
 is lost, whatever sample the directions were fitted on.
 
 Equal vectors are one class with a multiplicity and take part once. A block
@@ -187,7 +188,9 @@ class PairJoin:
         gap = np.maximum(0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
         if gap @ gap > self.reach:
             return
-        if i1 - i0 <= LEAF and j1 - j0 <= LEAF:
+        if self.all_near(i0, i1, j0, j1):
+            self.link_all(i0, i1, j0, j1)
+        elif i1 - i0 <= LEAF and j1 - j0 <= LEAF:
             self.leaf(i0, i1, j0, j1)
         elif i0 == j0:
             m = (i0 + i1) // 2
@@ -203,6 +206,25 @@ class PairJoin:
             self.join(i0, i1, j0, m)
             self.join(i0, i1, m, j1)
 
+    def all_near(self, i0: int, i1: int, j0: int, j1: int) -> bool:
+        """Whether balls around the two intervals prove every pair a link."""
+        def ball(x):
+            centre = x.mean(axis=0)
+            return centre, math.sqrt(np.square(x - centre).sum(axis=1).max())
+        a, ra = ball(self.x[i0:i1])
+        b, rb = (a, ra) if i0 == j0 else ball(self.x[j0:j1])
+        return np.linalg.norm(a - b) + ra + rb + 1e-6 <= math.sqrt(max(2 - 2 * self.threshold, 0))
+
+    def link_all(self, i0: int, i1: int, j0: int, j1: int) -> None:
+        i, j = np.arange(i0, i1), np.arange(j0, j1)
+        if i0 == j0:
+            self.links[i] += self.n[i].sum() - self.n[i]
+        else:
+            self.links[i] += self.n[j].sum()
+            self.links[j] += self.n[i].sum()
+        every = np.concatenate([i, j])
+        union(self.parent, every[1:], np.full(len(every) - 1, every[0]))
+
     def leaf(self, i0: int, i1: int, j0: int, j1: int) -> None:
         score = self.x[i0:i1] @ self.x[j0:j1].T
         hit = score >= self.threshold

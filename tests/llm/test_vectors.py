@@ -68,6 +68,21 @@ def test_links_against_brute_force(spark, monkeypatch, threshold, block):
     assert got[0].component == 4
 
 
+def test_dense_clusters_link_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 50)
+    monkeypatch.setattr(embed_dedup, "LEAF", 20)
+    leaves = []
+    monkeypatch.setattr(embed_dedup.PairJoin, "leaf", lambda self, *a: leaves.append(a))
+    rng = np.random.default_rng(2)
+    x = np.ones(8) + rng.normal(size=(60, 8)) * 0.01
+    side = lambda x: {"x": embed_dedup.unit(x), "p": embed_dedup._project(embed_dedup.unit(x), {}),
+                      "n": np.full(len(x), 2)}
+    j = embed_dedup.PairJoin(side(x[:40]), side(x[40:]), 0.95)
+    assert not leaves and j.links.tolist() == [40.0] * 40 + [80.0] * 20 and not j.parent.any()
+    j = embed_dedup.PairJoin(side(x), None, 0.95)
+    assert not leaves and j.links.tolist() == [118.0] * 60 and not j.parent.any()
+
+
 def test_links_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert link_vectors(df).collect() == []
