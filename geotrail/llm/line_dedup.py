@@ -191,8 +191,9 @@ def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                    .append_column("_ld_t2", pa.array([k[1] for k in keys], pa.int64())).drop_columns(["_ld_text"]))
 
 
-def line_index(texts: DataFrame, min_docs: int) -> DataFrame:
-    """Index rows (INDEX_SCHEMA) over all distinct line hashes.
+def line_index(texts: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+    """Index rows (INDEX_SCHEMA) over all distinct line hashes, and the
+    number of shards.
 
     texts: (t1, t2, copies, lines). The number of shards follows the number
     of distinct lines (KEYS_PER_SHARD) and the parallelism of the session."""

@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     share ``share`` times the size of all; no target exceeds ``max_copies``
     times its source, and what a source cannot take goes to the others by
     weight: target = min(level * weight, cap) with the level that spends all.
-    Adds target, whole (copies of every document) and pi."""
+    Adds target, whole (copies of every document) and pi. The windows run over
+    one row per source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     w = F.array(*[F.lit(x).cast("double") for x in weights])
@@ -84,7 +85,8 @@ def _first_over(sums: DataFrame, by: str) -> DataFrame:
 
 
 def _cuts(docs: DataFrame) -> DataFrame:
-    """(sid, cut): documents of the source with z <= cut get one more copy.
+    """(sid, cut, with_cut): documents of the source with z < cut get one more
+    copy, those with z = cut too if with_cut.
 
     docs: (sid, z, size, rest). A source that takes all has no row."""
     slot = F.floor(F.col("z") * SLOTS).cast("int")
@@ -102,7 +104,6 @@ def _cuts(docs: DataFrame) -> DataFrame:
     third = _first_over(last, "z")
     # the document that crosses the line is taken if that ends nearer to it
     near = F.col("before") + F.col("words") - F.col("rest") <= F.col("rest") - F.col("before")
-    # z below the smallest double above it: the document before the crossing one is the last
     return third.select("sid", F.col("z").alias("cut"), near.alias("with_cut"))
 
 
