@@ -30,7 +30,7 @@ def user_audit(users: DataFrame, media: DataFrame, user: str = "user_id") -> Dat
     return users.join(agg, user, "left")
 
 
-def with_request_suffix(df: DataFrame, url: str, contains: str = "instagram", suffix: str = "?__a=1") -> DataFrame:
+def with_request_suffix(df: DataFrame, url: str, contains: str = "media.example", suffix: str = "?__a=1") -> DataFrame:
     """URLs containing ``contains`` with the request suffix appended."""
     return df.filter(F.col(url).contains(contains)).withColumn("request_url", F.concat(F.col(url), F.lit(suffix)))
 

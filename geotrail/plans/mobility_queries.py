@@ -142,11 +142,11 @@ B_COLS = ("user_id", "country_id")
 # the two lists are joined whole; a cut of each before the join would lose
 # countries that are frequent in one source only
 @query("users_by_country_both", with_prelude(SQL_BOTH, """
-SELECT ua.country_code, CAST(users AS BIGINT) AS users, CAST(users_b AS BIGINT) AS instagram_users
+SELECT ua.country_code, CAST(users AS BIGINT) AS users, CAST(users_b AS BIGINT) AS users_b
 FROM ua JOIN ub ON ua.country_code = ub.country_id ORDER BY users DESC, ua.country_code LIMIT 50"""))
 def q_users_by_country_both(spark, sf):
     ua = mobility.users_by_country(_res_a(spark, sf))
-    ub = mobility.users_by_country(_b(spark, sf)[0], *B_COLS, "instagram_users")
+    ub = mobility.users_by_country(_b(spark, sf)[0], *B_COLS, "users_b")
     return mobility.top_n(ua.join(ub, ua["country_code"] == ub["country_id"]).drop("country_id"),
                           "users", "country_code", TOP_N)
 

@@ -1,4 +1,4 @@
-from geotrail.session import cut_lineage, ensure_checkpoint_dir
+from geotrail.session import cut_lineage, ensure_checkpoint_dir, scratch_path, store
 
 
 def test_cut_lineage_uses_the_session_checkpoint_folder(spark):
@@ -11,3 +11,12 @@ def test_cut_lineage_uses_the_session_checkpoint_folder(spark):
     assert df.count() == 10
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LocalCheckpoint" not in plan and "Range" not in plan     # reads the written data
+
+
+def test_store_keeps_schema_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, None, [1.5, None]), (2, "b", None)], "a long, b string, c array<double>")
+    got = store(df)
+    assert got.schema == df.schema and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    assert store(df.limit(0)).collect() == []
+    assert scratch_path(spark, "x").startswith(ensure_checkpoint_dir(spark)) and scratch_path(spark, "x") != \
+        scratch_path(spark, "x")
