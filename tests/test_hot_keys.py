@@ -121,3 +121,20 @@ def test_candidates_keep_the_most_active_users(spark):
         F.lit("P").alias("place_name"), F.lit("FR").alias("country_code"))
     assert home.home_candidates(df).count() == 1300
     assert home.home_candidates(df, max_posts=500).count() == 100
+
+
+@pytest.mark.parametrize("keys", [[], ["fold"]])
+def test_estimates_do_not_depend_on_the_tile(spark, keys):
+    """Known and unknown sources, weighted, with and without folds: small and large path agree."""
+    rng = random.Random(4)
+    users = [f"u{i}" for i in range(40)]
+    edges = [(a, b, rng.randint(1, 4)) for a in users for b in users if a != b and rng.random() < 0.5]
+    known = [(f, u, 45 + rng.random() * 5, rng.random() * 9, "L")
+             for f in (1, 2) for u in users if rng.random() < 0.7]
+    e = spark.createDataFrame(edges, "source string, target string, weight long")
+    t = spark.createDataFrame(known, "fold int, user_name string, lat double, lon double, user_location string")
+    t = t if keys else t.filter("fold = 1").drop("fold")
+    cols = [*keys, "user_name", "lat", "lon", "user_location", F.round("dispersion", 6), "inferred"]
+    small = home.estimate(e, t, keys, True).select(*cols)
+    large = home.estimate(e, t, keys, True, tile=5).select(*cols)
+    assert rows(small) == rows(large) and small.filter("inferred").count() > 5 and small.filter("!inferred").count() > 5
