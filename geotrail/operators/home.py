@@ -20,7 +20,7 @@ TILE_POINTS = 1024          # distinct points per key evaluated in one array
 ACTIVITY_RADIUS_KM = 30.0
 PROPAGATION_DISPERSION_KM = 100.0
 MIN_POSTS = 3
-GRID = 48                   # cells per side of the grid that bounds the costs of a large key
+GRID = 96                   # cells per side of the grid that bounds the costs of a large key
 COST_TILE = 2048            # points a side in one pair of tiles of a large key
 COST_DIGITS = 6
 
