@@ -36,7 +36,7 @@ LEAF = 256              # vectors a side in one matrix product
 DIRECTIONS = 8          # leading principal directions
 CELL_DIRECTIONS = 3     # of them, those whose cells pair up blocks
 FIT_VALUES = 1 << 19    # components in the sample that the directions are fitted on
-CLOSE = 1e-9            # scores this near to the threshold are computed again
+CLOSE = 1e-9            # double scores this near to the threshold are summed again exactly
 
 
 def principal_directions(classes: DataFrame) -> dict[int, np.ndarray]:
@@ -175,6 +175,7 @@ class PairJoin:
         self.p = np.concatenate([s["p"] for s in sides])
         self.n = np.concatenate([s["n"] for s in sides]).astype(np.float64)
         self.threshold, self.reach = threshold, 2 - 2 * threshold + CLOSE
+        self.single, self.margin = self.x.astype(np.float32), 2e-7 * (self.x.shape[1] + 50)
         self.links = np.zeros(len(self.x), np.float64)
         self.parent = np.arange(len(self.x))
         na, nb = len(a["x"]), (0 if b is None else len(b["x"]))
@@ -226,18 +227,23 @@ class PairJoin:
         union(self.parent, every[1:], np.full(len(every) - 1, every[0]))
 
     def leaf(self, i0: int, i1: int, j0: int, j1: int) -> None:
-        score = self.x[i0:i1] @ self.x[j0:j1].T
-        hit = score >= self.threshold
-        for i, j in np.argwhere(np.abs(score - self.threshold) <= CLOSE):
-            a, b = self.x[i0 + i], self.x[j0 + j]
-            hit[i, j] = math.fsum(a * b) >= self.threshold * math.sqrt(math.fsum(a * a) * math.fsum(b * b))
+        # single precision can be off by less than margin: what it leaves open is scored in double
+        score = self.single[i0:i1] @ self.single[j0:j1].T
+        hit = score >= self.threshold - self.margin
+        if not hit.any():
+            return
+        i, j = np.nonzero(hit & (score <= self.threshold + self.margin))
+        exact = np.einsum("ij,ij->i", self.x[i0 + i], self.x[j0 + j])
+        hit[i, j] = exact >= self.threshold
+        for k in np.flatnonzero(np.abs(exact - self.threshold) <= CLOSE):
+            a, b = self.x[i0 + i[k]], self.x[j0 + j[k]]
+            hit[i[k], j[k]] = math.fsum(a * b) >= self.threshold * math.sqrt(math.fsum(a * a) * math.fsum(b * b))
         if i0 == j0:
             hit = np.triu(hit, 1)
-        if hit.any():
-            self.links[i0:i1] += hit @ self.n[j0:j1]
-            self.links[j0:j1] += self.n[i0:i1] @ hit
-            i, j = np.nonzero(hit)
-            union(self.parent, i + i0, j + j0)
+        self.links[i0:i1] += hit @ self.n[j0:j1]
+        self.links[j0:j1] += self.n[i0:i1] @ hit
+        i, j = np.nonzero(hit)
+        union(self.parent, i + i0, j + j0)
 
 
 def _side(row: dict, side: str, d: int, directions: dict[int, np.ndarray]) -> dict:
