@@ -57,10 +57,19 @@ BY_WORD = {
     "main": "article main content post entry story maincontent",
 }
 HINTS = {w: kind for kind, words in BY_WORD.items() for w in words.split()}
-KINDS = ("main", "para", "heading", "item", "cell", "link", "menu", "header", "footer", "sidebar", "notice", "ad",
+# words that also name parts of an article: inside one they need a second sign
+AMBIGUOUS = frozenset("""skip tabs toc menu header footer popular trending notice alert banner warning disclaimer
+promotion commercial search feedback subscription response discussion reviews reply replies respond social follow
+tags byline meta""".split())
+# words that say nothing against a hint beside them: "related-posts", but not "related-work"
+NEUTRAL = frozenset("""site page pages main post posts entry entries article articles content story stories area section
+inner outer wrap wrapper container box block bar list item items group left right top bottom upper lower primary
+secondary global local sub col column row panel pane region holder module unit slot link links btn button buttons icon
+icons thread body head""".split())
+KINDS = ("main", "para", "heading", "item", "cell", "link", "hint", "menu", "header", "footer", "sidebar", "notice", "ad",
          "form", "comment", "share")
 BIT = {k: 1 << i for i, k in enumerate(KINDS)}
-AROUND = sum(BIT[k] for k in KINDS[6:])     # surroundings, not content
+AROUND = sum(BIT[k] for k in KINDS[7:])     # surroundings, not content
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
                    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""", re.S)
@@ -74,45 +83,127 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # --- page -> sequence ------------------------------------------------------
 
-def _kinds(name: str, attributes: str, inside: int) -> tuple[int, bool, bool]:
-    """(kinds of this element, hidden, marked as content)."""
-    kind = BY_TAG.get(name)
-    own = BIT[kind] if kind else 0
-    hidden = marked = False
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
+class Node:
+    """An element: its kinds by tag, and what class, id and role hint at."""
+
+    __slots__ = ("parent", "name", "tag", "main", "sure", "whole", "weak", "named", "named_weak", "part", "hidden", "marked",
+                 "words", "links", "holds", "section")
+
+    def __init__(self, parent: int, name: str, attributes: str, hidden: bool, marked: bool):
+        self.parent, self.name, self.hidden, self.marked = parent, name, hidden, marked
+        kind = BY_TAG.get(name)
+        self.tag = BIT[kind] if kind else 0
+        # hints of a role; of a whole class, clear or ambiguous; of a whole id; of one part among other words
+        self.main = self.sure = self.whole = self.weak = self.named = self.named_weak = self.part = 0
+        self.words = self.links = 0
+        self.section = name == "section"
+        for m in ATTRIBUTE.finditer(attributes or ""):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key in ("class", "id", "role"):
-                for part in value.split():
-                    words = [w.lower() for w in WORDS.findall(part)]
-                    if words and words[0] not in ABOUT_LAYOUT:
-                        own |= sum(BIT[k] for k in {HINTS[w] for w in words if w in HINTS})
+                for token in value.split():
+                    self.section |= token == "section"
+                    self._hint(key, token)
             elif key == "data-main":
-                marked = True
+                self.marked = True
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (
                     key == "style" and HIDDEN.search(value)):
-                hidden = True
-    if name in WHOLE_PAGE:
-        own &= ~AROUND
-    if inside & BIT["main"]:
+                self.hidden = True
+        if name in WHOLE_PAGE:
+            self.sure = self.whole = self.weak = self.named = self.named_weak = self.part = 0
+        if name in ("html", "body"):
+            self.main = 0
+        self.holds = bool((self.tag | self.main) & BIT["main"])
+
+    def _hint(self, key: str, token: str) -> None:
+        words = [w.lower() for w in WORDS.findall(token)]
+        if not words or words[0] in ABOUT_LAYOUT:
+            return
+        found = [w for w in words if w in HINTS]
+        self.main |= BIT["main"] if any(HINTS[w] == "main" for w in found) else 0
+        found = [w for w in found if HINTS[w] != "main"]
+        kinds = sum(BIT[k] for k in {HINTS[w] for w in found})
+        if not all(w in HINTS or w in NEUTRAL for w in words):
+            self.part |= kinds
+        elif key == "role":
+            self.sure |= kinds
+        elif len(words) == 1 and words[0] in AMBIGUOUS:
+            if key == "id":
+                self.named_weak |= kinds
+            else:
+                self.weak |= kinds
+        elif key == "id":
+            self.named |= kinds
+        else:
+            self.whole |= kinds
+
+
+def _own(v: Node, inside: int, page_has_main: bool) -> int:
+    """Kinds of an element whose surroundings have the kinds ``inside``.
+
+    A hint makes an element surroundings if it is a role or a whole class or
+    id; an id of a section, an ambiguous word inside an article, a part of a
+    name, and any hint on a heading or on inline elements of a paragraph
+    do so only with a second sign: mostly links, or outside the
+    article of a page that has one. Without it, it is the kind "hint"."""
+    in_main = inside & BIT["main"]
+    firm, loose = v.sure | v.whole, v.weak | v.named | v.named_weak | v.part
+    if not in_main:
+        firm |= v.weak
+    if not v.section:       # generators name sections by their headings
+        firm |= v.named if in_main else v.named | v.named_weak
+    if v.tag & BIT["heading"] or (v.name not in BLOCKS and inside & BIT["para"]):
+        firm, loose = v.sure, loose | firm
+    loose &= ~firm
+    if loose and not v.tag & BIT["heading"]:
+        if v.links * 2 >= v.words > 0 or (page_has_main and not in_main and not v.holds):
+            firm, loose = firm | loose, 0
+    own = v.tag | v.main | firm | (BIT["hint"] if loose else 0)
+    if in_main:
         own &= ~BIT["header"]       # the heading of an article
     if own & AROUND:
         own &= ~BIT["main"]
-    return own, hidden, marked
+    return own
+
+
+def _resolve(nodes: list[Node]) -> list[int]:
+    """Kinds of every node, its own and those of the elements around it."""
+    for v in reversed(nodes[1:]):
+        up = nodes[v.parent]
+        up.words += v.words
+        up.links += v.words if v.name == "a" else v.links
+        up.holds |= v.holds
+    kinds = [0]
+    for v in nodes[1:]:
+        kinds.append(kinds[v.parent] | _own(v, kinds[v.parent], nodes[0].holds))
+    return kinds
 
 
 def tokens(page: str) -> Iterator[tuple]:
     """('tag', '+name' or '-name', kinds, block number) and ('text', raw text,
     kinds, block number, marked)."""
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    nodes, events = _parse(page)
+    kinds = _resolve(nodes)
+    for kind, value, v, block in events:
+        if kind == "tag":
+            yield kind, value, kinds[v], block
+        else:
+            yield kind, value, kinds[v], block, nodes[v].marked
+
+
+def _parse(page: str) -> tuple[list[Node], list[tuple]]:
+    """Elements in page order (the first stands for the page), and ('tag' or
+    'text', value, number of the element, block number)."""
+    nodes, events = [Node(0, "", "", False, False)], []
+    stack = [0]
     at, block, n = 0, 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         end = m.start() if m else n
-        if end > at and not stack[-1][2]:
-            yield "text", page[at:end], stack[-1][1], block, stack[-1][3]
+        if end > at and not nodes[stack[-1]].hidden:
+            events.append(("text", page[at:end], stack[-1], block))
+            nodes[stack[-1]].words += len(page[at:end].split())
         if not m:
-            return
+            break
         at = m.end()
         name = m[2] or m[5]
         if not name:
@@ -128,27 +219,30 @@ def tokens(page: str) -> Iterator[tuple]:
             block += 1
         if closing:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
+                open_name = nodes[stack[i]].name
+                if open_name == name:
                     del stack[i:]
                     break
-                if stack[i][0] in SCOPES and name not in SCOPES:
+                if open_name in SCOPES and name not in SCOPES:
                     break
         else:
-            while len(stack) > 1 and name in ENDED_BY.get(stack[-1][0], ()):
+            while len(stack) > 1 and name in ENDED_BY.get(nodes[stack[-1]].name, ()):
                 stack.pop()
             if name in BLOCKS:      # an open paragraph ends, whatever inline elements it left open
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in BLOCKS:
-                        if name in ENDED_BY.get(stack[i][0], ()):
+                    open_name = nodes[stack[i]].name
+                    if open_name in BLOCKS:
+                        if name in ENDED_BY.get(open_name, ()):
                             del stack[i:]
                         break
-            _, kinds, hidden, marked = stack[-1]
-            own, hide, mark = _kinds(name, attributes, kinds)
             if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, kinds | own, hidden or hide, marked or mark))
-        yield "tag", ("-" if closing else "+") + name, stack[-1][1], block
+                up = nodes[stack[-1]]
+                nodes.append(Node(stack[-1], name, attributes, up.hidden, up.marked))
+                stack.append(len(nodes) - 1)
+        events.append(("tag", ("-" if closing else "+") + name, stack[-1], block))
         if name == "br":
-            yield "text", " ", stack[-1][1], block, stack[-1][3]
+            events.append(("text", " ", stack[-1], block))
+    return nodes, events
 
 
 # --- weights ---------------------------------------------------------------

@@ -51,4 +51,13 @@ PAGES = (
     # running text straight in the body
     f"""<body><h1 data-main>{_S}</h1><p data-main>{_P} {_Q}</p><p data-main>{_Q}</p><hr>
     <div class="sponsored promo">{_Q}</div><p data-main>{_P}</p><address>{_S}</address></body>""",
+    # sections named by their headings, and classes that hold a hint among other words
+    f"""<body><header><a href=/>{_S}</a></header><article data-main><h1>{_S}</h1><p>{_P}</p><section id="related-work">
+    <h2 id="related">{_S}</h2><p>{_P} {_Q}</p></section><div class="commercial-use"><p>{_Q}</p><p>{_P}</p></div>
+    <section id="discussion"><h2>{_S}</h2><p>{_Q} {_P}</p><ul><li>{_Q}</li></ul></section></article>
+    <div class="related-posts"><p>{_P}</p></div><footer><p>{_Q}</p></footer></body>""",
+    # the same without an article
+    f"""<body><div class="menu"><a href=/>{_S}</a></div><div data-main><h1>{_S}</h1><section id="search"><h2>{_S}</h2>
+    <p>{_P} {_Q}</p><p>{_Q}</p></section><section id="reviews"><h2>{_S}</h2><p>{_P}</p></section></div>
+    <div class="tags"><a href=/t>{_S}</a></div></body>""",
 )

@@ -55,6 +55,32 @@ def test_surroundings_are_left_out(around, inside):
         ["The head", STORY + " One & two boldword. next", "Last block " + STORY])
 
 
+@pytest.mark.parametrize("mark", [
+    '<section id="related-work">', '<section id="discussion">', '<div class="commercial-use">', '<section id="search">',
+    '<div class="section" id="header-files">', '<div class="section" id="warning">', '<section id="tags" class="level2">',
+    '<section id="navigation">', '<div id="social-history">', '<section class="book-reviews-of-1900">'])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>", "<main><div class=post>{}</div></main>"])
+def test_sections_with_a_hint_in_their_name_are_kept(mark, around):
+    end = "</" + re.match(r"<(\w+)", mark)[1] + ">"
+    body = f"<h1>The head</h1><p>{STORY}</p>{mark}<h2 id=reviews>A part</h2><p>{STORY * 2}</p>{end}<p>{STORY} Last.</p>"
+    assert main_text("<nav><a href=/>Home</a></nav>" + around.format(body), WEIGHTS) == "\n\n".join(
+        ["The head", STORY, "A part", STORY * 2, STORY + " Last."])
+
+
+@pytest.mark.parametrize("mark", ["class=warning", "id=discussion", "class='admonition notice'", "id=social"])
+def test_ambiguous_names_inside_an_article_are_kept(mark):
+    page = f"<article><p>{STORY}</p><div {mark}><p>{STORY * 2}</p></div><p>{STORY}</p></article>"
+    assert main_text(page, WEIGHTS) == "\n\n".join([STORY, STORY * 2, STORY])
+    outside = f"<div {mark}><p>{STORY}</p></div><div><p>{STORY * 2}</p></div>"
+    assert main_text(outside, WEIGHTS) == STORY * 2
+
+
+def test_hinted_boxes_with_a_second_sign_are_left_out():
+    box = '<div id="related-work"><a href=/1>One title</a> <a href=/2>Other title</a></div>'
+    page = f'<article><p>{STORY}</p>{box}<p>{STORY}</p></article><section id="discussion"><p>{STORY}</p></section>'
+    assert main_text(page, WEIGHTS) == STORY + "\n\n" + STORY
+
+
 @pytest.mark.parametrize("page,want", [
     (None, ""), ("", ""), ("   ", ""), ("<p></p>", ""), ("just text &lt;b&gt; here", "just text <b> here"),
     ("<nav>only a menu</nav>", ""), ("<p>cut off in the mid", "cut off in the mid"), ("<p>a < b and c &am", "a < b and c &am"),
