@@ -78,6 +78,8 @@ ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|data-main)\b(
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ABOUT_LAYOUT = frozenset("has no not with without is".split())      # "no-sidebar" is not a sidebar
 WHOLE_PAGE = frozenset("html body main".split())                    # never surroundings themselves
+CLOSED = frozenset("nav aside footer dialog menu button label address".split())     # never wrappers of a page
+LANDMARKS = frozenset("h1 header nav footer".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -87,7 +89,7 @@ class Node:
     """An element: its kinds by tag, and what class, id and role hint at."""
 
     __slots__ = ("parent", "name", "tag", "main", "sure", "whole", "weak", "named", "named_weak", "part", "hidden", "marked",
-                 "words", "links", "holds", "section")
+                 "words", "links", "holds", "section", "landmark", "wraps")
 
     def __init__(self, parent: int, name: str, attributes: str, hidden: bool, marked: bool):
         self.parent, self.name, self.hidden, self.marked = parent, name, hidden, marked
@@ -97,6 +99,7 @@ class Node:
         self.main = self.sure = self.whole = self.weak = self.named = self.named_weak = self.part = 0
         self.words = self.links = 0
         self.section = name == "section"
+        self.landmark, self.wraps = name in LANDMARKS, False
         for m in ATTRIBUTE.finditer(attributes or ""):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key in ("class", "id", "role"):
@@ -160,11 +163,51 @@ def _own(v: Node, inside: int, page_has_main: bool) -> int:
     own = v.tag | v.main | firm | (BIT["hint"] if loose else 0)
     if in_main:
         own &= ~BIT["header"]       # the heading of an article
+    if v.wraps:
+        own &= ~AROUND
     if own & AROUND:
         own &= ~BIT["main"]
     return own
 
 
+def _mark_wrappers(nodes: list[Node]) -> None:
+    """Find the elements that are wrapped around the main text.
+
+    These are never surroundings, whatever their tag or name (a form around
+    the page, "content-sidebar-wrap"); what lies in them is judged by its own
+    marks. They are what is around a main element, around the article with the most
+    words (not one in a box, if more words stand outside all boxes), and, without
+    any, an element with a heading or menu that has half of the page's words."""
+    comment = BIT["comment"]
+    best, shut, inner, boxed = 0, [False], [False], [False]
+    plain = nodes[0].words          # words outside everything that has a mark
+    for i, v in enumerate(nodes[1:], 1):
+        hints = v.sure | v.whole | v.weak | v.named | v.named_weak
+        boxed.append(boxed[v.parent] or bool((v.tag | hints) & AROUND))
+        if boxed[i] and not boxed[v.parent]:
+            plain -= v.words
+        # not a candidate: what is in a box that cannot be a wrapper, or in a list of comments
+        shut.append(shut[v.parent] or v.name in CLOSED or bool(hints & comment))
+        main = (v.tag | v.main) & BIT["main"] and not hints & AROUND and not shut[i]
+        if v.name == "main":
+            _wrap(nodes, v.parent)
+        elif main and not inner[v.parent] and v.words > (nodes[best].words if best else 0):
+            best = i
+        inner.append(inner[v.parent] or bool(main))
+    if best and not (boxed[best] and nodes[best].words < plain):
+        _wrap(nodes, nodes[best].parent)
+    else:
+        for i, v in enumerate(nodes[1:], 1):
+            v.wraps |= (v.landmark and v.name not in LANDMARKS and not shut[i]
+                        and v.words * 2 >= nodes[0].words > 0)
+
+
+def _wrap(nodes: list[Node], i: int) -> None:
+    while i and not nodes[i].wraps:
+        nodes[i].wraps = True
+        i = nodes[i].parent
+
+
 def _resolve(nodes: list[Node]) -> list[int]:
     """Kinds of every node, its own and those of the elements around it."""
     for v in reversed(nodes[1:]):
@@ -172,6 +215,8 @@ def _resolve(nodes: list[Node]) -> list[int]:
         up.words += v.words
         up.links += v.words if v.name == "a" else v.links
         up.holds |= v.holds
+        up.landmark |= v.landmark
+    _mark_wrappers(nodes)
     kinds = [0]
     for v in nodes[1:]:
         kinds.append(kinds[v.parent] | _own(v, kinds[v.parent], nodes[0].holds))

@@ -60,4 +60,9 @@ PAGES = (
     f"""<body><div class="menu"><a href=/>{_S}</a></div><div data-main><h1>{_S}</h1><section id="search"><h2>{_S}</h2>
     <p>{_P} {_Q}</p><p>{_Q}</p></section><section id="reviews"><h2>{_S}</h2><p>{_P}</p></section></div>
     <div class="tags"><a href=/t>{_S}</a></div></body>""",
+    # the page in a form, and an article in a wrapper named after what else it holds
+    f"""<body><form id="aspnetForm"><div class="menu"><a href=/>{_S}</a></div><article data-main><h1>{_S}</h1>
+    <p>{_P} {_Q}</p><p>{_Q}</p></article><label>{_S}</label><div class="newsletter"><p>{_P}</p></div></form></body>""",
+    f"""<body><header>{_S}</header><div class="content-sidebar-wrap"><article data-main><h1>{_S}</h1><p>{_P}</p>
+    <p>{_Q} {_P}</p></article><div class="sidebar"><p>{_P}</p><ul><li><a href=/s>{_S}</a></li></ul></div></div></body>""",
 )

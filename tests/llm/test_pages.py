@@ -75,6 +75,30 @@ def test_ambiguous_names_inside_an_article_are_kept(mark):
     assert main_text(outside, WEIGHTS) == STORY * 2
 
 
+@pytest.mark.parametrize("wrapper,body", [
+    ('<form id="aspnetForm">', "<article>{}</article>"), ('<div class="content-sidebar-wrap">', "<article>{}</article>"),
+    ('<div class="content-sidebar-wrap">', "<main>{}</main>"), ('<div class="sidebar widget">', '<div class="post">{}</div>'),
+    ('<form method="post">', "<nav><a href=/>Home</a></nav><div>{}</div>"), ('<header class="banner">', "<main>{}</main>"),
+    ('<form id="aspnetForm"><div class="comments-sidebar">', "<main>{}</main>"),
+    ('<div class="content-sidebar-wrap">', "<article>{}</article><article><p>" + STORY + "</p></article>"),
+])
+def test_main_text_in_a_wrapper_with_a_mark_is_kept(wrapper, body):
+    page = wrapper + body.format(f"<h1>The head</h1><p>{STORY * 2}</p><p>{STORY}</p>")
+    page += f'<aside><p>{STORY}</p></aside><div class="newsletter"><p>{STORY}</p></div>'
+    page += "".join(f"</{x}>" for x in reversed(re.findall(r"<(\w+)", wrapper)))
+    want = ["The head", STORY * 2, STORY] + ([STORY] if body.count("<article>") == 2 else [])
+    assert main_text(f"<body>{page}</body>", WEIGHTS) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("box", [
+    '<aside><article><p>{}</p></article></aside>', '<section class="comments"><article><p>{}</p></article></section>',
+    '<div class="sidebar"><article><p>{}</p></article></div>', '<form><h1>Sign up</h1><p>{}</p></form>'])
+def test_articles_inside_boxes_stay_out(box):
+    page = f"<article><p>{STORY * 3}</p>{box.format(STORY)}<p>{STORY}</p></article>" + box.format(STORY)
+    assert main_text(page, WEIGHTS) == STORY * 3 + "\n\n" + STORY
+    assert main_text(f"<div><p>{STORY * 3}</p></div>" + box.format(STORY), WEIGHTS) == STORY * 3
+
+
 def test_hinted_boxes_with_a_second_sign_are_left_out():
     box = '<div id="related-work"><a href=/1>One title</a> <a href=/2>Other title</a></div>'
     page = f'<article><p>{STORY}</p>{box}<p>{STORY}</p></article><section id="discussion"><p>{STORY}</p></section>'
