@@ -2,9 +2,10 @@
 
 A page is a sequence of words and tags. A word scores by where it stands: from
 a logistic model on the kinds of elements around it, 2p - 1 if it is rather
-content (p > 1/2), else zero. A tag always scores below zero, the more so the
-less often it occurs inside content. Both weights are fitted on labelled
-pages. One linear scan finds the contiguous stretch with the highest sum.
+content (p > 1/2), else zero. A tag scores below zero, the more so the
+less often it occurs inside content; a tag inside surroundings, or inside a
+data table or a list of an article, scores zero. Both weights are fitted on
+labelled pages. One linear scan finds the contiguous stretch with the highest sum.
 Within it, words that score zero (an advert or a form in the middle of an
 article) are left out.
 """
@@ -79,6 +80,8 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ABOUT_LAYOUT = frozenset("has no not with without is".split())      # "no-sidebar" is not a sidebar
 WHOLE_PAGE = frozenset("html body main".split())                    # never surroundings themselves
 CLOSED = frozenset("nav aside footer dialog menu button label address".split())     # never wrappers of a page
+TABLE = frozenset("table caption colgroup col thead tbody tfoot tr td th".split())
+LISTS = frozenset("ul ol dl menu".split())
 LANDMARKS = frozenset("h1 header nav footer".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -89,7 +92,7 @@ class Node:
     """An element: its kinds by tag, and what class, id and role hint at."""
 
     __slots__ = ("parent", "name", "tag", "main", "sure", "whole", "weak", "named", "named_weak", "part", "hidden", "marked",
-                 "words", "links", "holds", "section", "landmark", "wraps")
+                 "words", "links", "holds", "section", "landmark", "wraps", "layout")
 
     def __init__(self, parent: int, name: str, attributes: str, hidden: bool, marked: bool):
         self.parent, self.name, self.hidden, self.marked = parent, name, hidden, marked
@@ -100,6 +103,7 @@ class Node:
         self.words = self.links = 0
         self.section = name == "section"
         self.landmark, self.wraps = name in LANDMARKS, False
+        self.layout = False     # holds blocks other than the parts of a table
         for m in ATTRIBUTE.finditer(attributes or ""):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key in ("class", "id", "role"):
@@ -216,6 +220,7 @@ def _resolve(nodes: list[Node]) -> list[int]:
         up.links += v.words if v.name == "a" else v.links
         up.holds |= v.holds
         up.landmark |= v.landmark
+        up.layout |= v.layout or v.name == "table" or (v.name in BLOCKS and v.name not in TABLE)
     _mark_wrappers(nodes)
     kinds = [0]
     for v in nodes[1:]:
@@ -223,14 +228,25 @@ def _resolve(nodes: list[Node]) -> list[int]:
     return kinds
 
 
+def _free(nodes: list[Node], kinds: list[int]) -> list[bool]:
+    """Nodes whose tags cost nothing: inside a data table, or inside a list of
+    an article. The table's or list's own end tag stands for all of them."""
+    free = [False]
+    for i, v in enumerate(nodes[1:], 1):
+        data = v.name == "table" and not v.layout and v.links * 2 < max(1, v.words)
+        free.append(free[v.parent] or data or (v.name in LISTS and bool(kinds[i] & BIT["main"])))
+    return free
+
+
 def tokens(page: str) -> Iterator[tuple]:
-    """('tag', '+name' or '-name', kinds, block number) and ('text', raw text,
-    kinds, block number, marked)."""
+    """('tag', '+name' or '-name', kinds, block number, costs nothing) and
+    ('text', raw text, kinds, block number, marked)."""
     nodes, events = _parse(page)
     kinds = _resolve(nodes)
+    free = _free(nodes, kinds)
     for kind, value, v, block in events:
         if kind == "tag":
-            yield kind, value, kinds[v], block
+            yield kind, value, kinds[v], block, free[v]
         else:
             yield kind, value, kinds[v], block, nodes[v].marked
 
@@ -305,7 +321,9 @@ class Weights:
             self.seen[mask] = max(0.0, float(2 * p - 1))
         return self.seen[mask]
 
-    def tag(self, name: str) -> float:
+    def tag(self, name: str, mask: int = 0, free: bool = False) -> float:
+        if free or (mask & AROUND and self.word(mask) == 0):
+            return 0.0
         return self.tags.get(name, self.other_tag)
 
 
@@ -363,7 +381,8 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best stretch, white space collapsed, joined by \\n\\n."""
     sequence = list(tokens(page or ""))
-    scores = [weights.word(t[2]) * len(t[1].split()) if t[0] == "text" else weights.tag(t[1]) for t in sequence]
+    scores = [weights.word(t[2]) * len(t[1].split()) if t[0] == "text"
+              else weights.tag(t[1], t[2], t[4]) for t in sequence]
     start, end = best_stretch(scores)
     blocks: dict[int, list[str]] = {}
     for t in sequence[start:end]:

@@ -99,6 +99,29 @@ def test_articles_inside_boxes_stay_out(box):
     assert main_text(f"<div><p>{STORY * 3}</p></div>" + box.format(STORY), WEIGHTS) == STORY * 3
 
 
+LINKS = "<li><a href=/x>Link</a></li>" * 30
+
+
+@pytest.mark.parametrize("box", [
+    f"<nav><ul>{LINKS}</ul></nav>", f'<div class="sidebar"><ul>{LINKS}</ul></div>', f"<aside><h3>More</h3>{LINKS}</aside>",
+    f'<div class="comments">{"<div><p><b>a</b></p></div>" * 60}</div>', f'<div class="related"><ul>{LINKS}</ul></div>',
+    f'<div class="advert">{"<p></p><img>" * 60}</div>', f"<form>{'<label>a<input></label>' * 60}</form>"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>"])
+def test_long_box_between_two_parts(box, around):
+    for first, second in ((STORY, STORY * 9), (STORY * 9, STORY), ("Intro.", STORY * 9)):
+        page = around.format(f"<h1>The head</h1><p>{first}</p>{box}<p>{second}</p>")
+        assert main_text(page, WEIGHTS) == "\n\n".join(["The head", first, second])
+
+
+def test_data_tables_and_link_lists_do_not_split_an_article():
+    cells = "<tr>" + "<td>1</td><td></td><td></td>" * 3 + "</tr>"
+    for around in ("<article>{}</article>", "<div>{}</div>"):
+        got = main_text(around.format(f"<p>{STORY}</p><table>{cells * 40}</table><p>{STORY * 9}</p>"), WEIGHTS)
+        assert got.startswith(STORY + "\n\n1\n\n") and got.endswith("1\n\n" + STORY * 9)
+    got = main_text(f"<article><p>{STORY}</p><ul>{LINKS}</ul><p>{STORY * 9}</p></article>", WEIGHTS)
+    assert got.startswith(STORY) and got.endswith(STORY * 9)
+
+
 def test_hinted_boxes_with_a_second_sign_are_left_out():
     box = '<div id="related-work"><a href=/1>One title</a> <a href=/2>Other title</a></div>'
     page = f'<article><p>{STORY}</p>{box}<p>{STORY}</p></article><section id="discussion"><p>{STORY}</p></section>'
