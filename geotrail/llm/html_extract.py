@@ -32,16 +32,19 @@ fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hg
 ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template textarea iframe svg math object title head select".split())
+TO_THE_END = frozenset("script style textarea".split())     # without an end tag they hold the rest of the page
+FLAT = frozenset("title head".split())                      # end at the first end tag; the others may be nested
+MAY_BE_EMPTY = frozenset("svg math iframe object".split())  # with a slash at the end
 # an open element that ends when one of these starts
 ENDED_BY = {"p": BLOCKS - {"body", "html", "head", "option", "legend", "caption", "summary"},
             "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
             "td": frozenset({"td", "th", "tr", "tbody"}), "th": frozenset({"td", "th", "tr", "tbody"}),
-            "tr": frozenset({"tr", "tbody", "tfoot"}), "option": frozenset({"option"})}
+            "tr": frozenset({"tr", "tbody", "tfoot"}), "option": BLOCKS}
 SCOPES = frozenset("article aside body div footer form header html main nav section table td th ul ol".split())
 
 # kinds of surroundings: by tag name, and by words in class, id or role
 BY_TAG = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form",
-          "button": "form", "label": "form", "fieldset": "form", "dialog": "notice", "address": "footer",
+          "button": "form", "label": "form", "fieldset": "form", "option": "form", "dialog": "notice", "address": "footer",
           "article": "main", "main": "main", "a": "link", "li": "item", "dd": "item", "dt": "item", "td": "cell",
           "th": "cell", "p": "para", "blockquote": "para", "pre": "para", "figcaption": "para",
           **{f"h{i}": "heading" for i in range(1, 7)}}
@@ -251,11 +254,31 @@ def tokens(page: str) -> Iterator[tuple]:
             yield kind, value, kinds[v], block, nodes[v].marked
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Start of each element ``name`` that has an end tag -> where that ends."""
+    tag = re.compile(rf"""<!--(?:.*?-->|.*)|<(?P<raw>script|style|textarea)\b[^>]*>(?:.*?</(?P=raw)\b|.*)"""
+                     rf"""|<(?P<close>/?){re.escape(name)}(?=[\s/>])(?:(?P<a>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<b>[^>]*)>?)""",
+                     re.S | re.I)
+    ends, pending = {}, []
+    for m in tag.finditer(page):
+        if m["close"] is None:
+            continue
+        if not m["close"]:
+            if not (name in MAY_BE_EMPTY and (m["a"] or m["b"] or "").endswith("/")):
+                pending.append(m.start())
+        elif pending:
+            for start in pending if name in FLAT else pending[-1:]:
+                ends[start] = m.end()
+            del pending[0 if name in FLAT else -1:]
+    return ends
+
+
 def _parse(page: str) -> tuple[list[Node], list[tuple]]:
     """Elements in page order (the first stands for the page), and ('tag' or
     'text', value, number of the element, block number)."""
     nodes, events = [Node(0, "", "", False, False)], []
     stack = [0]
+    known_ends: dict[str, dict[int, int]] = {}
     at, block, n = 0, 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -271,11 +294,19 @@ def _parse(page: str) -> tuple[list[Node], list[tuple]]:
             continue
         name, closing, attributes = name.lower(), bool(m[1] or m[4]), (m[3] if m[2] else m[6])
         if name in SKIPPED and not closing:
-            stop = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            if name not in ("head", "title") or stop:
-                at = stop.end() if stop else n
-            block += 1
-            continue
+            if name in MAY_BE_EMPTY and attributes.endswith("/"):
+                continue
+            if name in TO_THE_END:
+                stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                stop = stop.end() if stop else n
+            else:
+                if name not in known_ends:
+                    known_ends[name] = _ends(page, name)
+                stop = known_ends[name].get(m.start())
+            if stop:        # without an end tag its words are words of the page
+                at = stop
+                block += 1
+                continue
         if name in BLOCKS:
             block += 1
         if closing:

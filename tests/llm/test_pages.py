@@ -122,6 +122,24 @@ def test_data_tables_and_link_lists_do_not_split_an_article():
     assert got.startswith(STORY) and got.endswith(STORY * 9)
 
 
+@pytest.mark.parametrize("element", [
+    "<svg class=icon />", "<math/>", '<iframe src="/x" />', '<object data="/x" />', "<noscript>", "<object>", "<select>",
+    "<template>", "<svg>", "<iframe>", '<svg><svg viewBox="0"/><svg><text>a label</text></svg><text>more words</text></svg>',
+    "<object><object>inner</object> outer words</object>", "<template><template>a</template><p>words</p></template>",
+    "<!-- <svg> --><svg class='a>b' />", "<noscript><!-- </noscript> -->some words</noscript>", "<SVG\nID=x/>"])
+def test_skipped_elements_end_where_they_end(element):
+    later = "<svg><text>a label</text></svg><iframe></iframe><object></object><math></math>"
+    page = f"<article><p>{STORY}</p><div>{element}</div><p>{STORY * 2}</p></article><footer>{later}</footer>"
+    assert main_text(page, WEIGHTS) == STORY + "\n\n" + STORY * 2
+    before = f"{element}<article><p>{STORY}</p></article>"
+    assert main_text(before, WEIGHTS) == STORY
+
+
+def test_many_elements_without_an_end_take_linear_time():
+    page = "<article>" + f"<p>{STORY}<object><svg><iframe></p>" * 20_000 + "</article>"
+    assert main_text(page, WEIGHTS).count(STORY) == 20_000
+
+
 def test_hinted_boxes_with_a_second_sign_are_left_out():
     box = '<div id="related-work"><a href=/1>One title</a> <a href=/2>Other title</a></div>'
     page = f'<article><p>{STORY}</p>{box}<p>{STORY}</p></article><section id="discussion"><p>{STORY}</p></section>'
