@@ -34,13 +34,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("script style noscript template textarea iframe svg math object title head select".split())
 TO_THE_END = frozenset("script style textarea".split())     # without an end tag they hold the rest of the page
 FLAT = frozenset("title head".split())                      # end at the first end tag; the others may be nested
+SHOWN = frozenset("noscript svg math object".split())       # skipped outside the article only
 MAY_BE_EMPTY = frozenset("svg math iframe object".split())  # with a slash at the end
 # an open element that ends when one of these starts
 ENDED_BY = {"p": BLOCKS - {"body", "html", "head", "option", "legend", "caption", "summary"},
             "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
             "td": frozenset({"td", "th", "tr", "tbody"}), "th": frozenset({"td", "th", "tr", "tbody"}),
             "tr": frozenset({"tr", "tbody", "tfoot"}), "option": BLOCKS}
-SCOPES = frozenset("article aside body div footer form header html main nav section table td th ul ol".split())
+SCOPES = frozenset("""article aside body div footer form header html main nav section table td th ul ol
+noscript svg math object""".split())
 
 # kinds of surroundings: by tag name, and by words in class, id or role
 BY_TAG = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form",
@@ -95,7 +97,7 @@ class Node:
     """An element: its kinds by tag, and what class, id and role hint at."""
 
     __slots__ = ("parent", "name", "tag", "main", "sure", "whole", "weak", "named", "named_weak", "part", "hidden", "marked",
-                 "words", "links", "holds", "section", "landmark", "wraps", "layout")
+                 "words", "links", "holds", "section", "landmark", "wraps", "layout", "extra")
 
     def __init__(self, parent: int, name: str, attributes: str, hidden: bool, marked: bool):
         self.parent, self.name, self.hidden, self.marked = parent, name, hidden, marked
@@ -106,6 +108,7 @@ class Node:
         self.words = self.links = 0
         self.section = name == "section"
         self.landmark, self.wraps = name in LANDMARKS, False
+        self.extra = False      # left out, except in an article
         self.layout = False     # holds blocks other than the parts of a table
         for m in ATTRIBUTE.finditer(attributes or ""):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -169,7 +172,7 @@ def _own(v: Node, inside: int, page_has_main: bool) -> int:
             firm, loose = firm | loose, 0
     own = v.tag | v.main | firm | (BIT["hint"] if loose else 0)
     if in_main:
-        own &= ~BIT["header"]       # the heading of an article
+        own &= ~(BIT["header"] | BIT["share"])      # the heading of an article; its byline, tags and share links
     if v.wraps:
         own &= ~AROUND
     if own & AROUND:
@@ -247,10 +250,13 @@ def tokens(page: str) -> Iterator[tuple]:
     nodes, events = _parse(page)
     kinds = _resolve(nodes)
     free = _free(nodes, kinds)
+    extra = [False]
+    for i, v in enumerate(nodes[1:], 1):
+        extra.append(extra[v.parent] or (v.extra and not kinds[i] & BIT["main"]))
     for kind, value, v, block in events:
         if kind == "tag":
-            yield kind, value, kinds[v], block, free[v]
-        else:
+            yield kind, value, kinds[v], block, free[v] or extra[v]
+        elif not extra[v]:
             yield kind, value, kinds[v], block, nodes[v].marked
 
 
@@ -293,6 +299,7 @@ def _parse(page: str) -> tuple[list[Node], list[tuple]]:
         if not name:
             continue
         name, closing, attributes = name.lower(), bool(m[1] or m[4]), (m[3] if m[2] else m[6])
+        shown = False
         if name in SKIPPED and not closing:
             if name in MAY_BE_EMPTY and attributes.endswith("/"):
                 continue
@@ -303,7 +310,9 @@ def _parse(page: str) -> tuple[list[Node], list[tuple]]:
                 if name not in known_ends:
                     known_ends[name] = _ends(page, name)
                 stop = known_ends[name].get(m.start())
-            if stop:        # without an end tag its words are words of the page
+            if stop and name in SHOWN:
+                shown = True
+            elif stop:      # without an end tag its words are words of the page
                 at = stop
                 block += 1
                 continue
@@ -330,9 +339,10 @@ def _parse(page: str) -> tuple[list[Node], list[tuple]]:
             if name not in VOID and not attributes.endswith("/"):
                 up = nodes[stack[-1]]
                 nodes.append(Node(stack[-1], name, attributes, up.hidden, up.marked))
+                nodes[-1].extra = shown
                 stack.append(len(nodes) - 1)
         events.append(("tag", ("-" if closing else "+") + name, stack[-1], block))
-        if name == "br":
+        if name in ("br", "text"):      # a line; a label in an svg
             events.append(("text", " ", stack[-1], block))
     return nodes, events
 

@@ -130,7 +130,9 @@ def test_data_tables_and_link_lists_do_not_split_an_article():
 def test_skipped_elements_end_where_they_end(element):
     later = "<svg><text>a label</text></svg><iframe></iframe><object></object><math></math>"
     page = f"<article><p>{STORY}</p><div>{element}</div><p>{STORY * 2}</p></article><footer>{later}</footer>"
-    assert main_text(page, WEIGHTS) == STORY + "\n\n" + STORY * 2
+    kept = " ".join(re.sub("<!--.*?-->|<[^>]*>", " ", element if "template" not in element else "").replace("b' />", "").split())
+    got = main_text(page, WEIGHTS)      # words of svg, object and noscript are kept in an article
+    assert " ".join(got.split()) == " ".join(f"{STORY} {kept} {STORY * 2}".split())
     before = f"{element}<article><p>{STORY}</p></article>"
     assert main_text(before, WEIGHTS) == STORY
 
@@ -140,6 +142,19 @@ def test_many_elements_without_an_end_take_linear_time():
     assert main_text(page, WEIGHTS).count(STORY) == 20_000
 
 
+@pytest.mark.parametrize("element", [
+    "<p>so <math><mi>x</mi></math> here</p>", "<object data=/x>so x here</object>", "<noscript><p>so x here</p></noscript>",
+    "<svg viewBox=0><text>so x here</text><style>p</style></svg>", '<p class="byline">so x here</p>',
+    '<div class="tags">so x here</div>', '<div class="entry-meta"><span>so x here</span></div>',
+    '<div class="share">so x here</div>', '<div class="social"><p>so x here</p></div>', "<noscript>so x<div> here</noscript>"])
+def test_other_elements_of_an_article_are_kept(element):
+    page = f"<article><p>{STORY}</p>{element}<p>{STORY * 2}</p></article>"
+    got = main_text(page, WEIGHTS)
+    assert re.sub(r"\s+", " ", got) == f"{STORY} so x here {STORY * 2}"
+    outside = re.search("<math.*</math>", element)[0] if "<math" in element else element
+    assert main_text(outside + page + outside, WEIGHTS) == got
+
+
 def test_hinted_boxes_with_a_second_sign_are_left_out():
     box = '<div id="related-work"><a href=/1>One title</a> <a href=/2>Other title</a></div>'
     page = f'<article><p>{STORY}</p>{box}<p>{STORY}</p></article><section id="discussion"><p>{STORY}</p></section>'
