@@ -14,6 +14,10 @@ reaches its size is cut into 4096 again, and only the documents in that last
 slot are put in order. A source that holds most rows is thus spread over all
 tasks; what a source's window sees is 4096 sums, and about one document in 16
 million.
+
+Documents that share id and source share their draw. If such a group crosses
+the line, its documents are ordered by a second draw, from id and text, in the
+same way; rows that are equal in both are numbered and taken one by one.
 """
 
 from __future__ import annotations
@@ -38,6 +42,12 @@ def draw(key: Column) -> Column:
     return (digits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def second_draw(key: Column, text: Column) -> Column:
+    """Uniform number in (0, 1) from a document's id and text."""
+    return draw(F.concat_ws(" ", F.coalesce(key.cast("string"), F.lit("null")), text.isNull().cast("string"),
+                            F.xxhash64(text).cast("string")))
+
+
 def pareto_rank(u: Column, pi: Column) -> Column:
     """Odds ratio q = (u/(1-u)) / (pi/(1-pi)) mapped to (0, 1) by q / (1 + q)."""
     a, b = u * (F.lit(1.0) - pi), pi * (F.lit(1.0) - u)
@@ -84,27 +94,58 @@ def _first_over(sums: DataFrame, by: str) -> DataFrame:
     return over.groupBy("sid").agg(F.min(F.struct(by, "before", "words", "rest")).alias("f")).select("sid", "f.*")
 
 
-def _cuts(docs: DataFrame) -> DataFrame:
-    """(sid, cut, with_cut): documents of the source with z < cut get one more
-    copy, those with z = cut too if with_cut.
+def _crossing(docs: DataFrame) -> DataFrame:
+    """(sid, z, before, words, rest): per source, the z whose words cross
+    ``rest``, and the words before it.
 
-    docs: (sid, z, size, rest). A source that takes all has no row."""
+    docs: (sid, z, size, rest, done), done being the words before all of them.
+    A source that takes all has no row."""
     slot = F.floor(F.col("z") * SLOTS).cast("int")
     fine = F.floor(F.col("z") * SLOTS * SLOTS).cast("long")
-    sums = (docs.groupBy("sid", slot.alias("slot")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-            .withColumn("done", F.lit(0)))
-    first = _first_over(sums, "slot").select("sid", "slot", F.col("before").alias("done"))
-    inside = docs.withColumn("slot", slot).join(first, ["sid", "slot"]).withColumn("fine", fine)
-    sums = inside.groupBy("sid", "fine").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"),
-                                             F.first("done").alias("done"))
-    second = _first_over(sums, "fine").select("sid", "fine", F.col("before").alias("done"))
-    last = (inside.drop("done").join(second, ["sid", "fine"])
-            .groupBy("sid", "z").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"),
-                                     F.first("done").alias("done")))
-    third = _first_over(last, "z")
+    words = (F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("done").alias("done"))
+    first = _first_over(docs.groupBy("sid", slot.alias("slot")).agg(*words), "slot").select(
+        "sid", "slot", F.col("before").alias("done"))
+    inside = docs.drop("done").withColumn("slot", slot).join(first, ["sid", "slot"]).withColumn("fine", fine)
+    second = _first_over(inside.groupBy("sid", "fine").agg(*words), "fine").select(
+        "sid", "fine", F.col("before").alias("done"))
+    return _first_over(inside.drop("done").join(second, ["sid", "fine"]).groupBy("sid", "z").agg(*words), "z")
+
+
+def _cuts(docs: DataFrame) -> DataFrame:
+    """(sid, cut, cut_v, n, some): documents of the source with (z, v) <
+    (cut, cut_v) get one more copy, and ``some`` of the ``n`` at the cut.
+
+    docs: (sid, z, v, size, rest). A source that takes all has no row."""
+    cut = store(_crossing(docs.drop("v").withColumn("done", F.lit(0))).select(
+        "sid", F.col("z").alias("cut"), F.col("before").alias("done")), "cut")
+    tied = docs.join(cut, "sid").filter(F.col("z") == F.col("cut")).select(
+        "sid", F.col("v").alias("z"), "size", "rest", "done")
+    cut_v = store(_crossing(tied).withColumnRenamed("z", "cut_v"), "cut-v")
+    n = (tied.select("sid", F.col("z").alias("cut_v")).join(cut_v.select("sid", "cut_v"), ["sid", "cut_v"])
+         .groupBy("sid").agg(F.count("*").alias("n")))
+    x = cut.drop("done").join(cut_v, "sid").join(n, "sid").withColumn("each", F.col("words") / F.col("n"))
+    x = x.withColumn("whole", F.least(F.floor((F.col("rest") - F.col("before")) / F.col("each")), F.col("n") - 1))
+    x = x.withColumn("before", F.col("before") + F.col("whole") * F.col("each"))
     # the document that crosses the line is taken if that ends nearer to it
-    near = F.col("before") + F.col("words") - F.col("rest") <= F.col("rest") - F.col("before")
-    return third.select("sid", F.col("z").alias("cut"), near.alias("with_cut"))
+    near = F.col("before") + F.col("each") - F.col("rest") <= F.col("rest") - F.col("before")
+    return x.select("sid", "cut", "cut_v", "n", (F.col("whole") + near.cast("int")).alias("some"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Number the rows of every source from 1, in column _mx_number.
+
+    Rows keep the task that stored them; a window sees one task's rows of a
+    source, or one count per task."""
+    rows = store(rows.withColumn("_mx_row", F.monotonically_increasing_id()), "tied").withColumn(
+        "_mx_task", F.shiftright("_mx_row", 33))
+    run = Window.partitionBy("_mx_source").orderBy("_mx_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = (rows.groupBy("_mx_source", "_mx_task").agg(F.count("*").alias("_mx_n"))
+              .withColumn("_mx_before", F.coalesce(F.sum("_mx_n").over(run), F.lit(0)))
+              .select(F.col("_mx_source").alias("_mx_s"), F.col("_mx_task").alias("_mx_t"), "_mx_before"))
+    at = Window.partitionBy("_mx_source", "_mx_task").orderBy("_mx_row")
+    return (rows.withColumn("_mx_number", F.row_number().over(at))
+            .join(before, F.col("_mx_source").eqNullSafe(F.col("_mx_s")) & (F.col("_mx_task") == F.col("_mx_t")))
+            .withColumn("_mx_number", F.col("_mx_number") + F.col("_mx_before")))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_copies: int = 2,
@@ -120,31 +161,44 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     size, source_size, target (double, its source's), copies (int, 0 ..
     max_copies) and taken = copies * size, as longs. A source's taken words
     end within half a document of its target. The draw of a document is a
-    hash of ``id_col`` (null ids share one draw): reruns agree, and rows that
-    share id and source are taken or left together. Sources whose documents
+    hash of ``id_col`` (null ids share one draw), then one of id and text:
+    reruns agree but for which of several rows with equal id, source and
+    text are taken. Sources whose documents
     are all empty have target 0; an empty table gives an empty one.
     """
     added = ("size", "source_size", "target", "copies", "taken")
     keep = [c for c in docs.columns if c not in added]
     src = F.col(f"`{source_col}`")
-    narrow = store(docs.select(src.alias("source"), draw(F.col(f"`{id_col}`")).alias("u"),
-                               word_count(F.col(f"`{text_col}`")).alias("size")), "sizes")
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    narrow = store(docs.select(src.alias("source"), draw(key).alias("u"), second_draw(key, text).alias("v"),
+                               word_count(text).alias("size")), "sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     targets = store(source_targets(sizes, weights, share, max_copies)
                     .withColumn("sid", F.row_number().over(order)), "targets")
     ranked = (narrow.join(targets.filter("pi > 0 and rest > 0"), narrow["source"].eqNullSafe(targets["source"]))
-              .select("sid", pareto_rank(F.col("u"), F.col("pi")).alias("z"), "size", "rest"))
+              .select("sid", pareto_rank(F.col("u"), F.col("pi")).alias("z"), "v", "size", "rest"))
     cuts = _cuts(ranked)
     per_source = store(targets.join(cuts, "sid", "left").select(
         F.col("source").alias("_mx_source"), F.col("source_size").alias("_mx_size"),
-        F.col("target").alias("_mx_target"), "whole", "pi", "rest", "cut", "with_cut"), "mix")
-    z = pareto_rank(draw(F.col(f"`{id_col}`")), F.col("pi"))
-    one_more = (F.col("pi") > 0) & (F.col("rest") > 0) & (
-        F.col("cut").isNull() | (z < F.col("cut")) | (F.col("with_cut") & (z == F.col("cut"))))
-    base = docs.select(*[F.col(f"`{c}`") for c in keep])
-    out = base.join(per_source, src.eqNullSafe(F.col("_mx_source")))
-    return out.select(*[F.col(f"`{c}`") for c in keep], word_count(F.col(f"`{text_col}`")).alias("size"),
-                      F.col("_mx_size").alias("source_size"), F.col("_mx_target").alias("target"),
-                      (F.col("whole") + F.when(one_more, 1).otherwise(0)).cast("int").alias("copies")) \
-        .withColumn("taken", F.col("copies") * F.col("size"))
+        F.col("target").alias("_mx_target"), *[F.col(c).alias(f"_mx_{c}") for c in
+                                               ("whole", "pi", "rest", "cut", "cut_v", "n", "some")]), "mix")
+    z, v = pareto_rank(draw(key), F.col("_mx_pi")), second_draw(key, text)
+    more = (F.col("_mx_pi") > 0) & (F.col("_mx_rest") > 0)
+    at_cut = F.coalesce(more & (z == F.col("_mx_cut")) & (v == F.col("_mx_cut_v")), F.lit(False))
+    one_more = more & (F.col("_mx_cut").isNull() | (z < F.col("_mx_cut")) | (
+        (z == F.col("_mx_cut")) & ((v < F.col("_mx_cut_v")) | (at_cut & (F.col("_mx_some") == F.col("_mx_n"))))))
+    part = (F.col("_mx_some") > 0) & (F.col("_mx_some") < F.col("_mx_n"))
+    base = docs.select(*[F.col(f"`{c}`") for c in keep]).join(per_source, src.eqNullSafe(F.col("_mx_source")))
+
+    def result(rows: DataFrame, extra: Column) -> DataFrame:
+        return rows.select(*[F.col(f"`{c}`") for c in keep], word_count(text).alias("size"),
+                           F.col("_mx_size").alias("source_size"), F.col("_mx_target").alias("target"),
+                           (F.col("_mx_whole") + F.when(extra, 1).otherwise(0)).cast("int").alias("copies")) \
+            .withColumn("taken", F.col("copies") * F.col("size"))
+
+    if per_source.filter(part).isEmpty():
+        return result(base, one_more)
+    split = at_cut & F.coalesce(part, F.lit(False))
+    return result(base.filter(~split), one_more).unionByName(
+        result(_numbered(base.filter(split)), F.col("_mx_number") <= F.col("_mx_some")))

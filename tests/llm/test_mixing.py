@@ -55,6 +55,20 @@ def test_targets_and_taken(spark, weights, share):
     assert pick(again) == pick(got)
 
 
+@pytest.mark.parametrize("text", ["one two three", None])
+def test_rows_that_share_an_id_are_split_at_the_target(spark, text):
+    """A third of a source has a null id, another a repeated one; equal texts (text given) or different ones."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text or " ".join(["w"] * (1 + i * 7 % 30)), "ab"[i % 2], i)
+            for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    for share in (0.5, 1.3):
+        got = mix_sources(df, (1,), share).collect()
+        assert sorted(r.n for r in got) == list(range(900))
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2
+
+
 def test_targets_at_both_ends(spark):
     df = frame(spark)
     assert all(r.copies == 2 for r in mix_sources(df, share=2.0).collect() if r.size)
