@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REACH = 5               # tokens around an indicator that a chain covers
-MAX_CHAIN = 256         # longer chains are cut
+CELLS = 1 << 19         # tokens of a batch of chains, padded (one longer chain is a batch of its own)
 PREFIXES = (3, 4, 5, 6)
 MIN_DOCS = 3            # toxic sample documents that must hold an indicator
 MIN_G2 = 16.0           # likelihood ratio (chi square, one degree of freedom)
@@ -101,6 +101,18 @@ class Chains:
         return p, log_z, counts
 
 
+def batches_of(chains: list, most: int) -> Iterator[list[int]]:
+    """Numbers of the chains by length, in batches of bounded padded size."""
+    part: list[int] = []
+    for c in sorted(range(len(chains)), key=lambda c: len(chains[c])):
+        if part and (len(part) == most or (len(part) + 1) * len(chains[c]) > CELLS):
+            yield part
+            part = []
+        part.append(c)
+    if part:
+        yield part
+
+
 # --- model -----------------------------------------------------------------
 
 class ToxicModel:
@@ -135,8 +147,7 @@ class ToxicModel:
                 spans[-1][1] = hi
             else:
                 spans.append([lo, hi])
-        return [(s, [hits(w) for w in words[s:min(s + MAX_CHAIN, hi)]])
-                for lo, hi in spans for s in range(lo, hi, MAX_CHAIN)]
+        return [(lo, [hits(w) for w in words[lo:hi]]) for lo, hi in spans]
 
     def token_marginals(self, docs: list[list[str]]) -> list[list[tuple[int, float]]]:
         """Per document (token number, P(toxic)) of all tokens in chains."""
@@ -147,9 +158,7 @@ class ToxicModel:
                 of.append(i)
                 start.append(at)
         out: list[list[tuple[int, float]]] = [[] for _ in docs]
-        order = sorted(range(len(found)), key=lambda c: len(found[c]))
-        for lo in range(0, len(order), 2048):
-            part = order[lo:lo + 2048]
+        for part in batches_of(found, 2048):
             batch = Chains([found[c] for c in part])
             p = batch.marginals(batch.emission(self.weights, self.bias), self.moves)
             for row, c in enumerate(part):
@@ -215,10 +224,8 @@ def fit_model(toxic: list[str], clean: list[str], toxic_share: float, steps: int
             chains.append(chain)
             labels.append([bool(f) and i < len(toxic) for f in chain])
     if chains:
-        order = sorted(range(len(chains)), key=lambda c: len(chains[c]))
         groups = []
-        for lo in range(0, len(order), 4096):
-            part = order[lo:lo + 4096]
+        for part in batches_of(chains, 4096):
             batch = Chains([chains[c] for c in part])
             y = np.zeros(batch.inside.shape)
             for row, c in enumerate(part):

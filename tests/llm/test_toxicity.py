@@ -62,6 +62,27 @@ def test_model_finds_the_words_and_separates_documents():
     assert 0 < s[-2] < 0.2 < s[-1]
 
 
+def test_long_stretch_is_one_chain():
+    docs, y = corpus()
+    m = fit_model(*([d for d, t in zip(docs, y) if t == k] for k in (1, 0)), 0.25)
+    words = ["zorg", "vuxa", "rane"] * 400
+    (at, chain), = m.chains(words)
+    assert at == 0 and len(chain) == len(words)
+    e = np.array([m.bias + m.weights[fs].sum() for fs in chain])
+    a, (fo, ft) = m.moves, (0.0, -np.inf)
+    forward, back = [], [(0.0, a[1])]
+    for x in e:
+        fo, ft = np.logaddexp(fo, ft + a[1]), x + np.logaddexp(fo + a[0], ft + a[2])
+        forward.append((fo, ft))
+    for x in e[:0:-1]:
+        bo, bt = back[-1]
+        back.append((np.logaddexp(bo, a[0] + x + bt), np.logaddexp(a[1] + bo, a[2] + x + bt)))
+    z = np.logaddexp(fo, ft + a[1])
+    want = [np.exp(f[1] + b[1] - z) for f, b in zip(forward, reversed(back))]
+    got, = m.token_marginals([words])
+    assert [i for i, _ in got] == list(range(len(words))) and np.allclose([p for _, p in got], want)
+
+
 def test_model_without_evidence():
     m = fit_model([], [], 0.5)
     assert m.indicators == {} and 0 < m.scores(np.array([m.summary([], 0)]))[0] < 1
