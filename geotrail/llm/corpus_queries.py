@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from geotrail.llm.filter_audit import audit_documents
 from geotrail.llm.registry import query, table
+from geotrail.llm.secrets import find_secrets, span_count, span_list
+from geotrail.llm.text_queries import tokenizer_path
+
+SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 @query("op11_filter_audit", r"""
@@ -43,3 +49,13 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 def op11_filter_audit(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return audit_documents(docs, table(spark, sf, "labels"))
+
+
+# token counts have no SQL form: tested against brute force
+@query("op13_secret_scan")
+def op13_secret_scan(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = find_secrets(docs, tokenizer_path(SECRET_VOCABULARY), columns=["doc_id"])
+    base = F.col("base_spans")
+    return out.select("doc_id", *[span_count(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                      F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
