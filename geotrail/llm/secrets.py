@@ -37,6 +37,7 @@ NUMBER = re.compile(r"[0-9+/_=-]+")
 PART = r"(?:(?:[A-Z]?[a-z]{3,}+|[A-Z]{3,}+)++[0-9]{0,4}+|[0-9]++)"
 WORDS = re.compile(rf"[+/_=-]*+{PART}(?:[+/_=-]++{PART})*+[+/_=-]*+")
 MAX_RATIO = 1.75
+MIN_KINDS = 8       # different characters; 20 random ones have more
 SLICE = 4096        # longer strings are cut for counting, as merging grows faster than the string
 
 Span = tuple[int, int, int]     # start, kind's place in KINDS, end
@@ -60,9 +61,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 def known(string: str) -> bool:
-    """A digest or an identifier, by its shape."""
+    """A digest or an identifier by its shape, or a pattern of few characters."""
     s = string.rstrip("=")
-    return any(p.fullmatch(s) for p in (DIGEST, UUID, NUMBER, WORDS))
+    return len(set(s)) < MIN_KINDS or any(p.fullmatch(s) for p in (DIGEST, UUID, NUMBER, WORDS))
 
 
 def random_spans(text: str, tokens: Callable[[str], int], max_ratio: float, base: list[Span]) -> list[Span]:
@@ -128,8 +129,8 @@ def find_secrets(docs: DataFrame, tokenizer: str, text_col: str = "text", column
     leftmost and non-overlapping per kind; a match that is too short still consumes its
     characters. ``spans`` adds kind random: 20 and more of A-Za-z0-9+/_- (then up to two =)
     with under ``max_ratio`` characters per token of the vocabulary file ``tokenizer``, not
-    overlapping a base span, not going on in letters of another alphabet, and not shaped
-    like a digest or an identifier.
+    overlapping a base span, not going on in letters of another alphabet, of at least
+    eight different characters and not shaped like a digest or an identifier.
 
     Null and empty texts have no spans; repeated rows are rows of their own; columns of docs
     named base_spans or spans are replaced; an empty table gives an empty result. Each text is
