@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geotrail.llm.collocations import collocations
 from geotrail.llm.filter_audit import audit_documents
 from geotrail.llm.registry import query, table
 from geotrail.llm.secrets import find_secrets, span_count, span_list
@@ -51,6 +52,45 @@ def op11_filter_audit(spark, sf):
     return audit_documents(docs, table(spark, sf, "labels"))
 
 
+@query("op12_collocations", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w
+           FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-]')) AS p FROM d)),
+grams AS (
+  SELECT lang, s AS words, array_to_string(w[i:i + s - 1], ' ') AS phrase
+  FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i
+        FROM (SELECT lang, w, unnest([1, 2, 3]) AS s FROM pieces) WHERE len(w) >= s)),
+f AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS n FROM grams GROUP BY lang, words, phrase),
+totals AS (SELECT lang, sum(n) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= 10),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+         FROM (SELECT *, unnest(range(1, words)) AS k FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, fx.n AS l, fy.n AS r,
+         (1000000::HUGEINT * a::HUGEINT * a::HUGEINT) // (fx.n::HUGEINT * fy.n::HUGEINT) AS score
+  FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = cuts.x
+  JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = cuts.y),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored)
+         WHERE o = 1),
+around AS (SELECT lang, p AS phrase, max(a) AS a FROM (
+             SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS p FROM c WHERE words = 3)
+           GROUP BY lang, p),
+ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, best.phrase) AS rank
+  FROM best LEFT JOIN around u ON u.lang = best.lang AND u.phrase = best.phrase
+  WHERE coalesce(100 * u.a < 50 * best.a, true))
+SELECT r.lang, r.rank::BIGINT AS rank, r.phrase, r.a::BIGINT AS a, r.l::BIGINT AS l, r.r::BIGINT AS r,
+       t.n::BIGINT AS n, r.score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000""")
+def op12_collocations(spark, sf):
+    docs = table(spark, sf, "documents").select("text", "lang")
+    return collocations(docs, max_words=3, min_count=10, percent=50, top=2000)
+
+
 # token counts have no SQL form: tested against brute force
 @query("op13_secret_scan")
 def op13_secret_scan(spark, sf):
