@@ -323,25 +323,34 @@ def adjacency(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = ()) -> D
 
 
 def neighbour_points(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = (),
-                     weighted: bool = True) -> DataFrame:
+                     weighted: bool = True, only: DataFrame | None = None) -> DataFrame:
     """Points per (keys..., source) for ``estimate``: the located targets of a
     source's edges and, as ``H``, the source's own known point.
 
     Edges carry no key (fold) columns and are shuffled once: a known point
     holds its keys in an array through the join and is spread over them
-    afterwards. Sources with neither drop out."""
+    afterwards. Sources with neither drop out. ``only``, distinct (keys...,
+    source), restricts the result before anything is spread."""
     k = list(keys)
     cols = ["user_name", "lat", "lon", "user_location"]
     here = truth.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     at = here.groupBy(*cols).agg(F.collect_list(F.struct(*k)).alias("_ks")) if k else here.select(*cols)
+    sources = edges.select("source").distinct()
+    if only is not None:
+        sources = (only.groupBy("source").agg(F.collect_list(F.struct(*k)).alias("_only")) if k else only)
+        edges = edges.join(sources, "source")
     none = F.lit(None).cast("double")
-    near = edges.join(at, edges["target"] == at["user_name"]).select(
+    near = edges.join(at, edges["target"] == at["user_name"])
+    own = at.join(sources.withColumnRenamed("source", "user_name"), "user_name")
+    if k and only is not None:      # the same struct of keys on both sides
+        near, own = (x.withColumn("_ks", F.array_intersect("_ks", "_only")).filter(F.size("_ks") > 0)
+                     for x in (near, own))
+    near = near.select(
         "source", "lat", "lon", F.col("user_location").alias("label"),
         (F.col("weight") if weighted else F.lit(1)).cast("double").alias("_weight"),
         none.alias("hlat"), none.alias("hlon"), F.lit(None).cast("string").alias("hlabel"),
         *(["_ks"] if k else []))
-    sources = edges.select(F.col("source").alias("user_name")).distinct()
-    own = at.join(sources, "user_name", "left_semi").select(
+    own = own.select(
         F.col("user_name").alias("source"), none.alias("lat"), none.alias("lon"),
         F.lit(None).cast("string").alias("label"), none.alias("_weight"), F.col("lat").alias("hlat"),
         F.col("lon").alias("hlon"), F.col("user_location").alias("hlabel"), *(["_ks"] if k else []))
@@ -352,30 +361,34 @@ def neighbour_points(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = (
 
 
 def estimate(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = (), weighted: bool = True,
-             tile: int = TILE_POINTS) -> DataFrame:
+             tile: int = TILE_POINTS, only: DataFrame | None = None) -> DataFrame:
     """One estimate per source that is known or has a located neighbour: known
     sources keep their point; others take the (edge-weighted) medoid of their
     located neighbours. Truth must be unique per (keys..., user_name).
-    (keys..., user_name, lat, lon, user_location, dispersion, inferred)."""
-    r = medoid_and_dispersion(neighbour_points(edges, truth, keys, weighted), [*keys, "source"], tile)
+    (keys..., user_name, lat, lon, user_location, dispersion, inferred).
+    ``only`` as in ``neighbour_points``."""
+    r = medoid_and_dispersion(neighbour_points(edges, truth, keys, weighted, only), [*keys, "source"], tile)
     return r.select(*keys, F.col("source").alias("user_name"), "lat", "lon",
                     F.col("label").alias("user_location"), "dispersion", "inferred")
 
 
 def propagate_once(edges: DataFrame, known: DataFrame, keys: Sequence[str] = (), weighted: bool = True,
                    max_dispersion_km: float = PROPAGATION_DISPERSION_KM, keep_unlocated: bool = False,
-                   tile: int = TILE_POINTS) -> DataFrame:
-    """One round: the new known set (keys..., user_name, lat, lon, user_location).
+                   tile: int = TILE_POINTS, only: DataFrame | None = None) -> DataFrame:
+    """One round: the new known set (keys..., user_name, lat, lon, user_location),
+    or what it says of the sources in ``only`` (keys..., source).
 
     Users with dispersion >= max are dropped (and may be re-estimated later);
     users outside the edge table vanish; users without any located neighbour
     are dropped unless ``keep_unlocated`` (the reference kept them with a null
     point; only without ``keys``)."""
-    est = estimate(edges, known, keys, weighted, tile).filter(F.col("dispersion") < max_dispersion_km)
+    est = estimate(edges, known, keys, weighted, tile, only).filter(F.col("dispersion") < max_dispersion_km)
     out = est.select(*keys, "user_name", "lat", "lon", "user_location")
     if keep_unlocated:
         if keys:
             raise ValueError("keep_unlocated needs a run without keys")
+        if only is not None:
+            edges = edges.join(only, "source", "left_semi")
         heard = edges.join(known.filter("lat is not null and lon is not null").select(
             F.col("user_name").alias("target")), "target", "left_semi").select(F.col("source").alias("user_name"))
         placed = heard.unionByName(known.filter("lat is not null and lon is not null").select("user_name"))
@@ -387,22 +400,58 @@ def propagate_once(edges: DataFrame, known: DataFrame, keys: Sequence[str] = (),
     return out
 
 
+def changed_users(before: DataFrame, after: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., user_name) that entered, left or moved between two known sets."""
+    cols = [*keys, "user_name", "lat", "lon", "user_location"]
+    both = before.select(*cols).unionByName(after.select(*cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    return both.filter(F.col("_n") == 1).select(*keys, "user_name").distinct()
+
+
+def affected_sources(edges: DataFrame, changed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., source) whose next estimate can differ: the changed users that have
+    edges, and the sources of edges to them.
+
+    Changed users carry their keys in an array through the join, so edges meet each
+    user once, not once per key."""
+    k = list(keys)
+    who = changed.groupBy("user_name").agg(F.collect_list(F.struct(*k)).alias("_ks")) if k else changed
+    near = edges.join(who.withColumnRenamed("user_name", "target"), "target").drop("target", "weight")
+    own = edges.select("source").distinct().join(who.withColumnRenamed("user_name", "source"), "source")
+    both = near.select("source", *(["_ks"] if k else [])).unionByName(own)
+    if k:
+        both = both.select("source", F.explode("_ks").alias("_k")).select("_k.*", "source")
+    return both.distinct()
+
+
 def propagate(edges: DataFrame, known: DataFrame, rounds: int = 5, keys: Sequence[str] = (),
               weighted: bool = True, max_dispersion_km: float = PROPAGATION_DISPERSION_KM,
               keep_unlocated: bool = False, tile: int = TILE_POINTS,
-              sizes: list | None = None) -> DataFrame:
-    """``rounds`` rounds of ``propagate_once``.
+              sizes: list | None = None, work: list | None = None) -> DataFrame:
+    """``rounds`` rounds of ``propagate_once``, each over what can have changed.
+
+    A source's estimate depends on its own point and its neighbours' points only.
+    After the first round a round therefore takes over the estimates of sources
+    around which nobody entered, left or moved in the round before, and costs
+    the others (semi-naive evaluation); a round without any ends the work.
 
     The edge table is stored once in the shared folder, without a copy per
-    key; every round's point table and estimates are stored by
-    ``medoid_and_dispersion``, so the plan does not grow with the rounds and a
-    lost executor never forces earlier rounds to be computed again. When
-    ``sizes`` is a list, the per-round known-set sizes (keys..., round, known)
-    are appended to it as DataFrames."""
-    cur, edges = known, store(edges, "edges")
+    key; every round's point table, estimates and known set are stored, so the plan
+    does not grow with the rounds and a lost executor never forces earlier rounds to
+    be computed again. When ``sizes`` is a list, the per-round known-set sizes
+    (keys..., round, known) are appended to it as DataFrames; ``work`` likewise gets
+    the sources costed in each round after the first (keys..., round, costed)."""
+    cols = [*keys, "user_name", "lat", "lon", "user_location"]
+    edges, before, only = store(edges, "edges"), known.select(*cols), None
+    cur = store(propagate_once(edges, known, keys, weighted, max_dispersion_km, keep_unlocated, tile), "known")
     for i in range(1, rounds + 1):
-        cur = propagate_once(edges, cur, keys, weighted, max_dispersion_km, keep_unlocated, tile)
+        if i > 1 and (only is None or not only.isEmpty()):
+            only = store(affected_sources(edges, changed_users(before, cur, keys), keys), "affected")
+            new = propagate_once(edges, cur, keys, weighted, max_dispersion_km, keep_unlocated, tile, only)
+            same = join_null_safe(cur, only.withColumnRenamed("source", "user_name"), [*keys, "user_name"], "left_anti")
+            before, cur = cur, store(same.select(*cols).unionByName(new.select(*cols)), "known")
         if sizes is not None:
             sizes.append(cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("known"))
                          .withColumn("round", F.lit(i)))
+        if work is not None and only is not None:
+            work.append(only.groupBy(*keys).agg(F.count(F.lit(1)).alias("costed")).withColumn("round", F.lit(i)))
     return cur

@@ -39,13 +39,14 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
 def join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equally named keys of which some may be null (null meets null).
 
-    Returns the columns of ``a`` and the other columns of ``b``."""
+    Returns the columns of ``a`` and, unless the join is semi or anti, the other columns of ``b``."""
     b = b.withColumnsRenamed({k: "_r_" + k for k in keys})
     on = None
     for k in keys:
         same = F.col(k).eqNullSafe(F.col("_r_" + k))
         on = same if on is None else on & same
-    return a.join(b, on, how).drop(*["_r_" + k for k in keys])
+    out = a.join(b, on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*["_r_" + k for k in keys])
 
 
 def cumulative_weight(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],

@@ -205,3 +205,27 @@ SQL_ROUND5 = SQL_HOME + "," + ",".join(
 def q_propagate_5(spark, sf):
     c = ctx_a(spark, sf)
     return home.propagate(c.rec, c.truth, rounds=5, weighted=True, max_dispersion_km=QUERY_MAX_DISPERSION_KM)
+
+
+def _work_sql(i: int) -> str:
+    """Sources that round ``i`` has to cost: around users that round i - 1 changed."""
+    old, new = ("truth" if i == 2 else f"r{i - 2}"), f"r{i - 1}"
+    cols = "user_name, lat, lon, user_location"
+    return f"""
+d{i} AS (SELECT user_name FROM ((SELECT {cols} FROM {old} EXCEPT SELECT {cols} FROM {new}) UNION ALL
+                                (SELECT {cols} FROM {new} EXCEPT SELECT {cols} FROM {old}))),
+w{i} AS (SELECT DISTINCT source FROM rec WHERE source IN (SELECT user_name FROM d{i}) OR target IN (SELECT user_name FROM d{i}))"""
+
+
+@query("propagation_work", with_prelude(SQL_ROUND5 + "," + ",".join(_work_sql(i).lstrip() for i in range(2, 6)), " UNION ALL ".join(
+    f"SELECT {i} AS round, (SELECT count(*) FROM w{i}) AS costed, (SELECT count(*) FROM r{i}) AS known" for i in range(2, 6))))
+def q_propagation_work(spark, sf):
+    """Rounds 2 to 5: the sources that were costed anew, and the known set."""
+    c, sizes, work = ctx_a(spark, sf), [], []
+    home.propagate(c.rec, c.truth, rounds=5, weighted=True, max_dispersion_km=QUERY_MAX_DISPERSION_KM, sizes=sizes,
+                   work=work)
+    out = None
+    for size, costed in zip(sizes[1:], work):
+        x = costed.join(size, "round").select("round", "costed", "known")
+        out = x if out is None else out.unionByName(x)
+    return out

@@ -79,10 +79,10 @@ def q_scan_merge_schema(spark, sf):
 
 
 FLAT = ("user_id", "media_id", "text", "create_time", "lang", "lat", "lon", "expanded_url")
+SQL_FLAT = "SELECT user_id, media_id, text, create_time, lang, lat, lon, expanded_url FROM posts_a"
 
 
-@query("scan_json_lines", with_prelude("",
-    "SELECT user_id, media_id, text, create_time, lang, lat, lon, expanded_url FROM posts_a"))
+@query("scan_json_lines", with_prelude("", SQL_FLAT))
 def q_scan_json_lines(spark, sf):
     """Post payloads written as JSON-lines files, read back and flattened."""
     path = scratch_path(spark, "json-lines")

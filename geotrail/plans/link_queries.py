@@ -100,6 +100,80 @@ def q_reverse_geocode(spark, sf):
     return r.select("media_id", "lat", "lon", "place_label", F.round("dist_km", 3).alias("dist_km"))
 
 
+AROUND = 177.65      # turns Paris to 180 degrees: its posts lie on both sides
+
+
+def _turned(c: str) -> str:
+    return f"(CASE WHEN {c} + {AROUND} > 180 THEN {c} + {AROUND} - 360 ELSE {c} + {AROUND} END)"
+
+
+_TURNED_DIST = hav("p.lon", "p.lat", "g.lon", "g.lat")
+
+
+@query("reverse_geocode_date_line", with_prelude(f"""
+tp AS (SELECT media_id, lat, {_turned("lon")} AS lon FROM posts_a WHERE lat IS NOT NULL),
+tg AS (SELECT city || ',' || country AS label, lat, {_turned("lon")} AS lon FROM gazetteer)""", f"""
+SELECT media_id, lat, lon, place_label, round(dist_km, 3) AS dist_km FROM (
+  SELECT p.media_id, p.lat, p.lon, g.label AS place_label, {_TURNED_DIST} AS dist_km,
+         row_number() OVER (PARTITION BY p.media_id ORDER BY {_TURNED_DIST}, g.label) AS rn
+  FROM tp p LEFT JOIN tg g ON {_TURNED_DIST} <= 12.0) WHERE rn = 1"""))
+def q_reverse_geocode_date_line(spark, sf):
+    """Posts and places turned about the poles until one city lies on the date line."""
+    def turned(df):
+        x = F.col("lon") + AROUND
+        return df.withColumn("lon", F.when(x > 180, x - 360).otherwise(x))
+    posts = derived.posts_a(spark, sf).filter("lat is not null").select("media_id", "lat", "lon")
+    r = gazetteer.reverse_geocode(turned(posts), turned(derived.gazetteer(spark)), 12.0)
+    return r.select("media_id", "lat", "lon", "place_label", F.round("dist_km", 3).alias("dist_km"))
+
+
+SQL_NAMES = r"""
+ul AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS user_name, CASE user_id % 10
+    WHEN 0 THEN city || ', ' || country WHEN 1 THEN city WHEN 2 THEN upper(country || ' - ' || city)
+    WHEN 3 THEN city[1:a - 1] || city[a + 1:] || ', ' || country
+    WHEN 4 THEN city[1:a] || city[a:]
+    WHEN 5 THEN ' near ' || city || '!! '
+    WHEN 6 THEN city[1:a - 1] || city[a + 1] || city[a] || city[a + 2:] || ' (' || country || ')'
+    WHEN 8 THEN 'somewhere over the rainbow' WHEN 9 THEN city || ' ' || code END AS user_location
+  FROM (SELECT u.user_id, g.*, 2 + (u.user_id // 10) % (length(g.city) - 2) AS a
+        FROM (SELECT DISTINCT user_id FROM events) u JOIN geo g ON g.k = (u.user_id // 7 * 5) % 12)),
+places AS (
+  SELECT city, country, code, lat, lon FROM gazetteer UNION ALL
+  SELECT n_name, r_name, NULL, CAST(n_nationkey AS DOUBLE) * 3.5 - 40, CAST(n_nationkey AS DOUBLE) * 7 - 80
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
+pn AS (SELECT city || ',' || country AS label, lat, lon, city,
+              unnest([city, concat_ws(' ', city, country), concat_ws(' ', city, code)]) AS name FROM places),
+nk AS (SELECT array_to_string(list_sort(list_distinct(regexp_extract_all(lower(name), '[\p{L}\p{M}\p{N}]+'))), ' ') AS id,
+              array_to_string(list_sort(list_distinct(regexp_extract_all(lower(city), '[\p{L}\p{M}\p{N}]+'))), ' ') AS city,
+              label, lat, lon FROM pn),
+names AS (SELECT id, label, lat, lon, city FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY label, lat, lon, city) AS rn FROM nk) WHERE rn = 1),
+tk AS (SELECT *, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(user_location), '[\p{L}\p{M}\p{N}]+'))), ' ') AS id
+       FROM ul),
+words AS (SELECT DISTINCT id, unnest(string_split(id, ' ')) AS w FROM (SELECT id FROM names UNION SELECT id FROM tk) WHERE id <> ''),
+feats AS (SELECT id, '=' || w AS f FROM words UNION
+          SELECT id, ('^' || w || '$')[i:i + 2] FROM (SELECT id, w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+df AS (SELECT f, count(*) AS df FROM feats WHERE id IN (SELECT id FROM names) GROUP BY f),
+wt AS (SELECT feats.id, feats.f, CAST(round(1000000 * ln(1 + (SELECT count(*) FROM names)::DOUBLE / coalesce(df.df, 1))) AS BIGINT) AS w
+       FROM feats LEFT JOIN df ON df.f = feats.f),
+tot AS (SELECT id, sum(w)::BIGINT AS total FROM wt GROUP BY id),
+sc AS (SELECT t.id, n.label, n.lat, n.lon, coalesce(sum(c.w), 0)::BIGINT AS cw, any_value(z.total) AS ct,
+              (sum(a.w)::BIGINT * 1000000) // (any_value(x.total) + any_value(y.total) - sum(a.w)::BIGINT) AS score
+       FROM (SELECT DISTINCT id FROM tk) t JOIN wt a ON a.id = t.id JOIN wt b ON b.f = a.f JOIN names n ON n.id = b.id
+       JOIN tot x ON x.id = t.id JOIN tot y ON y.id = n.id JOIN tot z ON z.id = n.city
+       LEFT JOIN wt c ON c.id = n.city AND c.f = a.f GROUP BY t.id, n.id, n.label, n.lat, n.lon),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label, lat, lon) AS rn
+                        FROM sc WHERE score >= 300000 AND cw * 1000000 >= 500000 * ct) WHERE rn = 1)"""
+
+
+@query("geocode_text", with_prelude(SQL_NAMES, """
+SELECT tk.user_name, tk.user_location, best.lat AS g_lat, best.lon AS g_lon, best.label AS g_label,
+       CAST(best.score AS BIGINT) AS g_score FROM tk LEFT JOIN best ON best.id = tk.id"""))
+def q_geocode_text(spark, sf):
+    """Profile texts with typos, missing countries and turned words against cities and nations."""
+    return gazetteer.geocode_text(derived.unclean_locations(spark, sf), derived.gazetteer_with_nations(spark, sf))
+
+
 SQL_FRONTIER = """
 seen_b AS (SELECT m.media_id, m.create_time_stamp, m.location_id, u.user_name
            FROM media_b m JOIN users_b u ON u.user_id = m.user_id)"""

@@ -192,3 +192,37 @@ def gazetteer(spark: SparkSession) -> DataFrame:
         F.lower(F.concat(F.col("city"), F.lit(", "), F.col("country"))).alias("key"),
         F.col("city"), F.col("country"), F.col("code"),
         F.col("lat0").alias("lat"), F.col("lon0").alias("lon"))
+
+
+def unclean_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-text home of every event user: by user_id % 10 exact, without country, words
+    turned round, one letter missing, doubled or swapped, with other words, with the
+    country code, elsewhere, or null; the letter by floor(user_id / 10)."""
+    u = events(spark, sf_dir).select("user_id").distinct()
+    uid = F.col("user_id")
+    u = u.select(uid, _lookup(_home_key(uid), 2).alias("c"), _lookup(_home_key(uid), 3).alias("n"),
+                 _lookup(_home_key(uid), 1).alias("cc"))
+    c, n = F.col("c"), F.col("n")
+    at = (_div(uid, 10) % (F.length(c) - 2) + 2).cast("int")         # 2 .. length - 1
+    letter, head, tail = F.substring(c, at, F.lit(1)), F.substring(c, F.lit(1), at - 1), F.substring(c, at + 1, F.lit(99))
+    texts = {0: F.concat(c, F.lit(", "), n), 1: c, 2: F.upper(F.concat(n, F.lit(" - "), c)),
+             3: F.concat(head, tail, F.lit(", "), n), 4: F.concat(head, letter, letter, tail),
+             5: F.concat(F.lit(" near "), c, F.lit("!! ")),
+             6: F.concat(head, F.substring(tail, 1, 1), letter, F.substring(tail, 2, 99), F.lit(" ("), n, F.lit(")")),
+             8: F.lit("somewhere over the rainbow"), 9: F.concat(c, F.lit(" "), F.col("cc"))}
+    text = F.lit(None).cast("string")
+    for k, v in texts.items():
+        text = F.when(uid % 10 == k, v).otherwise(text)
+    return u.select(F.concat(F.lit("u"), uid.cast("string")).alias("user_name"), text.alias("user_location"))
+
+
+def gazetteer_with_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cities, and the given nations as places of their regions (points by nation key)."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    region = spark.read.parquet(f"{sf_dir}/region.parquet")
+    k = F.col("n_nationkey").cast("double")
+    places = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(
+        F.lower(F.concat_ws(", ", "n_name", "r_name")).alias("key"), F.col("n_name").alias("city"),
+        F.col("r_name").alias("country"), F.lit(None).cast("string").alias("code"),
+        (k * 3.5 - 40).alias("lat"), (k * 7 - 80).alias("lon"))
+    return gazetteer(spark).unionByName(places)

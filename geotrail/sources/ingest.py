@@ -9,6 +9,9 @@ array or a short array gives null.
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,10 +169,13 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files with a header, every column as text (quotes, line breaks in
-    quotes). Nothing is inferred; the caller casts."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """CSV files with a header, every column as text, quotes doubled inside quotes.
+    Nothing is inferred; the caller casts.
+
+    A large file is split into many tasks, which needs every record on one line. Set
+    ``line_breaks`` for files with line breaks inside quotes: each file is then one task."""
+    return spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
 
 
 def read_parquet_batches(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
@@ -186,7 +192,47 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     return path
 
 
-def write_batch(df: DataFrame, root: str, stamp: str, mode: str = "append") -> str:
-    """Append one capture batch under ``root/batch_ts=<stamp>``."""
-    df.withColumn("batch_ts", F.lit(stamp)).write.mode(mode).partitionBy("batch_ts").parquet(root)
+STAMP = "batch_ts"
+BATCH_STATES = "batch_ts string, state string, at long"
+
+
+def _ledger(root: str) -> str:
+    return f"{root.rstrip('/')}-ledger"
+
+
+def _enter(spark: SparkSession, root: str, stamp: str, state: str) -> None:
+    entry = spark.createDataFrame([(stamp, state, time.time_ns())], BATCH_STATES)
+    entry.coalesce(1).write.mode("append").parquet(_ledger(root))
+
+
+def write_batch(df: DataFrame, root: str, stamp: str) -> str:
+    """Write one capture batch under ``root/batch_ts=<stamp>`` (S9); may be run again.
+
+    A rerun of a stamp replaces that batch, also by an empty one, and touches no other.
+    The ledger ``<root>-ledger`` notes when a batch is opened and when all its rows are in
+    place; ``read_batches`` leaves out batches that were opened last, so one whose writer
+    died half-way is not read, neither its new rows nor what is left of its old ones.
+    Different stamps may be written at the same time, one stamp by one writer."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", stamp) or re.fullmatch("0[0-9]+", stamp):
+        raise ValueError(f"a stamp is letters, digits, _ and - (no number with leading zeros), not {stamp!r}")
+    spark = df.sparkSession
+    _enter(spark, root, stamp, "open")
+    df.write.mode("overwrite").parquet(f"{root}/{STAMP}={stamp}")
+    _enter(spark, root, stamp, "done")
     return root
+
+
+def committed_batches(spark: SparkSession, root: str) -> DataFrame:
+    """(batch_ts) of the batches whose last entry in the ledger says done."""
+    last = spark.read.schema(BATCH_STATES).parquet(_ledger(root)).groupBy(STAMP).agg(
+        F.max_by("state", "at").alias("state"))
+    return last.filter("state = 'done'").select(STAMP)
+
+
+def read_batches(spark: SparkSession, root: str, merge_schema: bool = True) -> DataFrame:
+    """All committed batches under ``root`` as one table with ``batch_ts`` (text).
+
+    The join is on the partition column, so Spark prunes the folders of other batches."""
+    rows = read_parquet_batches(spark, root, merge_schema)
+    rows = rows.withColumn(STAMP, F.col(STAMP).cast("string"))
+    return rows.join(committed_batches(spark, root), STAMP, "left_semi")

@@ -3,19 +3,21 @@
 T1 incremental flatten: JSON drop folder -> flat parquet, checkpointed.
 T2 bounding box on the stream.
 T3 duplicate posts across captures: watermark + dropDuplicatesWithinWatermark.
-T4 per-user speed check on arrival: applyInPandasWithState keyed by user,
-   arrivals wait until the watermark passes them, then leave in event-time
-   order next to the user's previous post; the checks are the batch ones.
+T4 per-user speed check on arrival: a stateful processor (transformWithState)
+   keyed by user; arrivals wait in map state until an event-time timer finds that
+   the watermark has passed them, then leave in event-time order next to the
+   user's previous post; the checks are the batch ones.
+Dead letters: good posts and broken payloads of a stream, each batch exactly once.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from geotrail.functions.geo import haversine_km, in_bbox
 from geotrail.functions.text import parse_post_time
@@ -51,69 +53,138 @@ def dedup_stream(posts: DataFrame, delay: str = "2 hours") -> DataFrame:
     return x.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["media_id"])
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which transformWithState needs.
+
+    A stream takes the setting when it starts (and from its checkpoint when it starts
+    again), so the session gets back what it had."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def _trigger(writer, available_now: bool, every: str):
+    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
+
+
 def write_parquet_stream(df: DataFrame, out: str, checkpoint: str, available_now: bool = True,
                          every: str = "1 hour"):
     """File sink with its own checkpoint (exactly-once across restarts)."""
     w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)
-    return w.outputMode("append").start()
+    with rocksdb_state(df.sparkSession):
+        return _trigger(w, available_now, every).outputMode("append").start()
+
+
+def write_with_dead_letters(raw: DataFrame, good: str, dead: str, checkpoint: str, available_now: bool = True,
+                            every: str = "1 hour"):
+    """Post payloads of a stream: flattened posts to ``good``, payloads that do not
+    parse to ``dead``, whole.
+
+    Both are batch tables (ingest.write_batch) with one folder per micro-batch. A
+    micro-batch that is run again after a failure replaces its own folders, so every
+    payload is in exactly one of the tables once; readers see committed batches only
+    (ingest.read_batches). The batch's payloads are parsed once for each table."""
+    def write(batch: DataFrame, number: int) -> None:
+        stamp = f"b{number:012d}"
+        ingest.write_batch(ingest.flatten_posts(batch), good, stamp)
+        ingest.write_batch(ingest.quarantine(batch, ingest.POST_PAYLOAD), dead, stamp)
+
+    w = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(w, available_now, every).start()
 
 
 PREV_OUT = ("user_id string, media_id string, t long, place_lat double, place_lon double, "
             "prev_t long, prev_lat double, prev_lon double")
-PREV_STATE = ("last_t long, last_lat double, last_lon double, "
-              "media_id array<string>, t array<long>, place_lat array<double>, place_lon array<double>")
-POST = ["media_id", "t", "place_lat", "place_lon"]
 PREV = ["prev_t", "prev_lat", "prev_lon"]
-
-
-def _with_previous(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One user's posts in event-time order, each with the post before it.
-
-    Arrivals wait until the watermark has passed them (nothing older can
-    come any more; while there is no watermark all wait), then leave in (time,
-    media_id) order. The last post that left stays in the state for good, so a
-    user who returns after months is compared with it; the waiting posts are
-    bounded by the watermark delay."""
-    last, held = (None, None, None), pd.DataFrame({c: [] for c in POST})
-    if state.exists:
-        *last, media, t, lat, lon = state.get
-        held = pd.DataFrame({"media_id": list(media), "t": list(t), "place_lat": list(lat), "place_lon": list(lon)})
-    held = pd.concat([x for x in (held, *[p[POST] for p in pdfs]) if len(x)] or [held], ignore_index=True)
-    held = held.sort_values(["t", "media_id"], ignore_index=True)
-    watermark = state.getCurrentWatermarkMs()
-    ripe = (held["t"].astype("int64") * 1000 <= watermark) if watermark and watermark > 0 else held["t"].isna()
-    out, held = held[ripe].copy(), held[~ripe]
-    if len(out):
-        for name, column, first in zip(PREV, POST[1:], last):
-            before = out[column].shift(1).astype("object")
-            before.iloc[0] = first
-            out[name] = pd.array([None if pd.isna(x) else int(x) if name == "prev_t" else float(x) for x in before],
-                                 dtype="Int64" if name == "prev_t" else "Float64")
-        end = out.iloc[-1]
-        last = (int(end["t"]), *(None if pd.isna(end[c]) else float(end[c]) for c in ("place_lat", "place_lon")))
-        out.insert(0, "user_id", key[0])
-    state.update((*last, held["media_id"].tolist(), [int(x) for x in held["t"]],
-                  *([None if pd.isna(x) else float(x) for x in held[c]] for c in ("place_lat", "place_lon"))))
-    if len(held) and watermark and watermark > 0:
-        state.setTimeoutTimestamp(int(held["t"].min()) * 1000)
-    if len(out):
-        yield out[["user_id", *POST, *PREV]]
+Post = tuple[str | None, float | None, float | None]        # media_id, latitude, longitude
+
+
+def _nulls_first(post: Post) -> tuple:
+    return post[0] is not None, post[0] or ""
+
+
+class PreviousPost(StatefulProcessor):
+    """Every post of a user with the post before it, in (time, media_id) order.
+
+    Arrivals wait in ``held`` (second -> posts of that second). One event-time timer
+    per user stands at the earliest of them; when the watermark reaches it, all seconds
+    up to the watermark leave (nothing older can come any more) and the timer moves on.
+    A timer needs no further post of the user, and none of anybody else in the same
+    batch, so a user whose posts all came before the first watermark is released too.
+    The last post that left stays in ``last`` for good: a user who returns after months
+    is compared with it. ``held`` is bounded by the watermark delay."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long, lat double, lon double")
+        self.due = handle.getValueState("due", "ms long")
+        self.held = handle.getMapState("held", "t long", "media array<string>, lat array<double>, lon array<double>")
+
+    def _wait_for(self, t: int) -> None:
+        """The user's one timer, at second ``t`` unless it stands earlier."""
+        if self.due.exists():
+            now = self.due.get()[0]
+            if now <= t * 1000:
+                return
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(t * 1000)
+        self.due.update((t * 1000,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new: dict[int, list[Post]] = {}
+        for r in rows:
+            new.setdefault(r["t"], []).append((r["media_id"], r["place_lat"], r["place_lon"]))
+        for t, posts in new.items():
+            if self.held.containsKey((t,)):
+                posts = [*zip(*self.held.getValue((t,))), *posts]
+            self.held.updateValue((t,), tuple(list(x) for x in zip(*posts)))
+        if new:
+            self._wait_for(min(new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(t for (t,) in list(self.held.keys()))
+        last = self.last.get() if self.last.exists() else (None, None, None)
+        out = []
+        for t in waiting:
+            if t * 1000 > watermark:
+                break
+            for media, lat, lon in sorted(zip(*self.held.getValue((t,))), key=_nulls_first):
+                out.append(Row(user_id=key[0], media_id=media, t=t, place_lat=lat, place_lon=lon,
+                               prev_t=last[0], prev_lat=last[1], prev_lon=last[2]))
+                last = (t, lat, lon)
+            self.held.removeKey((t,))
+        self.due.clear()
+        if out:
+            self.last.update(tuple(last))
+        rest = [t for t in waiting if t * 1000 > watermark]
+        if rest:
+            self._wait_for(rest[0])
+        return iter(out)
 
 
 def speed_check_stream(posts: DataFrame, delay: str = "2 hours", max_speed: float = 1000.0) -> DataFrame:
     """T4: per-user impossible-speed filter on a stream of posts
     (needs user_id, media_id, create_time text, place_lat, place_lon).
 
-    The state function only finds each post's predecessor; distance, interval,
-    speed and the filters are the columns of the batch cleaning. Posts that
-    come later than ``delay`` are dropped by the watermark, posts without a
-    readable time at once. A post leaves when the watermark has passed it."""
+    The processor only finds each post's predecessor; distance, interval, speed and
+    the filters are the columns of the batch cleaning. Posts that come later than
+    ``delay`` are dropped by the watermark, posts without a readable time at once. A
+    post leaves when the watermark has passed it, whoever's posts moved it. Start the
+    stream inside ``rocksdb_state`` (``write_parquet_stream`` does)."""
     x = posts.withColumn("event_time", parse_post_time(F.col("create_time")))
     x = x.select("user_id", "media_id", "event_time", F.unix_timestamp("event_time").alias("t"),
                  "place_lat", "place_lon").filter("event_time is not null").withWatermark("event_time", delay)
-    x = x.groupBy("user_id").applyInPandasWithState(_with_previous, PREV_OUT, PREV_STATE, "append",
-                                                     GroupStateTimeout.EventTimeTimeout)
+    x = x.groupBy("user_id").transformWithState(PreviousPost(), PREV_OUT, "append", "eventTime")
     x = x.withColumn("dist", haversine_km("place_lon", "place_lat", "prev_lon", "prev_lat"))
     x = x.withColumn("interarrivaltime", F.col("t") - F.col("prev_t")).drop(*PREV)
     return drop_impossible(x, "later", max_speed)

@@ -123,3 +123,51 @@ def test_profile_truth_bad_numbers_and_duplicates(spark):
                                 "user_name string, lat string, lon string, user_city string, user_country string")
     got = rows(home.profile_ground_truth(raw))
     assert got == [("a", 1.5, 2.5, "C,K"), ("c", 1.0, 1.0, "X,Y")]
+
+
+def _full_rounds(edges, known, rounds, keys=(), **kw):
+    for _ in range(rounds):
+        known = home.propagate_once(edges, known, keys, **kw)
+    return known
+
+
+def _network(spark, seed, users=60, folds=0):
+    rnd = random.Random(seed)
+    pairs = {(a, b) for a in range(users) for b in (rnd.randrange(users), (a + 1) % users) if a != b}
+    pairs |= {(b, a) for a, b in pairs}
+    edges = [(f"u{a}", f"u{b}", 1 + (a * b) % 4) for a, b in sorted(pairs)]
+    spots = [(48.85, 2.35, "Paris,FR"), (48.9, 2.4, "Saint-Denis,FR"), (52.52, 13.4, "Berlin,DE"), (45.76, 4.84, "Lyon,FR")]
+    known = [(f"u{i}", *spots[rnd.randrange(4) if rnd.random() < .3 else 0]) for i in range(0, users, 3)] + [("outside", 1.0, 1.0, "x")]
+    cols = "user_name string, lat double, lon double, user_location string"
+    if folds:
+        known = [(f, *k) for f in range(folds) for k in known if (f * 7 + len(k[0]) + int(k[0][1:] or 0 if k[0][1:].isdigit() else 0)) % 4]
+        cols = "fold int, " + cols
+    return spark.createDataFrame(edges, "source string, target string, weight long"), spark.createDataFrame(known, cols)
+
+
+def test_delta_rounds_equal_full_rounds(spark):
+    cols = ["user_name", "lat", "lon", "user_location"]
+    for seed, extra in ((1, {}), (2, {"keep_unlocated": True}), (3, {"weighted": False, "max_dispersion_km": 300.0})):
+        edges, known = _network(spark, seed)
+        work, sizes = [], []
+        got = home.propagate(edges, known, rounds=4, work=work, sizes=sizes, **extra)
+        assert rows(got, *cols) == rows(_full_rounds(edges, known, 4, **extra), *cols)
+        costed = [w.first()["costed"] for w in work]
+        assert len(costed) == 3 and len(sizes) == 4 and costed[-1] <= costed[0] <= 60
+
+
+def test_delta_rounds_per_fold_equal_full_rounds(spark):
+    cols = ["fold", "user_name", "lat", "lon", "user_location"]
+    edges, known = _network(spark, 7, users=40, folds=3)
+    got = home.propagate(edges, known, rounds=3, keys=["fold"])
+    assert rows(got, *cols) == rows(_full_rounds(edges, known, 3, keys=["fold"]), *cols)
+
+
+def test_rounds_end_when_nothing_changes(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "source string, target string, weight long")
+    known = spark.createDataFrame([("a", 48.85, 2.35, "P"), ("b", 48.85, 2.35, "P")],
+                                  "user_name string, lat double, lon double, user_location string")
+    work, sizes = [], []
+    got = home.propagate(edges, known, rounds=5, work=work, sizes=sizes)
+    assert rows(got, "user_name") == [("a",), ("b",)] and len(sizes) == 5
+    assert [w.first()["costed"] for w in work] == [0] * 4

@@ -1,71 +1,135 @@
-import pandas as pd
+import random
 
-from geotrail.streaming.capture import _with_previous
+from geotrail.streaming.capture import PreviousPost
 
 
-class StubState:
-    """Minimal GroupState stand-in for driving the state function directly."""
-
+class Value:
     def __init__(self):
-        self.value, self.wm, self.timed_out, self.removed = None, 0, False, False
+        self.value = None
 
-    @property
     def exists(self):
         return self.value is not None
 
-    @property
     def get(self):
         return self.value
 
-    @property
-    def hasTimedOut(self):
-        return self.timed_out
-
-    def getCurrentWatermarkMs(self):
-        return self.wm
-
     def update(self, v):
         self.value = v
 
-    def remove(self):
-        self.value, self.removed = None, True
+    def clear(self):
+        self.value = None
+
+
+class Map:
+    def __init__(self):
+        self.data = {}
+
+    def containsKey(self, k):
+        return k in self.data
+
+    def getValue(self, k):
+        return self.data[k]
+
+    def updateValue(self, k, v):
+        self.data[k] = v
+
+    def removeKey(self, k):
+        del self.data[k]
+
+    def keys(self):
+        return iter(list(self.data))
+
+
+class Handle:
+    """One user's state and timers, fired the way the engine does it."""
+
+    def __init__(self):
+        self.timers, self.watermark = set(), 0
+        self.processor = PreviousPost()
+        self.processor.init(self)
+
+    def getValueState(self, name, schema):
+        return Value()
+
+    def getMapState(self, name, key, value):
+        return Map()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
 
-    def setTimeoutTimestamp(self, ms):
-        self.timeout = ms
+    def batch(self, rows, watermark):
+        """One micro-batch: rows (media_id, t, lat, lon), then the timers that are due."""
+        self.watermark = watermark * 1000
+        rows = [dict(zip(("media_id", "t", "place_lat", "place_lon"), r)) for r in rows]
+        out = list(self.processor.handleInputRows(("u",), iter(rows), self)) if rows else []
+        while due := sorted(t for t in self.timers if t <= self.watermark):
+            self.timers.remove(due[0])
+            out += self.processor.handleExpiredTimer(("u",), self, None)
+        return [(r.media_id, r.t, r.prev_t, r.prev_lat, r.prev_lon) for r in out]
 
 
-def run(state, rows, user="u"):
-    state.timeout = None
-    pdf = pd.DataFrame(rows, columns=["media_id", "t", "place_lat", "place_lon"])
-    got = list(_with_previous((user,), iter([pdf] if rows else []), state))
-    return [tuple(None if pd.isna(x) else x for x in r) for f in got
-            for r in f[["media_id", "t", "prev_t", "prev_lat", "prev_lon"]].itertuples(index=False)]
+def test_a_user_of_the_first_batch_only_is_released():
+    h = Handle()
+    assert h.batch([("solo", 900, 48.85, 2.35)], 0) == []      # no watermark yet
+    assert h.timers == {900_000}
+    assert h.batch([], 1_000) == [("solo", 900, None, None, None)]
+    assert not h.timers and not h.processor.held.data
 
 
-def test_waits_without_a_watermark_and_orders():
-    st = StubState()
-    assert run(st, [("b", 900, 48.85, 2.35), ("a", 800, 48.0, 2.0)]) == []     # first batch: no watermark yet
-    st.wm = 1_000 * 1000
-    assert run(st, [("0", 800, 1.0, 1.0), ("c", 2000, 48.9, 2.4)]) == [
+def test_orders_within_and_across_batches():
+    h = Handle()
+    assert h.batch([("b", 900, 48.85, 2.35), ("a", 800, 48.0, 2.0)], 0) == []
+    assert h.batch([("0", 800, 1.0, 1.0), ("c", 2000, 48.9, 2.4)], 1_000) == [
         ("0", 800, None, None, None), ("a", 800, 800, 1.0, 1.0), ("b", 900, 800, 48.0, 2.0)]
-    assert st.timeout == 2_000_000
-
-
-def test_timeout_releases_up_to_the_watermark_only_and_keeps_the_last_post():
-    st = StubState()
-    st.wm = 100
-    run(st, [("a", 36_000, 48.85, 2.35), ("b", 30_000, 48.0, 2.0)])
-    st.timed_out, st.wm = True, 30_600 * 1000
-    assert [r[0] for r in run(st, [])] == ["b"]             # "a" is later than the watermark
-    st.wm = 40_000 * 1000
-    assert run(st, []) == [("a", 36_000, 30_000, 48.0, 2.0)]
-    assert not st.removed and st.timeout is None
-    st.timed_out, st.wm = False, 90_000 * 1000
-    assert run(st, [("tokyo", 80_000, 35.68, 139.69)]) == [("tokyo", 80_000, 36_000, 48.85, 2.35)]
-
-
-def test_missing_coordinates_pass_through():
-    st = StubState()
-    st.wm = 10_000 * 1000
-    assert run(st, [("a", 1, None, None), ("b", 2, 1.0, 2.0), ("c", 3, 1.0, 2.0)]) == [
-        ("a", 1, None, None, None), ("b", 2, 1, None, None), ("c", 3, 2, 1.0, 2.0)]
+    assert h.timers == {2_000_000}
+
+
+def test_releases_up_to_the_watermark_only_and_keeps_the_last_post():
+    h = Handle()
+    h.batch([("a", 36_000, 48.85, 2.35), ("b", 30_000, 48.0, 2.0)], 100)
+    assert [r[0] for r in h.batch([], 30_600)] == ["b"]             # "a" is later than the watermark
+    assert h.batch([], 40_000) == [("a", 36_000, 30_000, 48.0, 2.0)]
+    assert not h.timers and h.processor.last.exists()
+    assert h.batch([("tokyo", 80_000, 35.68, 139.69)], 90_000) == [("tokyo", 80_000, 36_000, 48.85, 2.35)]
+
+
+def test_an_earlier_arrival_moves_the_timer():
+    h = Handle()
+    h.batch([("a", 500, 1.0, 1.0)], 0)
+    h.batch([("b", 400, 1.0, 1.0)], 100)
+    assert h.timers == {400_000}
+    h.batch([("c", 450, 1.0, 1.0)], 100)
+    assert h.timers == {400_000}
+
+
+def test_missing_values_pass_through():
+    h = Handle()
+    assert h.batch([("a", 1, None, None), (None, 1, 5.0, 5.0), ("b", 2, 1.0, 2.0), ("c", 3, 1.0, 2.0)], 10_000) == [
+        (None, 1, None, None, None), ("a", 1, 1, 5.0, 5.0), ("b", 2, 1, None, None), ("c", 3, 2, 1.0, 2.0)]
+
+
+def test_random_batches_equal_the_sorted_sequence():
+    r = random.Random(4)
+    for _ in range(50):
+        posts = [(f"m{i}", r.randint(0, 50) * 10, float(i), float(-i)) for i in range(r.randint(1, 40))]
+        h, got, waiting, mark = Handle(), [], list(posts), 0
+        r.shuffle(waiting)
+        while waiting:
+            late = [p for p in waiting if p[1] <= mark]             # the engine would drop these: send them first
+            take = late or waiting[:r.randint(1, 6)]
+            waiting = [p for p in waiting if p not in take]
+            lowest = min([p[1] for p in waiting], default=10 ** 6)
+            mark = max(mark, min(mark + 40, lowest - 1))
+            got += h.batch(take, mark)
+        got += h.batch([], 10 ** 6)
+        want, last = [], (None, None, None)
+        for media, t, lat, lon in sorted(posts, key=lambda p: (p[1], p[0])):
+            want.append((media, t, *last))
+            last = (t, lat, lon)
+        assert got == want

@@ -47,7 +47,8 @@ def _speed_drain(spark, posts, folder, delay, name):
     """Drain one file per micro-batch through the speed check."""
     src = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(folder, "*"))
     s = capture.speed_check_stream(src, delay=delay)
-    q = s.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    with capture.rocksdb_state(spark):
+        q = s.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(300)
     return spark.sql(f"select * from {name} where user_id != 'end'")
 
@@ -75,6 +76,44 @@ def test_speed_stream_equals_batch_over_many_unordered_batches(spark, sf_small):
     assert rows(got.select(*cols)) == rows(want.select(*cols))
 
 
+def test_speed_stream_releases_a_user_of_the_first_file_only(spark):
+    schema = "user_id string, media_id string, create_time string, place_lat double, place_lon double"
+    d, before = tempfile.mkdtemp(prefix="geotrail-solo-"), spark.conf.get(capture.PROVIDER, None)
+    files = [[("solo", "1", "Mon Jan 01 10:00:00 +0000 2024", 48.85, 2.35)],
+             [("end", "e", "Wed Jan 01 10:00:00 +0000 2090", 1.0, 1.0)],
+             [("end", "f", "Sun Jan 01 10:00:00 +0000 2095", 1.0, 1.0)]]
+    for i, f in enumerate(files):
+        df = spark.createDataFrame(f, schema)
+        df.coalesce(1).write.parquet(os.path.join(d, f"f{i}"))
+    got = _speed_drain(spark, df, d, "1 hour", "solo_out")
+    assert [(r.media_id, r.dist, r.interarrivaltime) for r in got.filter("user_id = 'solo'").collect()] == [("1", None, None)]
+    assert spark.conf.get(capture.PROVIDER, None) == before
+
+
+def test_dead_letters_are_exactly_once_when_a_batch_runs_again(spark, sf_small):
+    d = _drop_folder(spark, sf_small, parts=2)
+    broken = tempfile.mkdtemp(prefix="geotrail-broken-")
+    spark.createDataFrame([('{"id_str": "x', ), ("not json",), ('{"id_str": "x7"}',)], "value string").coalesce(1).write.text(
+        os.path.join(broken, "b"))
+    good, dead, ck = (tempfile.mkdtemp(prefix="geotrail-dl-") + "/t" for _ in range(3))
+
+    def drain():
+        raw = capture.read_payload_stream(spark, os.path.join(d, "*"), max_files=1).unionByName(
+            capture.read_payload_stream(spark, os.path.join(broken, "*")))
+        capture.write_with_dead_letters(raw, good, dead, ck).awaitTermination(300)
+        return (rows(ingest.read_batches(spark, good).select("media_id", "user_id")),
+                rows(ingest.read_batches(spark, dead).select("value")))
+    first = drain()
+    commits = sorted(f for f in os.listdir(os.path.join(ck, "commits")) if f.isdigit())
+    for name in (commits[-1], f".{commits[-1]}.crc"):           # as if the driver died after writing, before the commit
+        if os.path.exists(os.path.join(ck, "commits", name)):
+            os.remove(os.path.join(ck, "commits", name))
+    assert drain() == first
+    want = ingest.flatten_posts(payloads.post_payloads(spark, sf_small)).select("media_id", "user_id")
+    assert [r for r in first[0] if r[0] != "x7"] == rows(want)
+    assert ("not json",) in first[1] and len(first[1]) + len(first[0]) == want.count() + 3
+
+
 def test_speed_stream_returns_after_a_long_break(spark):
     schema = "user_id string, media_id string, create_time string, place_lat double, place_lon double"
     d = tempfile.mkdtemp(prefix="geotrail-break-")
