@@ -4,6 +4,8 @@ mention graph."""
 
 from __future__ import annotations
 
+import heapq
+import math
 from typing import Sequence
 
 import numpy as np
@@ -11,16 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import great_circle_km, haversine_km
+from geotrail.functions.geo import EARTH_RADIUS_KM, great_circle_km, haversine_km
 from geotrail.functions.text import place_label
-from geotrail.operators.skew import group_median, join_null_safe
+from geotrail.operators.skew import PART, group_median, in_ranges, join_null_safe
 from geotrail.session import store
 
 TILE_POINTS = 1024          # distinct points per key evaluated in one array
 ACTIVITY_RADIUS_KM = 30.0
 PROPAGATION_DISPERSION_KM = 100.0
 MIN_POSTS = 3
-GRID = 96                   # cells per side of the grid that bounds the costs of a large key
+CLUSTERS = 2048             # of a large key: their means bound the costs of its points
+CLUSTER_POINTS = 4          # points of a cluster on average, at least
 COST_TILE = 2048            # points a side in one pair of tiles of a large key
 COST_DIGITS = 6
 
@@ -171,19 +174,49 @@ def _across(a: tuple, b: tuple) -> np.ndarray:
     return great_circle_km(np, tuple(x[:, None] for x in a), tuple(x[None, :] for x in b))
 
 
-def _possible_cells(cells: pa.Table) -> pa.Table:
-    """Grid cells of one key that may hold its medoid.
-
-    cells: _cell, clat, clon (a point of reference), w (weight), s (weighted
-    sum of distances to the reference), r (largest of them). The cost of a
-    reference, computed from references only, is off by sum(s) at most, and a
-    member of the cell is off by another total weight * r."""
-    at = _radians(cells["clat"].to_numpy(), cells["clon"].to_numpy())
-    w, s, r = (cells[c].to_numpy().astype(float) for c in ("w", "s", "r"))
-    cost = np.concatenate([_across(tuple(x[i:i + 256] for x in at), at) @ w for i in range(0, len(w), 256)])
-    slack = s.sum() + w.sum() * r
-    keep = cost - slack <= (cost + slack).min() * (1 + 1e-9) + 1e-6
-    return cells.filter(pa.array(keep)).drop_columns(["clat", "clon", "w", "s", "r"])
+def _cost_bounds(at: tuple, own: np.ndarray | float, clusters: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest cost (km) of members within ``own`` radians of the points ``at``.
+
+    clusters: clat, clon (spherical mean), w (weight) and, in radians, s1 = sum of w s,
+    s2 = sum of w s s, s3 = sum of w (s - sin s), r = largest s, of the members' distances
+    s to the mean. Along a geodesic the distance to a fixed point at distance d has a
+    second derivative of at most max(1 / d, 1 / (pi - d)); the first-order parts add up to
+    s3 at most, because the tangents of length sin s cancel at the spherical mean."""
+    ref = _radians(clusters["clat"].to_numpy(), clusters["clon"].to_numpy())
+    w, s1, s2, s3, r = (clusters[c].to_numpy().astype(float) for c in ("w", "s1", "s2", "s3", "r"))
+    low, high = np.empty(len(at[0])), np.empty(len(at[0]))
+    reach = own * w.sum()
+    for i in range(0, len(low), 256):
+        d = _across(tuple(x[i:i + 256] for x in at), ref) / EARTH_RADIUS_KM
+        least = np.minimum(d - r, np.pi - d - r)
+        off = np.where(least > 1e-6, np.minimum(s3 + s2 / (2 * np.maximum(least, 1e-6)), s1), s1).sum(axis=1)
+        cost, off = d @ w, off + (reach[i:i + 256] if np.ndim(reach) else reach)
+        low[i:i + 256], high[i:i + 256] = cost - off, cost + off
+    return low * EARTH_RADIUS_KM, high * EARTH_RADIUS_KM
+
+
+def _may_be_least(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Against rounding: costs are compared at COST_DIGITS digits."""
+    return low <= high.min() * (1 + 1e-9) + 4 * 10.0 ** -COST_DIGITS
+
+
+def _possible_clusters(clusters: pa.Table) -> pa.Table:
+    """Clusters of one key that may hold its medoid."""
+    at = _radians(clusters["clat"].to_numpy(), clusters["clon"].to_numpy())
+    low, high = _cost_bounds(at, clusters["r"].to_numpy().astype(float), clusters)
+    return clusters.filter(pa.array(_may_be_least(low, high))).drop_columns(["clat", "clon", "w", "s1", "s2", "s3", "r"])
+
+
+def _bounded(keys: Sequence[str]):
+    """One tile of candidates against all clusters of their key."""
+    def run(cands: pa.Table, clusters: pa.Table) -> pa.Table:
+        cands = cands.select([*keys, "lat", "lon", "label"])
+        if not cands.num_rows or not clusters.num_rows:
+            return cands.slice(0, 0).append_column("low", pa.array([], pa.float64())).append_column(
+                "high", pa.array([], pa.float64()))
+        low, high = _cost_bounds(_radians(cands["lat"].to_numpy(), cands["lon"].to_numpy()), 0.0, clusters)
+        return cands.append_column("low", pa.array(low)).append_column("high", pa.array(high))
+    return run
 
 
 def _partial_costs(keys: Sequence[str]):
@@ -200,35 +233,129 @@ def _partial_costs(keys: Sequence[str]):
     return run
 
 
+def _curve(lat: Column, lon: Column) -> Column:
+    """Place on the Z curve over latitude and longitude, 26 bits each."""
+    def spread(x):
+        for shift, keep in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                            (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = F.shiftleft(x, shift).bitwiseOR(x).bitwiseAND(F.lit(keep))
+        return x
+    steps = float((1 << 26) - 1)
+    y = F.floor((lat + 90) / 180 * steps).cast("long")
+    x = F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * steps).cast("long")
+    return F.shiftleft(spread(y), 1).bitwiseOR(spread(x))
+
+
+def _cut(z: np.ndarray, lat: np.ndarray, lon: np.ndarray, w: np.ndarray, most: int) -> np.ndarray:
+    """Cluster number of each point: a tree over the points along the curve.
+
+    The stretch with the largest weighted distance sum to its mean is cut next, where a
+    gap makes up a quarter of its way at that gap (an outlier leaves alone), else in the
+    middle, until there are ``most`` stretches or none has any extent."""
+    order = np.argsort(z, kind="stable")
+    rlat, rlon, clat = _radians(lat[order], lon[order])
+    at, w = np.stack((clat * np.cos(rlon), clat * np.sin(rlon), np.sin(rlat)), axis=1), w[order]
+    way = np.linalg.norm(np.diff(at, axis=0), axis=1)
+
+    def extent(i: int, j: int) -> float:
+        mean = w[i:j] @ at[i:j]
+        mean /= max(float(np.linalg.norm(mean)), 1e-300)
+        return float(w[i:j] @ np.linalg.norm(at[i:j] - mean, axis=1))
+    heap, done = [(-extent(0, len(w)), 0, len(w))], []
+    while heap and len(heap) + len(done) < most:
+        e, i, j = heapq.heappop(heap)
+        if j - i < 2 or e > -1e-15:
+            done.append((i, j))
+            continue
+        gaps = way[i:j - 1]
+        g = int(gaps.argmax())
+        m = i + 1 + g if 4 * gaps[g] > gaps.sum() else (i + j) // 2
+        for part in ((i, m), (m, j)):
+            heapq.heappush(heap, (-extent(*part), *part))
+    starts = sorted(i for i, _ in [*done, *(h[1:] for h in heap)])
+    out = np.empty(len(w), np.int64)
+    out[order] = np.searchsorted(starts, np.arange(len(w)), "right") - 1
+    return out
+
+
+def _cut_ranges(cols: Sequence[str]):
+    """The points of one key in one range, each with its cluster."""
+    def run(t: pa.Table) -> pa.Table:
+        n = t["_n"][0].as_py()
+        most = math.ceil(min(CLUSTERS, n / CLUSTER_POINTS) * t.num_rows / n)
+        own = _cut(*(t[c].to_numpy() for c in ("_z", "lat", "lon")), t["w"].to_numpy().astype(float), most)
+        return t.select(cols).append_column("_cluster", pa.array(own + (t[PART][0].as_py() << 24)))
+    return run
+
+
+def clustered(points: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(points with _cluster and _n, clusters) of keys with many distinct points.
+
+    A key's points are ranged along the Z curve and cut, range by range, into about
+    CLUSTERS clusters where the cuts save most: dense regions get small clusters, outliers
+    their own. Clusters carry what ``_cost_bounds`` needs."""
+    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = join_null_safe(points, store(n, "sizes"), keys).withColumn("_z", _curve(F.col("lat"), F.col("lon")))
+    ranges = in_ranges(placed, keys, [F.col("_z"), F.col("lat"), F.col("lon")])
+    cols = [*keys, "lat", "lon", "w", "label", "_n"]
+    schema = ranges.select(*cols).withColumn("_cluster", F.lit(0).cast("long")).schema
+    x = store(ranges.groupBy(PART, *keys).applyInArrow(_cut_ranges(cols), schema), "clustered")
+    w = F.col("w").cast("double")
+    rlat, rlon = F.radians("lat"), F.radians("lon")
+    mean = x.groupBy(*keys, "_cluster").agg(
+        F.sum(w * F.cos(rlat) * F.cos(rlon)).alias("_x"), F.sum(w * F.cos(rlat) * F.sin(rlon)).alias("_y"),
+        F.sum(w * F.sin(rlat)).alias("_z"), F.sum(w).alias("w"), F.min(F.struct("lat", "lon")).alias("_any"))
+    length = F.sqrt(F.col("_x") ** 2 + F.col("_y") ** 2 + F.col("_z") ** 2)
+    firm = length > F.col("w") * 1e-3           # else the members are all around: bounds of the first order
+    mean = mean.select(*keys, "_cluster", firm.alias("_firm"),
+                       F.when(firm, F.degrees(F.atan2("_z", F.sqrt(F.col("_x") ** 2 + F.col("_y") ** 2))))
+                       .otherwise(F.col("_any.lat")).alias("clat"),
+                       F.when(firm, F.degrees(F.atan2("_y", "_x"))).otherwise(F.col("_any.lon")).alias("clon"))
+    near = join_null_safe(x, store(mean, "means"), [*keys, "_cluster"])
+    s = haversine_km(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat")) / EARTH_RADIUS_KM
+    third = F.when(F.col("_firm"), F.col("s") - F.sin("s") + 1e-12).otherwise(F.lit(100.0))
+    clusters = near.withColumn("s", s).groupBy(*keys, "_cluster", "clat", "clon").agg(
+        F.sum(w).alias("w"), F.sum(w * F.col("s")).alias("s1"), F.sum(w * F.col("s") * F.col("s")).alias("s2"),
+        F.sum(w * third).alias("s3"), F.max("s").alias("r"))
+    return x, store(clusters, "clusters")
+
+
+def possible_medoids(x: DataFrame, clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., lat, lon, label) of the points that may be their key's medoid.
+
+    Branch and bound in two steps: clusters whose least possible cost is above another
+    cluster's highest are dropped with their members; the other members are bounded one
+    by one, in tiles, against the clusters of their key, of which there are about
+    CLUSTERS whatever its size."""
+    kept_schema = clusters.select(*keys, "_cluster").schema
+    kept = store(clusters.groupBy(*keys).applyInArrow(_possible_clusters, kept_schema), "possible-clusters")
+    cands = join_null_safe(x, kept, [*keys, "_cluster"])
+    sizes = cands.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / COST_TILE).alias("_tiles"))
+    cands = join_null_safe(store(cands, "open-points"), store(sizes, "tiles"), keys)
+    cands = store(cands.withColumn("_t", F.pmod(F.xxhash64("lat", "lon"), F.col("_tiles"))), "tiled-points")
+    tiles = cands.select(*keys, "_t").distinct()
+    served = store(join_null_safe(clusters, tiles, keys), "served-clusters")
+    schema = cands.select(*keys, "lat", "lon", "label", F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).schema
+    bounded = store(cands.groupBy(*keys, "_t").cogroup(served.groupBy(*keys, "_t"))
+                    .applyInArrow(_bounded(keys), schema), "bounded")
+    best = bounded.groupBy(*keys).agg(F.min("high").alias("_best"))
+    open_ = join_null_safe(bounded, best, keys).filter(
+        F.col("low") <= F.col("_best") * (1 + 1e-9) + 4 * 10.0 ** -COST_DIGITS)
+    return open_.select(*keys, "lat", "lon", "label")
+
+
 def large_medoids(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact medoid of keys with many distinct points: (keys..., _med).
 
-    points: keys, lat, lon (located), w, label. A grid over the key's bounding
-    box has at most GRID x GRID cells; their references bound the cost of
-    every member from below and above, and only the cells whose lower bound
-    reaches the best upper bound keep candidates. Those are costed exactly:
-    tiles of candidates meet tiles of points, and a pair of tiles returns one
-    partial sum per candidate, so neither pairs of points nor a whole key get
-    into one task."""
-    points = points.select(*keys, "lat", "lon", "w", "label")
-    box = points.groupBy(*keys).agg(F.min("lat").alias("_y0"), F.max("lat").alias("_y1"), F.min("lon").alias("_x0"),
-                                    F.max("lon").alias("_x1"), F.count(F.lit(1)).alias("_n"))
-
-    def step(v, lo, hi):
-        return F.least(F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo) + 1e-12) * GRID), F.lit(GRID - 1))
-    boxed = join_null_safe(points, store(box, "boxes"), keys).withColumn(
-        "_cell", (step("lat", "_y0", "_y1") * GRID + step("lon", "_x0", "_x1")).cast("int"))
-    boxed = store(boxed.drop("_y0", "_y1", "_x0", "_x1"), "boxed")
-    refs = boxed.groupBy(*keys, "_cell").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
-    near = join_null_safe(boxed, refs, [*keys, "_cell"])
-    d = haversine_km(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"))
-    cells = near.withColumn("_d", d).groupBy(*keys, "_cell", "clat", "clon").agg(
-        F.sum(F.col("w").cast("double")).alias("w"), F.sum(F.col("w") * F.col("_d")).alias("s"),
-        F.max("_d").alias("r"))
-    kept_schema = cells.select(*keys, "_cell").schema
-    kept = store(cells.groupBy(*keys).applyInArrow(_possible_cells, kept_schema), "possible-cells")
-    cands = join_null_safe(boxed, kept, [*keys, "_cell"])
-    cands = store(join_null_safe(cands, cands.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nc")), keys), "candidates")
+    points: keys, lat, lon (located), w, label. The candidates that ``possible_medoids``
+    leaves are costed exactly: tiles of candidates meet tiles of points, and a pair of
+    tiles returns one partial sum per candidate, so neither pairs of points nor a whole
+    key get into one task."""
+    boxed, clusters = clustered(points.select(*keys, "lat", "lon", "w", "label"), keys)
+    cands = store(possible_medoids(boxed, clusters, keys), "candidates")
+    cands = store(join_null_safe(cands, cands.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nc")), keys), "counted")
+    sizes = boxed.groupBy(*keys).agg(F.max("_n").alias("_n"))
+    cands = join_null_safe(cands, sizes, keys)
     tiles = lambda n: F.ceil(F.col(n) / COST_TILE).cast("long")
     mine = F.xxhash64("lat", "lon")
     per_key = cands.groupBy(*keys).agg(F.max(tiles("_nc")).alias("_ct"))

@@ -85,7 +85,10 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     src = df.filter(F.col(value).isNotNull())
     if weight is not None:
         src = src.filter(F.col(weight) > 0)
-    ranked = cumulative_weight(src, keys, [F.col(value)], weight)
+    # equal values of a key become one row first: a value that most rows share
+    # would otherwise fill one range
+    copies = F.sum(F.lit(1) if weight is None else F.col(weight))
+    ranked = cumulative_weight(src.groupBy(*keys, value).agg(copies.alias("_copies")), keys, [F.col(value)], "_copies")
     lo = F.floor((F.col("_tot") - 1) / 2)    # 0-based ranks of the middle pair
     hi = F.floor(F.col("_tot") / 2)
     start = F.col("_cum") - F.col("_w")       # 0-based rank of the row's first copy

@@ -229,6 +229,12 @@ def committed_batches(spark: SparkSession, root: str) -> DataFrame:
     return last.filter("state = 'done'").select(STAMP)
 
 
+def has_batches(spark: SparkSession, root: str) -> bool:
+    """Whether any batch was ever opened under ``root`` (asked of Spark's file system)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_ledger(root))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_batches(spark: SparkSession, root: str, merge_schema: bool = True) -> DataFrame:
     """All committed batches under ``root`` as one table with ``batch_ts`` (text).
 
