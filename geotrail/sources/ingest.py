@@ -201,8 +201,9 @@ def _ledger(root: str) -> str:
 
 
 def _enter(spark: SparkSession, root: str, stamp: str, state: str) -> None:
-    entry = spark.createDataFrame([(stamp, state, time.time_ns())], BATCH_STATES)
-    entry.coalesce(1).write.mode("append").parquet(_ledger(root))
+    entry = spark.range(0, 1, 1, 1).select(F.lit(stamp).alias(STAMP), F.lit(state).alias("state"),
+                                           F.lit(time.time_ns()).alias("at"))
+    entry.write.mode("append").parquet(_ledger(root))
 
 
 def write_batch(df: DataFrame, root: str, stamp: str) -> str:
