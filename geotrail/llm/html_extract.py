@@ -3,9 +3,9 @@
 A page is a sequence of words and tags. A word scores by where it stands: from
 a logistic model on the kinds of elements around it, 2p - 1 if it is rather
 content (p > 1/2), else zero. A tag scores below zero, the more so the
-less often it occurs inside content; a tag inside surroundings, or inside a
-data table or a list of an article, scores zero. Both weights are fitted on
-labelled pages. One linear scan finds the contiguous stretch with the highest sum.
+less often it occurs inside content; a tag inside the main element of a page,
+inside surroundings or inside a data table scores zero, so nothing of an article
+is lost to its pictures, rules and links. Both weights are fitted on labelled pages. One linear scan finds the contiguous stretch with the highest sum.
 Within it, words that score zero (an advert or a form in the middle of an
 article) are left out.
 """
@@ -34,7 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("script style noscript template textarea iframe svg math object title head select".split())
 TO_THE_END = frozenset("script style textarea".split())     # without an end tag they hold the rest of the page
 FLAT = frozenset("title head".split())                      # end at the first end tag; the others may be nested
-SHOWN = frozenset("noscript svg math object".split())       # skipped outside the article only
+SHOWN = frozenset("noscript svg math object iframe".split())    # skipped outside the article only
 MAY_BE_EMPTY = frozenset("svg math iframe object".split())  # with a slash at the end
 # an open element that ends when one of these starts
 ENDED_BY = {"p": BLOCKS - {"body", "html", "head", "option", "legend", "caption", "summary"},
@@ -58,7 +58,7 @@ BY_WORD = {
     "notice": "notice cookie cookies consent gdpr alert banner popup modal overlay paywall warning disclaimer",
     "ad": "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion commercial",
     "form": "form newsletter subscribe subscription signup login search feedback",
-    "comment": "comment comments commentlist respond disqus reply replies discussion reviews",
+    "comment": "comment comments commentlist respond response responses disqus reply replies discussion reviews",
     "share": "share sharing social follow tags byline meta",
     "main": "article main content post entry story maincontent",
 }
@@ -66,7 +66,7 @@ HINTS = {w: kind for kind, words in BY_WORD.items() for w in words.split()}
 # words that also name parts of an article: inside one they need a second sign
 AMBIGUOUS = frozenset("""skip tabs toc menu header footer popular trending notice alert banner warning disclaimer
 promotion commercial search feedback subscription response discussion reviews reply replies respond social follow
-tags byline meta""".split())
+response responses tags byline meta""".split())
 # words that say nothing against a hint beside them: "related-posts", but not "related-work"
 NEUTRAL = frozenset("""site page pages main post posts entry entries article articles content story stories area section
 inner outer wrap wrapper container box block bar list item items group left right top bottom upper lower primary
@@ -86,8 +86,11 @@ ABOUT_LAYOUT = frozenset("has no not with without is".split())      # "no-sideba
 WHOLE_PAGE = frozenset("html body main".split())                    # never surroundings themselves
 CLOSED = frozenset("nav aside footer dialog menu button label address".split())     # never wrappers of a page
 TABLE = frozenset("table caption colgroup col thead tbody tfoot tr td th".split())
-LISTS = frozenset("ul ol dl menu".split())
 LANDMARKS = frozenset("h1 header nav footer".split())
+SIDES, COLUMNS = frozenset("left right".split()), frozenset("col column columns pane panel rail side".split())
+# a heading over reader comments, without its marks and numbers
+COMMENT_HEADING = re.compile(r"(?:reader |user |all )?comments?|(?:leave|post|add|write) a (?:comment|reply)")
+COUNTED_HEADING = re.compile(r"(?:\d+|no|one) (?:comments?|responses?|replies|reply)\b.*|(?:comments?|responses|replies) \(?\d+\)?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -97,7 +100,7 @@ class Node:
     """An element: its kinds by tag, and what class, id and role hint at."""
 
     __slots__ = ("parent", "name", "tag", "main", "sure", "whole", "weak", "named", "named_weak", "part", "hidden", "marked",
-                 "words", "links", "holds", "section", "landmark", "wraps", "layout", "extra")
+                 "words", "links", "holds", "section", "landmark", "wraps", "layout", "extra", "article")
 
     def __init__(self, parent: int, name: str, attributes: str, hidden: bool, marked: bool):
         self.parent, self.name, self.hidden, self.marked = parent, name, hidden, marked
@@ -105,7 +108,7 @@ class Node:
         self.tag = BIT[kind] if kind else 0
         # hints of a role; of a whole class, clear or ambiguous; of a whole id; of one part among other words
         self.main = self.sure = self.whole = self.weak = self.named = self.named_weak = self.part = 0
-        self.words = self.links = 0
+        self.words = self.links = self.article = 0      # article: words of the longest article among its children
         self.section = name == "section"
         self.landmark, self.wraps = name in LANDMARKS, False
         self.extra = False      # left out, except in an article
@@ -134,6 +137,8 @@ class Node:
         found = [w for w in words if w in HINTS]
         self.main |= BIT["main"] if any(HINTS[w] == "main" for w in found) else 0
         found = [w for w in found if HINTS[w] != "main"]
+        if not found and SIDES & set(words) and COLUMNS & set(words):
+            self.part |= BIT["sidebar"]
         kinds = sum(BIT[k] for k in {HINTS[w] for w in found})
         if not all(w in HINTS or w in NEUTRAL for w in words):
             self.part |= kinds
@@ -150,15 +155,16 @@ class Node:
             self.whole |= kinds
 
 
-def _own(v: Node, inside: int, page_has_main: bool) -> int:
+def _own(v: Node, up: Node, inside: int, page_has_main: bool) -> int:
     """Kinds of an element whose surroundings have the kinds ``inside``.
 
     A hint makes an element surroundings if it is a role or a whole class or
     id; an id of a section, an ambiguous word inside an article, a part of a
     name, and any hint on a heading or on inline elements of a paragraph
-    do so only with a second sign: mostly links, or outside the
-    article of a page that has one. Without it, it is the kind "hint"."""
+    do so only with a second sign: mostly links, beside an article of some length, or outside
+    the article of a page that has one. Without it, it is the kind "hint"."""
     in_main = inside & BIT["main"]
+    beside = up.article * 4 > v.words and not v.holds
     firm, loose = v.sure | v.whole, v.weak | v.named | v.named_weak | v.part
     if not in_main:
         firm |= v.weak
@@ -168,7 +174,7 @@ def _own(v: Node, inside: int, page_has_main: bool) -> int:
         firm, loose = v.sure, loose | firm
     loose &= ~firm
     if loose and not v.tag & BIT["heading"]:
-        if v.links * 2 >= v.words > 0 or (page_has_main and not in_main and not v.holds):
+        if v.links * 2 >= v.words > 0 or beside or (page_has_main and not in_main and not v.holds):
             firm, loose = firm | loose, 0
     own = v.tag | v.main | firm | (BIT["hint"] if loose else 0)
     if in_main:
@@ -218,11 +224,47 @@ def _wrap(nodes: list[Node], i: int) -> None:
         i = nodes[i].parent
 
 
+def _mark_comment_lists(nodes: list[Node], events: list[tuple]) -> None:
+    """What follows a heading such as "12 Comments", up to the next heading of its
+    parent, holds reader comments (unless it is the main element)."""
+    said: dict[int, list[str]] = {}
+    for kind, value, v, _ in events:
+        while kind == "text" and v:
+            if nodes[v].tag & BIT["heading"]:
+                said.setdefault(v, []).append(value)
+                break
+            v = nodes[v].parent if nodes[v].name not in BLOCKS else 0
+    over = {}       # parent -> the comments' heading that its next children stand under
+    for i, v in enumerate(nodes[1:], 1):
+        if v.tag & BIT["heading"]:
+            text = " ".join(html.unescape("".join(said.get(i, ()))).lower().split()).strip(" .:;!?-")
+            over[v.parent] = bool(COMMENT_HEADING.fullmatch(text) or COUNTED_HEADING.fullmatch(text))
+            if over[v.parent]:
+                v.sure |= BIT["comment"]
+        elif over.get(v.parent) and v.name in BLOCKS and not (v.tag | v.main) & BIT["main"]:
+            v.sure |= BIT["comment"]
+
+
+def _mark_titles(nodes: list[Node], kinds: list[int]) -> None:
+    """An h1 right before the main element is the title of its text."""
+    last: dict[int, int] = {}       # parent -> its latest child
+    for i, v in enumerate(nodes[1:], 1):
+        j = last.get(v.parent, 0)
+        if (v.tag | v.main) & kinds[i] & BIT["main"] and j and nodes[j].name == "h1" and not kinds[j] & AROUND:
+            kinds[j] |= BIT["main"]
+        last[v.parent] = i
+    for i, v in enumerate(nodes[1:], 1):       # what is in the title
+        if nodes[v.parent].name == "h1":
+            kinds[i] |= kinds[v.parent] & BIT["main"]
+
+
 def _resolve(nodes: list[Node]) -> list[int]:
     """Kinds of every node, its own and those of the elements around it."""
     for v in reversed(nodes[1:]):
         up = nodes[v.parent]
         up.words += v.words
+        if v.name == "article":
+            up.article = max(up.article, v.words)
         up.links += v.words if v.name == "a" else v.links
         up.holds |= v.holds
         up.landmark |= v.landmark
@@ -230,17 +272,18 @@ def _resolve(nodes: list[Node]) -> list[int]:
     _mark_wrappers(nodes)
     kinds = [0]
     for v in nodes[1:]:
-        kinds.append(kinds[v.parent] | _own(v, kinds[v.parent], nodes[0].holds))
+        kinds.append(kinds[v.parent] | _own(v, nodes[v.parent], kinds[v.parent], nodes[0].holds))
+    _mark_titles(nodes, kinds)
     return kinds
 
 
 def _free(nodes: list[Node], kinds: list[int]) -> list[bool]:
-    """Nodes whose tags cost nothing: inside a data table, or inside a list of
-    an article. The table's or list's own end tag stands for all of them."""
+    """Nodes whose tags cost nothing: inside the main element or a data table.
+    The element's own end tag stands for all of them."""
     free = [False]
     for i, v in enumerate(nodes[1:], 1):
         data = v.name == "table" and not v.layout and v.links * 2 < max(1, v.words)
-        free.append(free[v.parent] or data or (v.name in LISTS and bool(kinds[i] & BIT["main"])))
+        free.append(free[v.parent] or data or bool(kinds[i] & BIT["main"]))
     return free
 
 
@@ -248,6 +291,7 @@ def tokens(page: str) -> Iterator[tuple]:
     """('tag', '+name' or '-name', kinds, block number, costs nothing) and
     ('text', raw text, kinds, block number, marked)."""
     nodes, events = _parse(page)
+    _mark_comment_lists(nodes, events)
     kinds = _resolve(nodes)
     free = _free(nodes, kinds)
     extra = [False]
@@ -279,19 +323,69 @@ def _ends(page: str, name: str) -> dict[int, int]:
     return ends
 
 
+class OpenElements:
+    """The stack of open elements, with the places of each name, of blocks and of scopes,
+    so that a stray end tag or a new block need not search through it."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = [""]
+        self.nodes: list[int] = [0]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    @property
+    def top(self) -> int:
+        return self.nodes[-1]
+
+    def push(self, name: str, node: int) -> None:
+        at = len(self.names)
+        self.names.append(name)
+        self.nodes.append(node)
+        self.places.setdefault(name, []).append(at)
+        if name in BLOCKS:
+            self.blocks.append(at)
+        if name in SCOPES:
+            self.scopes.append(at)
+
+    def _pop_to(self, at: int) -> None:
+        while len(self.names) > at:
+            self.nodes.pop()
+            self.places[self.names.pop()].pop()
+        for places in (self.blocks, self.scopes):
+            while places and places[-1] >= at:
+                places.pop()
+
+    def close(self, name: str) -> None:
+        """The innermost ``name`` ends, and with it all that is open in it; an element
+        that is no scope is not sought outside the innermost scope."""
+        at = (self.places.get(name) or [0])[-1]
+        if at and (name in SCOPES or not self.scopes or at > self.scopes[-1]):
+            self._pop_to(at)
+
+    def make_room(self, name: str) -> None:
+        """Elements that the start of ``name`` ends."""
+        while len(self.names) > 1 and name in ENDED_BY.get(self.names[-1], ()):
+            self._pop_to(len(self.names) - 1)
+        if name in BLOCKS and self.blocks:      # an open paragraph ends, whatever inline elements it left open
+            if name in ENDED_BY.get(self.names[self.blocks[-1]], ()):
+                self._pop_to(self.blocks[-1])
+
+
 def _parse(page: str) -> tuple[list[Node], list[tuple]]:
     """Elements in page order (the first stands for the page), and ('tag' or
     'text', value, number of the element, block number)."""
     nodes, events = [Node(0, "", "", False, False)], []
-    stack = [0]
+    open_ = OpenElements()
     known_ends: dict[str, dict[int, int]] = {}
     at, block, n = 0, 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         end = m.start() if m else n
-        if end > at and not nodes[stack[-1]].hidden:
-            events.append(("text", page[at:end], stack[-1], block))
-            nodes[stack[-1]].words += len(page[at:end].split())
+        if end > at:
+            events.append(("text", page[at:end], open_.top, block))
+            if not nodes[open_.top].hidden:
+                nodes[open_.top].words += len(page[at:end].split())
         if not m:
             break
         at = m.end()
@@ -319,31 +413,17 @@ def _parse(page: str) -> tuple[list[Node], list[tuple]]:
         if name in BLOCKS:
             block += 1
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                open_name = nodes[stack[i]].name
-                if open_name == name:
-                    del stack[i:]
-                    break
-                if open_name in SCOPES and name not in SCOPES:
-                    break
+            open_.close(name)
         else:
-            while len(stack) > 1 and name in ENDED_BY.get(nodes[stack[-1]].name, ()):
-                stack.pop()
-            if name in BLOCKS:      # an open paragraph ends, whatever inline elements it left open
-                for i in range(len(stack) - 1, 0, -1):
-                    open_name = nodes[stack[i]].name
-                    if open_name in BLOCKS:
-                        if name in ENDED_BY.get(open_name, ()):
-                            del stack[i:]
-                        break
+            open_.make_room(name)
             if name not in VOID and not attributes.endswith("/"):
-                up = nodes[stack[-1]]
-                nodes.append(Node(stack[-1], name, attributes, up.hidden, up.marked))
-                nodes[-1].extra = shown
-                stack.append(len(nodes) - 1)
-        events.append(("tag", ("-" if closing else "+") + name, stack[-1], block))
+                up = nodes[open_.top]
+                nodes.append(Node(open_.top, name, attributes, up.hidden, up.marked))
+                nodes[-1].extra = shown or nodes[-1].hidden
+                open_.push(name, len(nodes) - 1)
+        events.append(("tag", ("-" if closing else "+") + name, open_.top, block))
         if name in ("br", "text"):      # a line; a label in an svg
-            events.append(("text", " ", stack[-1], block))
+            events.append(("text", " ", open_.top, block))
     return nodes, events
 
 

@@ -161,6 +161,64 @@ def test_hinted_boxes_with_a_second_sign_are_left_out():
     assert main_text(page, WEIGHTS) == STORY + "\n\n" + STORY
 
 
+INTRO = "Fifteen words make the first paragraph of this story, which pictures may not cut off here."
+
+
+@pytest.mark.parametrize("middle", [
+    "<figure><img src=a></figure>" * 20, "<hr><img>" * 40, "<p><a href=/1>one</a> <a href=/2>two</a></p>" * 30,
+    "<div><div><br><br></div></div>" * 50, "<p></p>" * 200, "<table><tr><td><table></table></td></tr></table>" * 20])
+@pytest.mark.parametrize("main", ["<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>'])
+def test_no_part_of_the_main_element_is_lost(main, middle):
+    page = "<nav><a href=/>Home</a></nav>" + main.format(f"<h1>The head</h1><p>{INTRO}</p>{middle}<p>{STORY * 3}</p>{middle}<p>End.</p>")
+    links = ["one two"] * 30 if "one" in middle else []
+    want = ["The head", INTRO, *links, STORY * 3, *links, "End."]
+    assert main_text(page + "<footer>foot</footer>", WEIGHTS) == "\n\n".join(want)
+
+
+def test_a_title_right_before_the_article_is_kept():
+    for page in ("<main><h1>The <b>head</b></h1><article><p>{}</p></article></main>",
+                 "<div><h1>The <b>head</b></h1><article><p>{}</p></article></div>",
+                 "<header>x</header><h1>The <b>head</b></h1>\n<article><p>{}</p></article><aside><h1>Other</h1>y</aside>"):
+        assert main_text(page.format(STORY), WEIGHTS) == f"The head\n\n{STORY}"
+
+
+@pytest.mark.parametrize("element", ["<p hidden>so x here</p>", '<div style="display: none"><p>so x here</p></div>',
+                                     '<p aria-hidden="true">so x here</p>', "<iframe>so x here</iframe>"])
+def test_hidden_parts_are_kept_inside_an_article_only(element):
+    page = f"<article><p>{STORY}</p>{element}<p>{STORY}</p></article>"
+    assert main_text(element + page + element, WEIGHTS) == "\n\n".join([STORY, "so x here", STORY])
+
+
+@pytest.mark.parametrize("comments", [
+    "<h3>12 Comments</h3><ul><li><p>{}</p></li><li>{}</li></ul>", "<h2>Comments</h2><div><p>{}</p></div><div>{}</div>",
+    '<div id="responses"><p>{}</p><p>{}</p></div>', "<section><h2>3 Responses to the story</h2><ol><li>{}</li><li>{}</li></ol></section>",
+    "<h3>Comments (2)</h3><p>{}</p><p>{}</p>", '<div class="right-col"><p>{}</p><p>{}</p></div>'])
+@pytest.mark.parametrize("around", ["<article>{}</article>{}", "<main><article>{}</article>{}</main>"])
+def test_comments_and_side_columns_without_a_clear_name_are_left_out(comments, around):
+    page = around.format(f"<h1>The head</h1><p>{STORY * 2}</p>", comments.format(STORY, STORY * 2))
+    assert main_text(page + "<footer>foot</footer>", WEIGHTS) == f"The head\n\n{STORY * 2}"
+
+
+@pytest.mark.parametrize("heading", ["Discussion", "Comments on the law", "Replies were late", "Three comments by an expert"])
+def test_headings_of_an_article_that_only_sound_like_comments(heading):
+    page = f"<article><p>{STORY}</p><h2>{heading}</h2><p>{STORY * 2}</p></article>"
+    assert main_text(page, WEIGHTS) == "\n\n".join([STORY, heading, STORY * 2])
+
+
+@pytest.mark.parametrize("bit", [("<b>", "</i>"), ("<i><div><b>", "</i>"), ("<b>", "<div></div>"), ("<li><b>", "</ul>"),
+                                 ("<p><b>", "<p>"), ("<td><span>", "</td></tr>"), ("<div>", "</span>"), ("<h2>", "</h2>")])
+def test_unclosed_and_stray_tags_take_linear_time(bit):
+    import time
+
+    def seconds(n):
+        page = "<article><p>" + bit[0] * n + STORY + bit[1] * n + "</article>"
+        began = time.process_time()
+        assert STORY.split()[0] in main_text(page, WEIGHTS)
+        return time.process_time() - began
+    seconds(1000)
+    assert seconds(100_000) < 12        # a megabyte of tags
+
+
 @pytest.mark.parametrize("page,want", [
     (None, ""), ("", ""), ("   ", ""), ("<p></p>", ""), ("just text &lt;b&gt; here", "just text <b> here"),
     ("<nav>only a menu</nav>", ""), ("<p>cut off in the mid", "cut off in the mid"), ("<p>a < b and c &am", "a < b and c &am"),
