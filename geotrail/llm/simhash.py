@@ -11,8 +11,11 @@ bits each.
 
 Only distinct fingerprints enter the tables. A bucket is solved in one task by
 a search that scans only members not yet reached, and emits a spanning forest
-of its links, never its pairs. Buckets over BUCKET members are dealt anew by a
-second family of masks, whose buckets share about 48 bits.
+of its links, never its pairs. The members of a bucket over BUCKET are dealt anew
+by another family of masks, and again, up to FAMILIES: a pair in reach meets in some
+table of every family, and a bucket's members agree on the bits that its masks keep,
+about 33 of the first one, 48 of two, 56 of three and 60 of four (39 of two at worst),
+so after four families few fingerprints can share one.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from geotrail.llm.components import connected_components
 from geotrail.session import store
 
 BUCKET = 2000
+FAMILIES = 4
 KEY = "_sh_fp"
 SEED = 42
 
@@ -102,10 +106,13 @@ def covering_masks(radius: int, bits: int = 64, turn: int = 0) -> list[int]:
     return masks
 
 
-def _tables(fps: DataFrame, masks: list[int], table: str, key: str) -> DataFrame:
-    """One row per fingerprint and table, with the masked bits as bucket key."""
+def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, g): one row per fingerprint and table; g names the bucket.
+
+    A bucket inside another has the outer name, the table and the masked bits hashed
+    into its own; two buckets of one name are solved together, which finds no less."""
     values = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
-    return fps.select("*", F.posexplode(values).alias(table, key))
+    return rows.select("fp", "g", F.posexplode(values).alias("t", "k")).select("fp", F.xxhash64("g", "t", "k").alias("g"))
 
 
 # --- links inside buckets --------------------------------------------------
@@ -151,17 +158,25 @@ def _solve(radius: int):
 def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
     """(u, v): a spanning set of all links (<= radius bits) between ``fp`` values.
 
-    fps: one column ``fp`` of distinct, non-null longs. Buckets are counted
-    first; those over BUCKET members go to the second family of masks."""
-    first = _tables(fps, covering_masks(radius), "t", "k")
-    sizes = first.groupBy("t", "k").agg(F.count("*").alias("n"))
-    heavy = store(sizes.filter(F.col("n") > BUCKET).select("t", "k"), "heavy-buckets")
-    light = (first.join(heavy, ["t", "k"], "left_anti")
-             .groupBy("t", "k").agg(F.collect_list("fp").alias("fps")).select("fps"))
-    dense = (_tables(first.join(heavy, ["t", "k"]), covering_masks(radius, turn=1), "t2", "k2")
-             .groupBy("t", "k", "t2", "k2").agg(F.collect_list("fp").alias("fps")).select("fps"))
-    return (light.unionByName(dense).filter(F.size("fps") > 1)
-            .mapInArrow(_solve(radius), "u long, v long").distinct())
+    fps: one column ``fp`` of distinct, non-null longs. Buckets are counted before they
+    are collected; those over BUCKET members go on to the next family of masks."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out before each row becomes one per table
+    rows = fps.select("fp", F.lit(0).cast("long").alias("g")).repartition(parts, "fp")
+    buckets = None
+    for turn in range(FAMILIES):
+        dealt = _dealt(rows, covering_masks(radius, turn=turn))
+        light = dealt
+        if turn < FAMILIES - 1:
+            sizes = dealt.groupBy("g").agg(F.count("*").alias("n"))
+            heavy = store(sizes.filter(F.col("n") > BUCKET).select("g"), "heavy-buckets")
+            light = dealt.join(heavy, "g", "left_anti")
+        light = light.groupBy("g").agg(F.collect_list("fp").alias("fps")).select("fps")
+        buckets = light if buckets is None else buckets.unionByName(light)
+        if turn == FAMILIES - 1 or heavy.isEmpty():
+            break
+        rows = store(dealt.join(heavy, "g", "left_semi").repartition(parts, "fp"), "heavy-rows")
+    return buckets.filter(F.size("fps") > 1).mapInArrow(_solve(radius), "u long, v long").distinct()
 
 
 # --- the operator ----------------------------------------------------------
@@ -183,7 +198,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str
     group of null ids only has a null component, and is led by its smallest
     fingerprint. Repeated rows and ids stay, each with its result (copies of
     the leading row lead too); an empty table gives an empty one. Input
-    columns with the result names are replaced.
+    columns with the result names are replaced. A text of any length is hashed
+    whole in one task.
     """
     keep = [c for c in (columns or docs.columns) if c not in ("fingerprint", "component_id", "leads")]
     rows = store(with_fingerprint(docs, words, text_col, list(dict.fromkeys([*keep, id_col]))), "fingerprints")

@@ -90,7 +90,8 @@ def test_bucket_links_span_the_links():
 
 @pytest.mark.parametrize("bucket", [2000, 1])
 def test_groups_against_brute_force(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)      # 1: every shared bucket goes the second way
+    monkeypatch.setattr(simhash, "BUCKET", bucket)      # 1: every shared bucket goes on to the last family
+    monkeypatch.setattr(simhash, "FAMILIES", 2)
     ts = texts()
     ids = [3 * i + 5 for i in range(len(ts))]
     ids[1], ids[3] = None, None
@@ -106,6 +107,37 @@ def test_groups_against_brute_force(spark, monkeypatch, bucket):
     assert all(r.doc_id == r.component_id for r in lead)
 
 
+@pytest.mark.parametrize("families", [2, 3, 4])
+def test_a_pair_meets_in_every_family(families):
+    rng = random.Random(families)
+    masks = [[m % (1 << 64) for m in covering_masks(4, turn=t)] for t in range(families)]
+    for _ in range(500):
+        diff = sum(1 << b for b in rng.sample(range(64), 4))
+        assert all(any(diff & m == 0 for m in family) for family in masks)
+
+
+def test_dense_families_are_split_into_small_buckets(spark, monkeypatch):
+    """4096 fingerprints that differ in 12 bits: most buckets of one family hold hundreds."""
+    rng = random.Random(1)
+    bits = rng.sample(range(63), 12)
+    fps = [sum(1 << b for j, b in enumerate(bits) if i >> j & 1) for i in range(4096)]
+    fps += [rng.getrandbits(63) for _ in range(200)]
+    df = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
+    monkeypatch.setattr(simhash, "BUCKET", 100)
+    links = {(r.u, r.v) for r in simhash.fingerprint_links(df, 1).collect()}
+    parent = {f: f for f in set(fps)}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for u, v in links:
+        assert (u ^ v).bit_count() <= 1
+        parent[find(u)] = find(v)
+    assert len({find(f) for f in fps[:4096]}) == 1
+    assert len({find(f) for f in set(fps)}) == 1 + len(set(fps[4096:]))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_groups(df).collect() == []
