@@ -93,8 +93,8 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (head if head and s == 0 else capacity)) for s in starts]
 
 
-def _tokenise(path: str, capacity: int, text_col: str, columns: list[str]):
-    """Rows -> pieces, numbered per length within their partition."""
+def _tokenise(path: str, capacity: int, text_col: str, columns: list[str], names: tuple[str, ...]):
+    """Rows -> pieces with the columns ``names``, numbered per length within their partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,7 +122,8 @@ def _tokenise(path: str, capacity: int, text_col: str, columns: list[str]):
                                            ("length", length, pa.int64()), ("ids", ids, pa.binary()),
                                            ("ids_crc32", crc, pa.int64()), ("_pk_rank", rank, pa.int64()),
                                            ("_pk_part", [part] * len(of), pa.int32())):
-                    out = out.append_column(name, pa.array(values, kind))
+                    if name in names:
+                        out = out.append_column(name, pa.array(values, kind))
                 yield out
     return run
 
@@ -130,13 +131,20 @@ def _tokenise(path: str, capacity: int, text_col: str, columns: list[str]):
 RESULT = ("piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, text_col: str, columns: list[str]) -> DataFrame:
+PIECE = (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids", "binary"), ("ids_crc32", "long"),
+         ("_pk_rank", "long"), ("_pk_part", "integer"))
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, text_col: str, columns: list[str],
+                 results: tuple[str, ...] = RESULT) -> DataFrame:
+    """One row per piece: ``columns`` and, of PIECE, what ``results`` and the packing need."""
     src = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, text_col])])
     schema = src.select(*[F.col(f"`{c}`") for c in columns]).schema
-    for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids", "binary"),
-                       ("ids_crc32", "long"), ("_pk_rank", "long"), ("_pk_part", "integer")):
-        schema = schema.add(name, kind)
-    return src.mapInArrow(_tokenise(tokenizer, capacity, text_col, columns), schema)
+    wanted = tuple(n for n, _ in PIECE if n in results or n in ("length", "_pk_rank", "_pk_part"))
+    for name, kind in PIECE:
+        if name in wanted:
+            schema = schema.add(name, kind)
+    return src.mapInArrow(_tokenise(tokenizer, capacity, text_col, columns, wanted), schema)
 
 
 # --- plan ------------------------------------------------------------------
@@ -258,7 +266,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, text_col: str =
     """
     keep = [c for c in (columns or docs.columns) if c not in RESULT]
     src = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
-    pieces = store(token_pieces(src, tokenizer, capacity, text_col, keep), "pieces")
+    pieces = store(token_pieces(src, tokenizer, capacity, text_col, keep, results), "pieces")
     counts = store(pieces.groupBy("length", "_pk_part").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = docs.sparkSession.sparkContext.broadcast(best_fit_plan(histogram, capacity))
