@@ -48,21 +48,26 @@ def second_draw(key: Column, text: Column) -> Column:
                             F.xxhash64(text).cast("string")))
 
 
-def pareto_rank(u: Column, pi: Column) -> Column:
-    """Odds ratio q = (u/(1-u)) / (pi/(1-pi)) mapped to (0, 1) by q / (1 + q)."""
-    a, b = u * (F.lit(1.0) - pi), pi * (F.lit(1.0) - u)
+def lean(size: Column, mean: Column) -> Column:
+    """Factor of a document's inclusion odds: 1 at its source's mean size, 0 without words."""
+    return F.when(mean > 0, F.sqrt(size.cast("double") / mean)).otherwise(F.lit(1.0))
+
+
+def pareto_rank(u: Column, pi: Column, factor: Column) -> Column:
+    """Odds ratio q = (u/(1-u)) / (factor * pi/(1-pi)) mapped to (0, 1] by q / (1 + q)."""
+    a, b = u * (F.lit(1.0) - pi), pi * factor * (F.lit(1.0) - u)
     return F.when(pi > 0, a / (a + b)).otherwise(F.lit(1.0))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_copies: int) -> DataFrame:
-    """Targets per source from (source, source_size).
+    """Targets per source from (source, source_size, documents).
 
     Sources in code point order, null last, take the weights in turn. They
     share ``share`` times the size of all; no target exceeds ``max_copies``
     times its source, and what a source cannot take goes to the others by
     weight: target = min(level * weight, cap) with the level that spends all.
-    Adds target, whole (copies of every document) and pi. The windows run over
-    one row per source."""
+    Adds mean (words a document), target, whole (copies of every document) and pi. The
+    windows run over one row per source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     w = F.array(*[F.lit(x).cast("double") for x in weights])
@@ -82,7 +87,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     return (x.withColumn("target", target)
             .withColumn("whole", F.floor(ratio).cast("long"))
             .withColumn("pi", ratio - F.floor(ratio))
-            .select("source", "source_size", "target", "whole", "pi",
+            .select("source", "source_size", (F.col("source_size").cast("double") / F.col("documents").cast("double"))
+                    .alias("mean"), "target", "whole", "pi",
                     (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")))
 
 
@@ -164,7 +170,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     hash of ``id_col`` (null ids share one draw), then one of id and text:
     reruns agree but for which of several rows with equal id, source and
     text are taken. Sources whose documents
-    are all empty have target 0; an empty table gives an empty one.
+    are all empty have target 0; an empty table gives an empty one. A text of any length
+    is only counted and hashed, in one task.
     """
     added = ("size", "source_size", "target", "copies", "taken")
     keep = [c for c in docs.columns if c not in added]
@@ -172,27 +179,29 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     narrow = store(docs.select(src.alias("source"), draw(key).alias("u"), second_draw(key, text).alias("v"),
                                word_count(text).alias("size")), "sizes")
-    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     targets = store(source_targets(sizes, weights, share, max_copies)
                     .withColumn("sid", F.row_number().over(order)), "targets")
     ranked = (narrow.join(targets.filter("pi > 0 and rest > 0"), narrow["source"].eqNullSafe(targets["source"]))
-              .select("sid", pareto_rank(F.col("u"), F.col("pi")).alias("z"), "v", "size", "rest"))
+              .select("sid", pareto_rank(F.col("u"), F.col("pi"), lean(F.col("size"), F.col("mean"))).alias("z"), "v", "size",
+                      "rest"))
     cuts = _cuts(ranked)
     per_source = store(targets.join(cuts, "sid", "left").select(
         F.col("source").alias("_mx_source"), F.col("source_size").alias("_mx_size"),
         F.col("target").alias("_mx_target"), *[F.col(c).alias(f"_mx_{c}") for c in
-                                               ("whole", "pi", "rest", "cut", "cut_v", "n", "some")]), "mix")
-    z, v = pareto_rank(draw(key), F.col("_mx_pi")), second_draw(key, text)
+                                               ("mean", "whole", "pi", "rest", "cut", "cut_v", "n", "some")]), "mix")
+    z = pareto_rank(draw(key), F.col("_mx_pi"), lean(F.col("_mx_words"), F.col("_mx_mean")))
+    v = second_draw(key, text)
     more = (F.col("_mx_pi") > 0) & (F.col("_mx_rest") > 0)
     at_cut = F.coalesce(more & (z == F.col("_mx_cut")) & (v == F.col("_mx_cut_v")), F.lit(False))
     one_more = more & (F.col("_mx_cut").isNull() | (z < F.col("_mx_cut")) | (
         (z == F.col("_mx_cut")) & ((v < F.col("_mx_cut_v")) | (at_cut & (F.col("_mx_some") == F.col("_mx_n"))))))
     part = (F.col("_mx_some") > 0) & (F.col("_mx_some") < F.col("_mx_n"))
-    base = docs.select(*[F.col(f"`{c}`") for c in keep]).join(per_source, src.eqNullSafe(F.col("_mx_source")))
+    base = docs.select(*[F.col(f"`{c}`") for c in keep], word_count(text).alias("_mx_words")).join(per_source, src.eqNullSafe(F.col("_mx_source")))
 
     def result(rows: DataFrame, extra: Column) -> DataFrame:
-        return rows.select(*[F.col(f"`{c}`") for c in keep], word_count(text).alias("size"),
+        return rows.select(*[F.col(f"`{c}`") for c in keep], F.col("_mx_words").alias("size"),
                            F.col("_mx_size").alias("source_size"), F.col("_mx_target").alias("target"),
                            (F.col("_mx_whole") + F.when(extra, 1).otherwise(0)).cast("int").alias("copies")) \
             .withColumn("taken", F.col("copies") * F.col("size"))

@@ -52,8 +52,10 @@ def op6_simhash(spark, sf):
 def op2_toxicity(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf, "labels"))
-    return (score_toxicity(docs, model, threshold=0.7, columns=["doc_id"], spans=False)
-            .withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return (score_toxicity(docs, model, threshold=0.7, columns=["doc_id"])
+            .withColumn("held_out", held_out(F.col("doc_id"))).withColumn("offsets", offsets)
+            .select("doc_id", "held_out", "score", "predicted", "offsets"))
 
 
 # token ids have no SQL form: tested against brute force and by round trip
@@ -71,7 +73,7 @@ WITH d AS (
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5)
            / 4503599627370496.0::DOUBLE AS u
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*)::BIGINT AS documents FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]
              [1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS weight,
       source_size::DOUBLE * 2.0::DOUBLE AS cap,
@@ -81,14 +83,15 @@ l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source
          / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT arg_min(level, cap / weight) AS level FROM l WHERE level * weight <= cap),
-t AS (SELECT source, source_size, least((SELECT level FROM f) * weight, cap) AS target FROM l),
+t AS (SELECT source, source_size, documents, least((SELECT level FROM f) * weight, cap) AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS ratio FROM t),
-p AS (SELECT source, source_size, target, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS pi,
+p AS (SELECT source, source_size, source_size::DOUBLE / documents::DOUBLE AS mean, target, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS pi,
              target - (floor(ratio)::BIGINT * source_size)::DOUBLE AS rest FROM r),
-z AS (SELECT d.*, p.source_size, p.target, p.whole, p.pi, p.rest,
-             CASE WHEN p.pi > 0 THEN (d.u * (1.0::DOUBLE - p.pi))
-                / ((d.u * (1.0::DOUBLE - p.pi)) + (p.pi * (1.0::DOUBLE - d.u))) ELSE 1.0::DOUBLE END AS z
+o AS (SELECT d.*, p.source_size, p.target, p.whole, p.pi, p.rest,
+             CASE WHEN p.mean > 0 THEN sqrt(d.size::DOUBLE / p.mean) ELSE 1.0::DOUBLE END AS lean
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+z AS (SELECT *, CASE WHEN pi > 0 THEN (u * (1.0::DOUBLE - pi))
+                / ((u * (1.0::DOUBLE - pi)) + (pi * lean * (1.0::DOUBLE - u))) ELSE 1.0::DOUBLE END AS z FROM o),
 g AS (SELECT source, z, sum(size)::BIGINT AS words, any_value(rest) AS rest FROM z
       WHERE pi > 0 AND rest > 0 GROUP BY source, z),
 c AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY z

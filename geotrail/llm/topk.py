@@ -207,7 +207,8 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, scale: floa
     components, and rows without an id, take no part; vectors of different
     length are not compared; rows equal in id and vector count once, and an id
     with several vectors has each of them ranked. Empty tables give an empty
-    result.
+    result. Further columns, whatever their names, are ignored; a vector of any length
+    lies in one block.
     """
     def rows(df):
         vec = F.col(f"`{vec_col}`")

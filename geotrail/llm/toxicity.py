@@ -271,7 +271,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
 
     per_class: at most so many labelled ids of each class, the first in hash
     order; they are found among the labels alone, so the documents are read
-    once and not shuffled; of equal texts one is used. An id with several labels counts as toxic if any
+    once and only the chosen ones shuffled. Of rows with one id the smallest text is used,
+    of equal texts one, so the fit gets at most 2 * per_class texts. An id with several labels counts as toxic if any
     says so; null labels and null ids are dropped. Without any label the model
     scores every text alike. Fitting runs in one task, which returns the model
     (a few hundred kB)."""
@@ -286,6 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
 
     chosen = F.broadcast(first(True).unionByName(first(False)))     # 2 * per_class ids at most
     sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id")
+    # an id that many rows share gives one text: what one task gets is bounded by the ids
+    sample = sample.groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def fit(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["id"].to_pylist(), table["y"].to_pylist(), table["text"].to_pylist()),
@@ -340,7 +343,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, t
     ``threshold``) and, unless switched off, spans: start and end (code points)
     and marginal of the offending tokens. A null or empty text has no evidence
     and gets the score of such texts; rows are scored one by one, so repeated
-    rows get equal scores; an empty table gives an empty one.
+    rows get equal scores; an empty table gives an empty one. A text of any length is
+    scored whole in one task; only stretches near an indicator word enter chains.
     """
     keep = [c for c in (columns or docs.columns) if c not in ("score", "predicted", "spans")]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -108,7 +108,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url_col:
     host, path, rule (host and path of the winning rule, else null) and
     verdict ('allow' or 'block'; ``default`` if no rule fits). A null URL, one
     without :// or with an empty host fits no rule. Every row is judged on its
-    own: repeated rows get equal verdicts, an empty table gives an empty one.
+    own: repeated rows get equal verdicts, an empty table gives an empty one, a URL of
+    any length is split in one pass.
     The rules are broadcast; there may be MAX_RULES of them.
     """
     trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))

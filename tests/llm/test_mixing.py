@@ -2,7 +2,9 @@ from collections import defaultdict
 
 import pytest
 
-from geotrail.llm.mixing import mix_sources
+from pyspark.sql import functions as F
+
+from geotrail.llm.mixing import draw, mix_sources
 
 
 def shares(sizes, weights, share, cap):
@@ -69,6 +71,20 @@ def test_rows_that_share_an_id_are_split_at_the_target(spark, text):
             assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2
 
 
+def test_inclusion_is_unequal(spark):
+    """Long documents come in more often than short ones, in another order than that of the draw."""
+    df = spark.createDataFrame([(i, " ".join(["w"] * (4 if i % 2 else 100)), "s") for i in range(4000)],
+                               "doc_id long, text string, source string")
+    got = mix_sources(df, (1,), 0.5).collect()
+    share = [sum(r.copies for r in got if r.size == n) / 2000 for n in (4, 100)]
+    odds = [x / (1 - x) for x in share]
+    assert odds[1] / odds[0] == pytest.approx(5.0, rel=0.25)       # the square root of 100 / 4
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 50
+    u = {r.doc_id: r.u for r in df.select("doc_id", draw(F.col("doc_id")).alias("u")).collect()}
+    taken = {r.doc_id for r in got if r.copies}
+    assert max(u[i] for i in taken) > min(u[i] for i in u if i not in taken)
+
+
 def test_targets_at_both_ends(spark):
     df = frame(spark)
     assert all(r.copies == 2 for r in mix_sources(df, share=2.0).collect() if r.size)
