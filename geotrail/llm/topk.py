@@ -4,14 +4,17 @@ A score is the sum of partial scores, one per slice of the components; each
 (slice, block of rows) holds one local list. All phases run over pairs of a
 block of queries and a block of rows:
 
-1. every local list gives its first few entries for each query; each comes with
-   its partial scores in the other lists, so its sum is known. The k-th largest
-   sum gathered for a query is a safe cutoff: the true k-th score is not lower;
+1. every block sums the first rows of its lists, which are those with the longest
+   vectors, and gives the best few for each query. The k-th largest sum gathered for
+   a query is a safe cutoff: the true k-th score is not lower;
 2. the cutoffs go back with the query blocks. A row whose total reaches the
    cutoff has a partial score of at least cutoff / slices in some list, so every
-   list gives the entries from that uniform threshold on;
-3. only these are summed exactly, and those that reach the cutoff, at most k a
-   block, are ranked.
+   list gives the entries from that uniform threshold on. A list whose longest
+   vector cannot reach it with a query is not scored for that query;
+3. only these entries are summed exactly, and those that reach the cutoff, at most
+   k a block, are ranked.
+
+Phase 1 scores HEAD rows of a block, phase 2 every open list once, phase 3 single pairs.
 
 Scores are integers and stay exact: in 32-bit floats up to 2^24, else in 64-bit
 floats up to 2^53, else in Python's integers.
@@ -33,6 +36,7 @@ from geotrail.session import store
 ROWS = 4096         # rows in a block
 QUERIES = 1024      # queries in a block
 SLICES = 2
+HEAD = 64           # rows of a block that phase 1 scores
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -86,19 +90,37 @@ class Lists:
         q = np.frombuffer(row["q_values"], "<i2" if row["q_small"] else "<f8").reshape(-1, d)
         r = np.frombuffer(row["r_values"], "<i2" if row["r_small"] else "<f8").reshape(-1, d)
         bound = d * float(np.abs(q.astype(float)).max()) * float(np.abs(r.astype(float)).max())
-        kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else object
-        if kind is object:
+        self.kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else object
+        self.cuts = np.array_split(np.arange(d), min(slices, d))
+        # lengths of the parts of the vectors, a little too long against rounding
+        self.q_len, self.r_len = (np.stack([np.linalg.norm(x[:, c].astype(float), axis=1) for c in self.cuts], axis=1)
+                                  * (1 + 1e-9) for x in (q, r))
+        if self.kind is object:
             q, r = (np.vectorize(int, otypes=[object])(x) for x in (q, r))
-        self.q, self.r, self.kind = q.astype(kind), r.astype(kind), kind
+        self.q, self.r = q.astype(self.kind), r.astype(self.kind)
         self.q_ids, self.r_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["r_ids"], "<i8")
-        self.cuts = np.array_split(np.arange(d), min(slices, d))
+        self.scored = 0         # partial scores and products of pairs so far, in components
+
+    def own(self, queries: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return self.q_ids[queries][:, None] == self.r_ids[rows][None, :]
+
+    def partial(self, queries: np.ndarray, which: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Scores of ``queries`` with ``rows`` over the components ``which``, for comparing."""
+        r = self.r[rows][:, which]
+        self.scored += len(queries) * len(r) * len(which)
+        return _floats(self.q[queries][:, which] @ r.T)
+
+    def exact(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Score of each pair."""
+        self.scored += len(queries) * self.q.shape[1]
+        parts = [(self.q[queries[i:i + 16384]] * self.r[rows[i:i + 16384]]).sum(axis=1)
+                 for i in range(0, len(queries), 16384)]
+        return np.concatenate(parts) if parts else np.empty(0, self.kind)
 
-    def partial(self, lo: int, hi: int) -> list[np.ndarray]:
-        """Per slice the scores of queries lo..hi with all rows; the query's
-        own row is put below everything."""
-        out = [self.q[lo:hi, c] @ self.r[:, c].T for c in self.cuts]
-        own = self.q_ids[lo:hi, None] == self.r_ids[None, :]
-        return [np.where(own, -np.inf, s) if self.kind is not object else np.where(own, None, s) for s in out]
+    def head(self, n: int) -> np.ndarray:
+        """Rows with the longest vectors."""
+        whole = (self.r_len ** 2).sum(axis=1)
+        return np.arange(len(whole)) if len(whole) <= n else np.sort(np.argpartition(-whole, n - 1)[:n])
 
 
 def _as_long(scores) -> pa.Array:
@@ -116,24 +138,22 @@ ENTRY = pa.schema([("d", pa.int32()), ("qb", pa.int64()), ("q", pa.int32()), ("s
 
 
 def _gather(slices: int, few: int):
-    """Phase 1: the first ``few`` entries of every local list, with their sums."""
+    """Phase 1: the best ``few`` sums among the first rows of the lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 lists = Lists(row, slices)
+                head, every = lists.head(max(HEAD, few)), np.concatenate(lists.cuts)
                 qs, scores = [], []
                 for lo in range(0, len(lists.q), 128):
-                    parts = lists.partial(lo, min(lo + 128, len(lists.q)))
-                    parts = [_floats(p) for p in parts]
-                    total = sum(parts)
-                    listed = np.zeros(total.shape, bool)
-                    for p in parts:
-                        np.put_along_axis(listed, _best(p, few), True, axis=1)
-                    i, j = np.nonzero(listed & np.isfinite(total))
-                    qs.append(i + lo)
-                    scores.append(total[i, j])
+                    queries = np.arange(lo, min(lo + 128, len(lists.q)))
+                    total = np.where(lists.own(queries, head), -np.inf, lists.partial(queries, every, head))
+                    best = np.take_along_axis(total, _best(total, few), axis=1)
+                    i, j = np.nonzero(np.isfinite(best))
+                    qs.append(queries[i])
+                    scores.append(best[i, j])
                 q = np.concatenate(qs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(q), row["d"], np.int32)), pa.array(np.full(len(q), row["qb"], np.int64)),
@@ -145,8 +165,7 @@ def _floats(x: np.ndarray) -> np.ndarray:
     """Scores for comparing only; exact integers rounded down to doubles."""
     if x.dtype != object:
         return x
-    f = np.array([[-np.inf if v is None else float(v) for v in r] for r in x])
-    return np.where(np.isfinite(f), np.nextafter(f, -np.inf), f)
+    return np.nextafter(np.array([[float(v) for v in r] for r in x]).reshape(x.shape), -np.inf)
 
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("q", pa.int32()),
@@ -166,16 +185,18 @@ def _collect(slices: int, k: int):
                     cutoff[c["q"]] = c["cutoff"]
                 out = [[], [], []]
                 for lo in range(0, len(lists.q), 128):
-                    parts = lists.partial(lo, min(lo + 128, len(lists.q)))
-                    level = cutoff[lo:lo + 128]
-                    floats = [_floats(p) for p in parts]
-                    slack = 0 if lists.kind is not object else np.abs(level) * 1e-12
-                    passed = np.zeros(floats[0].shape, bool)
-                    for p in floats:
-                        passed |= p >= ((level - slack) / len(parts))[:, None]
-                    i, j = np.nonzero(passed & np.isfinite(floats[0]))
-                    total = sum(p[i, j] for p in parts)
-                    keep = np.array(total >= level[i] - (slack[i] if lists.kind is object else 0), bool)
+                    queries = np.arange(lo, min(lo + 128, len(lists.q)))
+                    level = cutoff[queries]
+                    slack = np.abs(level) * 1e-12 if lists.kind is object else np.zeros(len(level))
+                    need = (level - slack) / len(lists.cuts)
+                    passed = np.zeros((len(queries), len(lists.r)), bool)
+                    for s, which in enumerate(lists.cuts):
+                        open_ = np.flatnonzero(lists.q_len[queries, s] * lists.r_len[:, s].max() >= need)
+                        if len(open_):
+                            passed[open_] |= lists.partial(queries[open_], which) >= need[open_, None]
+                    i, j = np.nonzero(passed & ~lists.own(queries))
+                    total = lists.exact(queries[i], j)
+                    keep = np.array(total >= level[i] - slack[i], bool)
                     i, j, total = i[keep], j[keep], total[keep]
                     # rows are in id order, so a stable sort ranks ties by smaller id
                     order = np.array(sorted(range(len(i)), key=lambda x: (i[x], -total[x], j[x])), np.int64) \

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geotrail.llm import embed_dedup, topk
@@ -127,3 +128,43 @@ def test_top_k_of_few_or_no_rows(spark):
     assert [tuple(r) for r in exact_top_k(df.filter("vec_id = 0"), df, 20).collect()] == [(0, 1, 1, 64 * 128)]
     assert exact_top_k(df.limit(0), df, 20).collect() == []
     assert exact_top_k(df, df.limit(0), 20).collect() == []
+
+
+def test_phases_score_only_what_is_open(monkeypatch):
+    """Phase 1 scores HEAD rows of a block; phase 2 every list once, and none for queries it cannot serve."""
+    rng = np.random.default_rng(3)
+    d, rows, made = 16, 1000, []
+    near, far = rng.integers(-9, 10, (rows, d)), rng.integers(-1, 2, (rows, d))
+    q = rng.integers(-9, 10, (20, d))
+
+    class Spied(topk.Lists):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self)
+    monkeypatch.setattr(topk, "Lists", Spied)
+
+    def pair(r, first, cutoffs=None):
+        return pa.RecordBatch.from_pylist([{
+            "d": d, "qb": 0, "q_n": 20, "q_ids": np.arange(20).astype("<i8").tobytes(), "q_small": True,
+            "q_values": q.astype("<i2").tobytes(), "r_n": rows, "r_ids": (first + np.arange(rows)).astype("<i8").tobytes(),
+            "r_small": True, "r_values": r.astype("<i2").tobytes(), "cutoffs": cutoffs}])
+
+    k = 5
+    gathered = [pa.Table.from_batches(list(topk._gather(2, k)(iter([pair(r, f)])))) for r, f in ((near, 100), (far, 5000))]
+    assert [x.scored for x in made] == [20 * topk.HEAD * d] * 2
+    sums = {}
+    for t in gathered:
+        for i, score in zip(t["q"].to_pylist(), t["score"].to_pylist()):
+            sums.setdefault(i, []).append(score)
+    cutoffs = [{"q": i, "cutoff": sorted(x)[-k]} for i, x in sums.items()]
+    made.clear()
+    found = [pa.Table.from_batches(list(topk._collect(2, k)(iter([pair(r, f, cutoffs)])))) for r, f in ((near, 100), (far, 5000))]
+    every = 20 * rows * d
+    assert made[0].scored < 1.6 * every and made[1].scored < 0.5 * every        # both lists once, open pairs again
+    best = {}
+    for t in found:
+        for i, vec, score in zip(t["query_id"].to_pylist(), t["vec_id"].to_pylist(), t["score"].to_pylist()):
+            best.setdefault(i, []).append((-score, vec))
+    for i in range(20):
+        want = sorted([(-int(q[i] @ near[j]), 100 + j) for j in range(rows)] + [(-int(q[i] @ far[j]), 5000 + j) for j in range(rows)])
+        assert sorted(best[i])[:k] == want[:k]
