@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,18 +83,37 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 _SCRATCH: set[str] = set()
+_SCOPES: list[list[str]] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder.
 
     All folders of one application lie under one parent, which is deleted when
-    the driver's Python ends while the session still runs."""
+    the driver's Python ends while the session still runs; those of a
+    ``scratch_scope`` go when it ends."""
     root = f"{ensure_checkpoint_dir(spark)}/tables"
     if root not in _SCRATCH:
         _SCRATCH.add(root)
         atexit.register(_delete, spark, root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the tables stored inside when the block ends.
+
+    For sessions that run many queries: build a query's DataFrame and write or collect
+    its result inside one scope; DataFrames from inside cannot be read afterwards."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
 
 
 def store(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:

@@ -20,3 +20,19 @@ def test_store_keeps_schema_and_empty_tables(spark):
     assert store(df.limit(0)).collect() == []
     assert scratch_path(spark, "x").startswith(ensure_checkpoint_dir(spark)) and scratch_path(spark, "x") != \
         scratch_path(spark, "x")
+
+
+def test_tables_of_a_scope_go_when_it_ends(spark):
+    import os
+    from geotrail.session import scratch_scope, store
+    keep = store(spark.range(3), "outer")
+    with scratch_scope(spark):
+        first = store(spark.range(5), "inner")
+        with scratch_scope(spark):
+            second = store(first.filter("id > 2"), "inner")
+            gone = [f.removeprefix("file:") for f in second.inputFiles()]
+            assert second.count() == 2
+        assert gone and not any(os.path.exists(f) for f in gone)
+        assert first.count() == 5
+        gone = [f.removeprefix("file:") for f in first.inputFiles()]
+    assert gone and not any(os.path.exists(f.replace("///", "/")) for f in gone) and keep.count() == 3
