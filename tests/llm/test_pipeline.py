@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from test_line_dedup import brute as brute_lines
 from test_mixing import shares
 from test_packing import brute_bins
@@ -92,3 +93,16 @@ def test_run_and_empty_documents(spark, sf_small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_small)
     assert docs.collect() == []
+
+
+def test_other_columns_never_clash(spark, sf_small):
+    """Columns named like a stage's own results are dropped and change nothing."""
+    names = ["score", "predicted", "spans", "n_lines", "n_dropped", "fingerprint", "component_id", "leads", "size", "copies",
+             "taken", "copy", "target", "piece", "length", "_sh_fp", "_mx_words"]
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(60)
+    more = docs.select("*", *[F.lit(9).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, sf_small)
+        assert got.columns == COLUMNS
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, stage(spark, docs, sf_small).collect()))
+    assert corpus_pipeline.packing(spark, more, sf_small).count() == corpus_pipeline.packing(spark, docs, sf_small).count()
