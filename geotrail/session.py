@@ -116,6 +116,9 @@ def scratch_scope(spark: SparkSession):
             _delete(spark, path)
 
 
+STORE_LISTENERS: list = []      # called with (df, name) before a table is stored (plan reports)
+
+
 def store(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -124,5 +127,7 @@ def store(df: DataFrame, name: str = "table", compression: str = "zstd") -> Data
     from a measured size). Works for empty tables too."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for listener in STORE_LISTENERS:
+        listener(df, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
