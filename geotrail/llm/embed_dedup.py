@@ -11,8 +11,9 @@ within epsilon of each other, down to leaves that are compared by one matrix
 product. A projection never makes two vectors further apart, so nothing
 is lost, whatever sample the directions were fitted on.
 
-Equal vectors are one class with a multiplicity and take part once. A block
-pair returns link counts and a spanning forest, never its pairs.
+Equal vectors are one class with a multiplicity and take part once. Block pairs are
+worked on in square tiles of neighbouring intervals, whose vectors travel once for a
+tile; a tile returns link counts and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ LEAF = 256              # vectors a side in one matrix product
 DIRECTIONS = 8          # leading principal directions
 CELL_DIRECTIONS = 3     # of them, those whose cells pair up blocks
 FIT_VALUES = 1 << 19    # components in the sample that the directions are fitted on
+TILES_PER_TASK = 4      # tiles of block pairs for each shuffle partition
+TILE_BYTES = 1 << 27    # of vectors in a tile, in double precision
 CLOSE = 1e-9            # double scores this near to the threshold are summed again exactly
 
 
@@ -246,35 +249,46 @@ class PairJoin:
         union(self.parent, i + i0, j + j0)
 
 
-def _side(row: dict, side: str, d: int, directions: dict[int, np.ndarray]) -> dict:
+def _side(row: dict, directions: dict[int, np.ndarray]) -> dict:
     """A block from its bytes: vectors travel as they came and are scaled here."""
-    x = unit(np.frombuffer(row[f"vecs_{side}"], "<f8" if row[f"wide_{side}"] else "<f4").reshape(-1, d))
-    return {"x": x, "p": _project(x, directions), "n": np.frombuffer(row[f"counts_{side}"], "<i8"),
-            "cid": np.frombuffer(row[f"cids_{side}"], "<i8")}
+    x = unit(np.frombuffer(row["vecs"], "<f8" if row["wide"] else "<f4").reshape(-1, row["d"]))
+    return {"x": x, "p": _project(x, directions), "n": np.frombuffer(row["counts"], "<i8"),
+            "cid": np.frombuffer(row["cids"], "<i8")}
 
 
-def _join_pairs(threshold: float, directions: dict[int, np.ndarray]):
-    """Block pairs -> rows (u, v, n): link counts (v null) and forest edges."""
+def _join_tile(threshold: float, directions: dict[int, np.ndarray]):
+    """The block pairs of a tile -> rows (u, v, n): link counts (v null) and forest edges."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                a = _side(row, "a", row["d"], directions)
-                b = None if row["a"] == row["b"] else _side(row, "b", row["d"], directions)
-                j = PairJoin(a, b, threshold)
-                cid = a["cid"] if b is None else np.concatenate([a["cid"], b["cid"]])
-                some = np.flatnonzero(j.links > 0)
-                tied = np.flatnonzero(j.parent != np.arange(len(cid)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([cid[some], cid[tied]])),
-                    pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cid[j.parent[tied]])]),
-                    pa.concat_arrays([pa.array(j.links[some].astype(np.int64)), pa.nulls(len(tied), pa.int64())])],
-                    schema=schema)
+    def run(blocks: pa.Table, pairs: pa.Table) -> pa.Table:
+        sides = {row["block"]: _side(row, directions) for row in blocks.to_pylist()}
+        counted, links, tied_to, tied = [], [], [], []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            j = PairJoin(sides[a], None if a == b else sides[b], threshold)
+            cid = sides[a]["cid"] if a == b else np.concatenate([sides[a]["cid"], sides[b]["cid"]])
+            some = np.flatnonzero(j.links > 0)
+            counted.append(cid[some])
+            links.append(j.links[some])
+            child = np.flatnonzero(j.parent != np.arange(len(cid)))
+            tied.append(cid[child])
+            tied_to.append(cid[j.parent[child]])
+        if not counted:
+            return schema.empty_table()
+        who, at = np.unique(np.concatenate(counted), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(links), minlength=len(who)).astype(np.int64)
+        u, v = np.concatenate(tied), np.concatenate(tied_to)
+        return pa.table([pa.array(np.concatenate([who, u])), pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(v)]),
+                         pa.concat_arrays([pa.array(n), pa.nulls(len(u), pa.int64())])], schema=schema)
     return run
 
 
+def _tile_side(pairs: int, parallelism: int, longest: int) -> int:
+    """Intervals along a side of a tile: about TILES_PER_TASK tiles for every task, and not
+    more vectors in one than TILE_BYTES."""
+    fair = math.isqrt(max(1, pairs // max(1, TILES_PER_TASK * parallelism)))
+    return max(1, min(fair, TILE_BYTES // (2 * BLOCK * 8 * max(1, longest))))
+
+
 def class_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Links between classes (cid, n, vec) of distinct vectors.
 
@@ -291,11 +305,16 @@ def class_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
                .repartitionByRange(parts, *order).sortWithinPartitions(*order).coalesce(parts))
     blocks = store(ordered.mapInArrow(_cut_blocks(directions, epsilon), BLOCKS), "blocks")
     pairs = store(_block_pairs(blocks, epsilon), "block-pairs")
-    names = ("cids", "counts", "wide", "vecs")
-    load = blocks.select("block", "d", *names)
-    both = (pairs.join(load.toDF("a", "d", *(f"{c}_a" for c in names)), "a")
-            .join(load.drop("d").toDF("b", *(f"{c}_b" for c in names)), "b"))
-    found = store(both.mapInArrow(_join_pairs(threshold, directions), "u long, v long, n long"), "links")
+    side = _tile_side(pairs.count(), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                      max(directions, default=1))
+    # an interval travels once for each tile that it has pairs in, not once for each pair
+    tile = lambda c: F.floor(F.shiftright(c, 32) / side).cast("long")
+    tiled = pairs.select("a", "b", tile("a").alias("ta"), tile("b").alias("tb"))
+    need = tiled.select("ta", "tb", F.col("a").alias("block")).union(tiled.select("ta", "tb", "b")).distinct()
+    of = tiled.select("a", "b", F.col("ta").alias("of_a"), F.col("tb").alias("of_b"))
+    load = need.join(blocks.select("block", "d", "cids", "counts", "wide", "vecs"), "block")
+    found = store(load.groupBy("ta", "tb").cogroup(of.groupBy("of_a", "of_b")).applyInArrow(
+        _join_tile(threshold, directions), "u long, v long, n long"), "links")
     counts = (found.filter(F.col("v").isNull()).groupBy(F.col("u").alias("cid"))
               .agg(F.sum("n").alias("linked")))
     return counts, found.filter(F.col("v").isNotNull()).select("u", "v")

@@ -84,6 +84,23 @@ def test_dense_clusters_link_as_a_whole(spark, monkeypatch):
     assert not leaves and j.links.tolist() == [118.0] * 60 and not j.parent.any()
 
 
+def test_tiles_of_any_side_give_the_same_links(spark, monkeypatch):
+    rows = vectors(3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embed_dedup, "BLOCK", 9)
+    found = []
+    for side in (1, 3, 50):
+        monkeypatch.setattr(embed_dedup, "_tile_side", lambda *a: side)
+        found.append(sorted((str(r.vec_id), r.n_links, r.component_id) for r in embed_dedup.link_vectors(df).collect()))
+    assert found[0] == found[1] == found[2] and any(r[1] for r in found[0])
+
+
+def test_tile_sides():
+    assert embed_dedup._tile_side(0, 8, 64) == 1 and embed_dedup._tile_side(496, 12, 64) == 3
+    assert embed_dedup._tile_side(10 ** 9, 8, 64) == embed_dedup.TILE_BYTES // (2 * embed_dedup.BLOCK * 8 * 64)
+    assert embed_dedup._tile_side(10 ** 9, 8, 10 ** 6) == 1
+
+
 def test_links_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert link_vectors(df).collect() == []
