@@ -4,6 +4,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from geotrail.operators import clean
+from geotrail.plans import stream_queries
 from geotrail.sources import ingest, payloads
 from geotrail.streaming import capture
 from tests.conftest import rows
@@ -130,3 +131,16 @@ def test_speed_stream_returns_after_a_long_break(spark):
     got = _speed_drain(spark, df, d, "1 hour", "break_out")
     assert {r.media_id: r.interarrivaltime for r in got.filter("user_id = 'u'").collect()} == {
         "1": None, "2": 2 * 86_400 + 1800}
+
+
+def test_drop_folder_is_written_by_all_tasks_and_read_batch_by_batch(spark):
+    folder, out, ck = (tempfile.mkdtemp(prefix=f"geotrail-{n}-") + "/t" for n in ("drop", "out", "ck"))
+    payload = spark.range(3000).repartition(4).select(
+        F.to_json(F.struct(F.col("id").cast("string").alias("id_str"))).alias("value"))
+    raw = stream_queries._payload_stream(spark, payload, folder)
+    files = spark.read.text(folder).groupBy(F.input_file_name()).agg(
+        F.count_distinct(F.pmod(F.xxhash64("value"), F.lit(stream_queries.BATCHES))).alias("n")).collect()
+    assert len(files) == 4 * stream_queries.BATCHES and {f.n for f in files} == {1}
+    got = stream_queries._drain(capture.flatten_post_stream(raw).select("media_id"), out, ck)
+    assert sorted(int(r.media_id) for r in got.collect()) == list(range(3000))
+    assert sum(f.isdigit() for f in os.listdir(os.path.join(ck, "commits"))) == stream_queries.BATCHES
