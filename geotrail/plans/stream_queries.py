@@ -57,10 +57,10 @@ def _drain(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
 
 @query("stream_flatten", with_prelude("", SQL_FLAT))
 def q_stream_flatten(spark, sf):
-    """The posts of a drop folder, flattened file by file."""
+    """The posts of a drop folder, flattened batch by batch."""
     drop, out, checkpoint = (scratch_path(spark, n) for n in ("drop", "out", "checkpoint"))
-    _drop(payloads.post_payloads(spark, sf), drop)
-    stream = capture.flatten_post_stream(capture.read_payload_stream(spark, drop, max_files=1))
+    stream = capture.flatten_post_stream(
+        _payload_stream(spark, store(payloads.post_payloads(spark, sf), "payloads"), drop))
     return _drain(stream.select(*FLAT), out, checkpoint)
 
 
