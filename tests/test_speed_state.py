@@ -1,5 +1,6 @@
 import random
 
+from geotrail.streaming import capture
 from geotrail.streaming.capture import PreviousPost
 
 
@@ -133,3 +134,28 @@ def test_random_batches_equal_the_sorted_sequence():
             want.append((media, t, *last))
             last = (t, lat, lon)
         assert got == want
+
+
+def test_state_calls_do_not_grow_with_the_posts_of_a_batch(monkeypatch):
+    calls = []
+    for name in ("containsKey", "getValue", "updateValue", "removeKey"):
+        def counted(self, *a, _f=getattr(Map, name)):
+            calls.append(a)
+            return _f(self, *a)
+        monkeypatch.setattr(Map, name, counted)
+    h = Handle()
+    h.batch([(f"m{t}", t, 1.0, 1.0) for t in range(300)], 0)
+    h.batch([(f"n{t}", t, 1.0, 1.0) for t in range(200, 500)], 100)
+    assert [r[1] for r in h.batch([], 1_000)] == sorted([*range(101, 300), *range(200, 500)])
+    assert len(calls) < 20
+
+
+def test_more_posts_than_a_chunk_holds(monkeypatch):
+    monkeypatch.setattr(capture, "CHUNK", 3)
+    h = Handle()
+    assert h.batch([(f"m{t}", t, float(t), 0.0) for t in (5, 3, 9, 8, 1, 7, 2)], 4) == [
+        ("m1", 1, None, None, None), ("m2", 2, 1, 1.0, 0.0), ("m3", 3, 2, 2.0, 0.0)]
+    assert h.timers == {5_000}
+    assert [r[:3] for r in h.batch([("m6", 6, 6.0, 0.0)], 100)] == [
+        ("m5", 5, 3), ("m6", 6, 5), ("m7", 7, 6), ("m8", 8, 7), ("m9", 9, 8)]
+    assert not h.processor.held.data and not h.timers
