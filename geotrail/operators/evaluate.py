@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.geo import haversine_km
 from geotrail.operators import home
-from geotrail.operators.skew import cumulative_weight, group_median
+from geotrail.operators.skew import cumulative_weight, group_median, shuffled
 
 RUNS = 10
 HOLDOUT_BUCKETS = 10     # 1 of 10 buckets hidden = 10 %
@@ -55,7 +55,7 @@ def holdout_run(edges: DataFrame, truth: DataFrame, truth_posts: DataFrame, runs
     """
     sample = holdout_split(truth_posts, runs)
     start = runs_frame(truth.select("user_name", "lat", "lon", "user_location"), runs)
-    start = start.join(sample.select("fold", "user_name"), ["fold", "user_name"], "left_anti")
+    start = start.join(shuffled(sample.select("fold", "user_name")), ["fold", "user_name"], "left_anti")
     final = home.propagate(edges.select("source", "target", "weight"), start, rounds, keys=["fold"], weighted=weighted, sizes=sizes, **kw)
     return sample, final
 
@@ -63,7 +63,7 @@ def holdout_run(edges: DataFrame, truth: DataFrame, truth_posts: DataFrame, runs
 def holdout_errors(sample: DataFrame, final: DataFrame) -> DataFrame:
     """Per hidden user with an estimate: error km (fold, user_name, error)."""
     s = sample.select("fold", "user_name", F.col("lat").alias("lat_sample"), F.col("lon").alias("lon_sample"))
-    x = s.join(final, ["fold", "user_name"], "left").filter(F.col("user_location").isNotNull())
+    x = s.join(shuffled(final), ["fold", "user_name"], "left").filter(F.col("user_location").isNotNull())
     return x.select("fold", "user_name",
                     haversine_km(F.col("lon_sample"), F.col("lat_sample"), F.col("lon"), F.col("lat")).alias("error"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.functions.text import extract_mentions
+from geotrail.operators.skew import shuffled
 
 
 def with_mentions(posts: DataFrame, text: str = "text") -> DataFrame:
@@ -60,4 +61,4 @@ def reciprocal_edges(edges: DataFrame) -> DataFrame:
 def network_posts(posts: DataFrame, rec_edges: DataFrame, user: str = "user_name") -> DataFrame:
     """Posts of users that have at least one reciprocal edge."""
     members = rec_edges.select(F.col("source").alias(user)).distinct()
-    return posts.join(members, user, "left_semi")
+    return posts.join(shuffled(members), user, "left_semi")

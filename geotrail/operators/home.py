@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.geo import EARTH_RADIUS_KM, great_circle_km, haversine_km
 from geotrail.functions.text import place_label
-from geotrail.operators.skew import PART, group_median, in_ranges, join_null_safe
+from geotrail.operators.skew import PART, group_median, in_ranges, join_null_safe, shuffled
 from geotrail.session import store
 
 TILE_POINTS = 1024          # distinct points per key evaluated in one array
@@ -390,7 +390,7 @@ def home_candidates(net_posts: DataFrame, min_posts: int = MIN_POSTS, max_posts:
     n = F.col("_n")
     keep = (n >= min_posts) if max_posts is None else (n >= min_posts) & (n < max_posts)
     users = geo.groupBy(count_by).agg(F.count_distinct("media_id").alias("_n")).filter(keep).select(count_by)
-    x = geo.filter(F.col("place_type") == "city").join(users, count_by, "left_semi")
+    x = geo.filter(F.col("place_type") == "city").join(shuffled(users), count_by, "left_semi")
     return x.select("user_name", "media_id", "followers_count", "lat", "lon",
                     place_label(F.col("place_name"), F.col("country_code")).alias("place_location"))
 
@@ -433,7 +433,7 @@ def merge_ground_truth(profile: DataFrame, posts_truth: DataFrame, keys: Sequenc
     The anti join ignores null names (NOT IN with a null would empty the result)."""
     names = posts_truth.select(*keys).filter(F.col(keys[-1]).isNotNull())
     cols = [*keys, "lat", "lon", "user_location"]
-    return profile.join(names, list(keys), "left_anti").select(*cols).unionByName(posts_truth.select(*cols))
+    return profile.join(shuffled(names), list(keys), "left_anti").select(*cols).unionByName(posts_truth.select(*cols))
 
 
 def adjacency(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -444,7 +444,7 @@ def adjacency(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = ()) -> D
                      F.col("lon").alias("target_lon"), F.col("user_location").alias("target_location"))
     s = truth.select(*k, F.col("user_name").alias("source"), F.col("lat").alias("source_lat"),
                      F.col("lon").alias("source_lon"), F.col("user_location").alias("source_location"))
-    x = edges.join(t, [*k, "target"], "left").join(s, [*k, "source"], "left")
+    x = edges.join(shuffled(t), [*k, "target"], "left").join(shuffled(s), [*k, "source"], "left")
     return x.select(*k, "source", "target", "weight", "target_lat", "target_lon", "target_location",
                     "source_lat", "source_lon", "source_location")
 
@@ -465,10 +465,10 @@ def neighbour_points(edges: DataFrame, truth: DataFrame, keys: Sequence[str] = (
     sources = edges.select("source").distinct()
     if only is not None:
         sources = (only.groupBy("source").agg(F.collect_list(F.struct(*k)).alias("_only")) if k else only)
-        edges = edges.join(sources, "source")
+        edges = edges.join(shuffled(sources), "source")
     none = F.lit(None).cast("double")
-    near = edges.join(at, edges["target"] == at["user_name"])
-    own = at.join(sources.withColumnRenamed("source", "user_name"), "user_name")
+    near = edges.join(shuffled(at), edges["target"] == at["user_name"])
+    own = at.join(shuffled(sources.withColumnRenamed("source", "user_name")), "user_name")
     if k and only is not None:      # the same struct of keys on both sides
         near, own = (x.withColumn("_ks", F.array_intersect("_ks", "_only")).filter(F.size("_ks") > 0)
                      for x in (near, own))
@@ -515,11 +515,12 @@ def propagate_once(edges: DataFrame, known: DataFrame, keys: Sequence[str] = (),
         if keys:
             raise ValueError("keep_unlocated needs a run without keys")
         if only is not None:
-            edges = edges.join(only, "source", "left_semi")
-        heard = edges.join(known.filter("lat is not null and lon is not null").select(
-            F.col("user_name").alias("target")), "target", "left_semi").select(F.col("source").alias("user_name"))
+            edges = edges.join(shuffled(only), "source", "left_semi")
+        heard = edges.join(shuffled(known.filter("lat is not null and lon is not null").select(
+            F.col("user_name").alias("target"))), "target", "left_semi").select(F.col("source").alias("user_name"))
         placed = heard.unionByName(known.filter("lat is not null and lon is not null").select("user_name"))
-        lost = edges.select(F.col("source").alias("user_name")).distinct().join(placed, "user_name", "left_anti")
+        lost = edges.select(F.col("source").alias("user_name")).distinct().join(
+            shuffled(placed), "user_name", "left_anti")
         none = F.lit(None)
         out = out.unionByName(lost.select("user_name", none.cast("double").alias("lat"),
                                           none.cast("double").alias("lon"),
@@ -542,8 +543,8 @@ def affected_sources(edges: DataFrame, changed: DataFrame, keys: Sequence[str] =
     user once, not once per key."""
     k = list(keys)
     who = changed.groupBy("user_name").agg(F.collect_list(F.struct(*k)).alias("_ks")) if k else changed
-    near = edges.join(who.withColumnRenamed("user_name", "target"), "target").drop("target", "weight")
-    own = edges.select("source").distinct().join(who.withColumnRenamed("user_name", "source"), "source")
+    near = edges.join(shuffled(who.withColumnRenamed("user_name", "target")), "target").drop("target", "weight")
+    own = edges.select("source").distinct().join(shuffled(who.withColumnRenamed("user_name", "source")), "source")
     both = near.select("source", *(["_ks"] if k else [])).unionByName(own)
     if k:
         both = both.select("source", F.explode("_ks").alias("_k")).select("_k.*", "source")
@@ -574,7 +575,8 @@ def propagate(edges: DataFrame, known: DataFrame, rounds: int = 5, keys: Sequenc
         if i > 1 and (only is None or not only.isEmpty()):
             only = store(affected_sources(edges, changed_users(before, cur, keys), keys), "affected")
             new = propagate_once(edges, cur, keys, weighted, max_dispersion_km, keep_unlocated, tile, only)
-            same = join_null_safe(cur, only.withColumnRenamed("source", "user_name"), [*keys, "user_name"], "left_anti")
+            same = join_null_safe(cur, shuffled(only.withColumnRenamed("source", "user_name")), [*keys, "user_name"],
+                                  "left_anti")
             before, cur = cur, store(same.select(*cols).unionByName(new.select(*cols)), "known")
         if sizes is not None:
             sizes.append(cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("known"))

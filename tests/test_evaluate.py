@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from geotrail import session
 from geotrail.operators import evaluate, mobility
 from geotrail.operators.skew import group_median
 
@@ -82,3 +83,22 @@ def test_stage_counts_exact_and_approx(spark):
     approx = mobility.stage_counts([("all", df)], approx=True).collect()[0]
     assert (exact["posts"], exact["users"]) == (1000, 100)
     assert abs(approx["posts"] - 1000) <= 30 and abs(approx["users"] - 100) <= 3
+
+
+def test_holdout_joins_do_not_pass_tables_through_the_driver(spark):
+    users = [f"u{i}" for i in range(40)]
+    edges = spark.createDataFrame([(a, b, 1) for i, a in enumerate(users) for b in users[max(i - 2, 0):i] + users[i + 1:i + 3]],
+                                  "source string, target string, weight long")
+    truth = spark.createDataFrame([(u, 48.0 + i / 100, 2.0, "p") for i, u in enumerate(users)],
+                                  "user_name string, lat double, lon double, user_location string")
+    plans = []
+    session.STORE_LISTENERS.append(note := lambda df, name: plans.append((name, df._jdf.queryExecution().toString())))
+    try:
+        sample, final = evaluate.holdout_run(session.store(edges), session.store(truth), truth, 3, 3)
+        errors = evaluate.holdout_errors(sample, final)
+        assert errors.count() > 0
+        plans.append(("errors", errors._jdf.queryExecution().toString()))
+    finally:
+        session.STORE_LISTENERS.remove(note)
+    assert {"affected", "known", "points", "errors"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "BroadcastHashJoin" in plan] == []
