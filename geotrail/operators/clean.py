@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.geo import haversine_km, cosine_distance_km
 from geotrail.functions.text import parse_epoch, parse_post_time, safe_speed
-from geotrail.operators.skew import lag_in_order
+from geotrail.operators.skew import lag_in_order, shuffled
 
 # Fixed value of the reference: the 39 country codes whose posters are kept
 # (its own spelling, with EL and UK).
@@ -145,7 +145,7 @@ def assemble_posts_b(users: DataFrame, media: DataFrame | Sequence[DataFrame],
         media = batches[0]
         for b in batches[1:]:
             media = media.unionByName(b)
-    x = users.join(media, "user_id", "inner")
+    x = shuffled(users).join(media, "user_id", "inner")
     return x.join(locations, "location_id", "inner")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.functions.text import place_label
+from geotrail.operators.skew import shuffled
 
 
 def normalise_url(c) -> F.Column:
@@ -21,14 +22,14 @@ def link_accounts(posts_b: DataFrame, posts_a: DataFrame, normalise: bool = Fals
     if normalise:
         b, a = b.withColumn("_u", normalise_url(F.col("_u"))), a.withColumn("_u", normalise_url(F.col("_u")))
     # a URL posted many times on either side joins once per account
-    return b.distinct().join(a.distinct(), "_u").select("user_id", "user_name", "user_location").distinct()
+    return b.distinct().join(shuffled(a.distinct()), "_u").select("user_id", "user_name", "user_location").distinct()
 
 
 def cross_source_posts(posts_b: DataFrame, links: DataFrame) -> DataFrame:
     """All B posts of linked B users in source-A shape (renamed to the A
     user's name), whole-row distinct."""
     l = links.select("user_id", "user_name").distinct()
-    x = posts_b.drop("user_name").join(l, "user_id", "inner")
+    x = posts_b.drop("user_name").join(shuffled(l), "user_id", "inner")
     return x.select("user_name", "media_id", "followers_count", "lat", "lon",
                     F.col("city_name").alias("place_name"), F.col("country_id").alias("country_code")).distinct()
 
@@ -38,7 +39,7 @@ def home_candidates_both(cands_a: DataFrame, cross: DataFrame, min_posts: int =
     ``min_posts`` distinct posts (no upper bound for B)."""
     users = cross.groupBy("user_name").agg(F.count_distinct("media_id").alias("_n")) \
         .filter(F.col("_n") >= min_posts).select("user_name")
-    b = cross.join(users, "user_name", "left_semi").select(
+    b = cross.join(shuffled(users), "user_name", "left_semi").select(
         "user_name", "media_id", "followers_count", "lat", "lon",
         place_label(F.col("place_name"), F.col("country_code")).alias("place_location"))
     return cands_a.select("user_name", "media_id", "followers_count", "lat", "lon", "place_location").unionByName(b)
