@@ -2,7 +2,8 @@
 
 A score is the sum of partial scores, one per slice of the components; each
 (slice, block of rows) holds one local list. All phases run over pairs of a
-block of queries and a block of rows:
+block of queries and a block of rows, in tiles of neighbouring blocks: a block is
+sent once for a tile, and a tile returns at most k entries a query:
 
 1. every block sums the first rows of its lists, which are those with the longest
    vectors, and gives the best few for each query. The k-th largest sum gathered for
@@ -14,7 +15,8 @@ block of queries and a block of rows:
 3. only these entries are summed exactly, and those that reach the cutoff, at most
    k a block, are ranked.
 
-Phase 1 scores HEAD rows of a block, phase 2 every open list once, phase 3 single pairs.
+Phase 1 is sent and scores HEAD rows of a block, phase 2 every open list once, phase 3
+single pairs.
 
 Scores are integers and stay exact: in 32-bit floats up to 2^24, else in 64-bit
 floats up to 2^53, else in Python's integers.
@@ -37,6 +39,10 @@ ROWS = 4096         # rows in a block
 QUERIES = 1024      # queries in a block
 SLICES = 2
 HEAD = 64           # rows of a block that phase 1 scores
+TILES_PER_TASK = 4  # tiles of block pairs for each core
+TILE_BYTES = 1 << 26    # of a tile's rows, and of its queries with what they find
+ENTRY_BYTES = 40    # of an entry found
+HELD = 1 << 20      # entries of a query block after which only the best k a query are held on
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -45,10 +51,17 @@ def whole_components(flat: np.ndarray, scale: float) -> np.ndarray:
     return np.floor(scale * flat.astype(np.float64))
 
 
-BLOCK_SCHEMA = "d int, block long, n int, ids binary, small boolean, values binary"
+BLOCK = ("n", "ids", "small", "values")
+BLOCK_SCHEMA = ("d int, block long, n int, ids binary, small boolean, values binary, "
+                "head_n int, head_ids binary, head_values binary")
 
 
-def _block(scale: float):
+def _longest(squares: np.ndarray, n: int) -> np.ndarray:
+    """Positions, ascending, of the n longest vectors by their squared lengths."""
+    return np.arange(len(squares)) if len(squares) <= n else np.sort(np.argpartition(-squares, n - 1)[:n])
+
+
+def _block(scale: float, head: int):
     def pack(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         d = table["d"][0].as_py()
@@ -56,30 +69,93 @@ def _block(scale: float):
         flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         values = whole_components(flat.reshape(-1, d)[order], scale)
         small = bool(np.abs(values).max(initial=0) < 1 << 15)
+        ids, kind = table["id"].to_numpy()[order].astype("<i8"), "<i2" if small else "<f8"
+        first = _longest(np.square(values).sum(axis=1), head)
         return pa.table({
             "d": pa.array([d], pa.int32()), "block": pa.array([table["block"][0].as_py()], pa.int64()),
-            "n": pa.array([len(values)], pa.int32()), "ids": [table["id"].to_numpy()[order].astype("<i8").tobytes()],
-            "small": [small], "values": [values.astype("<i2" if small else "<f8").tobytes()]})
+            "n": pa.array([len(values)], pa.int32()), "ids": [ids.tobytes()],
+            "small": [small], "values": [values.astype(kind).tobytes()],
+            "head_n": pa.array([len(first)], pa.int32()), "head_ids": [ids[first].tobytes()],
+            "head_values": [values[first].astype(kind).tobytes()]})
     return pack
 
 
-def _blocks(rows: DataFrame, size: int, scale: float) -> tuple[DataFrame, int]:
-    """(id, vec) -> blocks of about ``size`` rows, dealt by hash."""
-    n = max(1, math.ceil(rows.count() / size))
-    keyed = rows.select("id", "vec", F.size("vec").alias("d"),
+def _blocks(rows: DataFrame, size: int, scale: float, head: int = 0) -> tuple[DataFrame, int]:
+    """(id, vec) -> blocks of about ``size`` different rows, dealt by hash, and their ``head`` longest rows."""
+    # counted by hash: the number of blocks is all that follows, and the vectors are not shuffled for it
+    n = max(1, math.ceil(rows.select(F.xxhash64("id", "vec")).distinct().count() / size))
+    keyed = rows.distinct().select("id", "vec", F.size("vec").alias("d"),
                         F.pmod(F.xxhash64("id", "vec"), F.lit(n)).alias("block"))
-    return store(keyed.groupBy("d", "block").applyInArrow(_block(scale), BLOCK_SCHEMA), "blocks"), n
-
-
-def _pairs(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int) -> DataFrame:
-    """Every query block next to every row block of the same vector length."""
-    names = ("n", "ids", "small", "values")
-    q = queries.select("d", F.col("block").alias("qb"), *[F.col(c).alias(f"q_{c}") for c in names],
-                       *[c for c in queries.columns if c == "cutoffs"],
-                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("rb"))
-    r = rows.select("d", F.col("block").alias("rb"), *[F.col(c).alias(f"r_{c}") for c in names],
-                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))).alias("qb"))
-    return q.join(r, ["d", "qb", "rb"])
+    return store(keyed.groupBy("d", "block").applyInArrow(_block(scale, head), BLOCK_SCHEMA), "blocks"), n
+
+
+def _width(blocks: DataFrame) -> int:
+    """Bytes of the longest vector."""
+    return blocks.agg(F.max(F.col("d") * F.when(F.col("small"), 2).otherwise(8))).first()[0] or 1
+
+
+def _sides(n_queries: int, n_rows: int, query_bytes: int, row_bytes: int, tasks: int) -> tuple[int, int]:
+    """Query blocks and row blocks along the sides of a tile, from the bytes of a block.
+
+    A row block is sent once for each interval of queries, a query block and what it finds
+    once for each interval of rows: about TILES_PER_TASK tiles for every task that send the
+    least, and not more than TILE_BYTES on a side."""
+    tiles = TILES_PER_TASK * tasks
+    least_q, least_r = (math.ceil(n / max(1, TILE_BYTES // size))
+                        for n, size in ((n_queries, query_bytes), (n_rows, row_bytes)))
+    by_q = min(n_queries, max(least_q, round(math.sqrt(tiles * n_queries * query_bytes / (n_rows * row_bytes)))))
+    by_r = min(n_rows, max(least_r, math.ceil(tiles / by_q)))
+    by_q = min(n_queries, max(by_q, math.ceil(tiles / by_r)))
+    return math.ceil(n_queries / by_q), math.ceil(n_rows / by_r)
+
+
+def _best_entries(entries: pa.Table, k: int) -> pa.Table:
+    """The k best entries of each query of a block, ties to the smaller vec_id."""
+    q, score = entries["q"].to_numpy(), entries["score"].to_numpy()
+    keys = [-score if score.dtype.kind == "f" else ~score, q]       # the least long has no negative
+    if "vec_id" in entries.column_names:
+        keys.insert(0, entries["vec_id"].to_numpy())
+    order = np.lexsort(keys)
+    nth = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+    return entries.take(pa.array(order[nth < k]))
+
+
+def _tile(run, k: int, schema: pa.Schema):
+    """Every pair of a tile's blocks through ``run``; the k best entries of each query."""
+
+    def pair(q: pa.Table, r: pa.Table) -> pa.RecordBatch:
+        named = {c: t[c].combine_chunks() for t in (r, q) for c in t.column_names}
+        return pa.RecordBatch.from_arrays([*named.values()], names=[*named])
+
+    def tile(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [schema.empty_table()]
+        for i in range(queries.num_rows):
+            found, most = schema.empty_table(), HELD
+            for batch in run(pair(queries.slice(i, 1), rows.slice(j, 1)) for j in range(rows.num_rows)):
+                found = pa.concat_tables([found, pa.Table.from_batches([batch])])
+                if len(found) > most:
+                    found = _best_entries(found, k)
+                    most = max(HELD, 2 * len(found))
+            out.append(_best_entries(found, k))
+        return pa.concat_tables(out)
+    return tile
+
+
+def _tiled(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int, sides: tuple[int, int],
+           run, k: int, schema: pa.Schema, ddl: str) -> DataFrame:
+    """``run`` over every query block next to every row block of the same vector length."""
+    side_q, side_r = sides
+    by_q, by_r = math.ceil(n_queries / side_q), math.ceil(n_rows / side_r)
+    interval = lambda side: F.floor(F.col("block") / side).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = queries.select("d", interval(side_q).alias("tq"), every(by_r).alias("tr"), F.col("block").alias("qb"),
+                       *[F.col(c).alias(f"q_{c}") for c in BLOCK], *[c for c in queries.columns if c == "cutoffs"])
+    r = rows.select("d", every(by_q).alias("tq"), interval(side_r).alias("tr"), F.col("block").alias("rb"),
+                    *[F.col(c).alias(f"r_{c}") for c in BLOCK])
+    tile = ("d", "tq", "tr")
+    # a number of its own: tiles are few and small, but long work
+    q, r = (x.repartition(2 * by_q * by_r, *tile).groupBy(*tile) for x in (q, r))
+    return q.cogroup(r).applyInArrow(_tile(run, k, schema), ddl)
 
 
 class Lists:
@@ -119,8 +195,7 @@ class Lists:
 
     def head(self, n: int) -> np.ndarray:
         """Rows with the longest vectors."""
-        whole = (self.r_len ** 2).sum(axis=1)
-        return np.arange(len(whole)) if len(whole) <= n else np.sort(np.argpartition(-whole, n - 1)[:n])
+        return _longest((self.r_len ** 2).sum(axis=1), n)
 
 
 def _as_long(scores) -> pa.Array:
@@ -234,20 +309,24 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, scale: floa
     def rows(df):
         vec = F.col(f"`{vec_col}`")
         return (df.select(F.col(f"`{id_col}`").cast("long").alias("id"), vec.alias("vec"))
-                .filter(F.col("id").isNotNull() & usable(F.col("vec"))).distinct())
+                .filter(F.col("id").isNotNull() & usable(F.col("vec"))))
 
     q_blocks, nq = _blocks(rows(queries), QUERIES, scale)
-    r_blocks, nr = _blocks(rows(vectors), ROWS, scale)
+    r_blocks, nr = _blocks(rows(vectors), ROWS, scale, head=max(HEAD, k))
     few = max(1, min(k, math.ceil(2 * k / nr)))
-    gathered = _pairs(q_blocks, r_blocks, nq, nr).mapInArrow(_gather(slices, few),
-                                                             "d int, qb long, q int, score double")
+    tasks = r_blocks.sparkSession.sparkContext.defaultParallelism
+    q_bytes, r_width = QUERIES * (_width(q_blocks) + ENTRY_BYTES * k), _width(r_blocks)
+    heads = r_blocks.select("d", "block", "small", *[F.col(f"head_{c}").alias(c) for c in ("n", "ids", "values")])
+    gathered = _tiled(q_blocks, heads, nq, nr, _sides(nq, nr, q_bytes, max(HEAD, k) * r_width, tasks),
+                      _gather(slices, few), k, ENTRY, "d int, qb long, q int, score double")
     nth = Window.partitionBy("d", "qb", "q").orderBy(F.col("score").desc())
     cutoffs = (gathered.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") == k)
                .groupBy("d", F.col("qb").alias("block")).agg(
                    F.collect_list(F.struct("q", F.col("score").alias("cutoff"))).alias("cutoffs")))
-    ready = store(q_blocks.join(cutoffs, ["d", "block"], "left"), "queries")
-    found = _pairs(ready, r_blocks, nq, nr).mapInArrow(
-        _collect(slices, k), "query_id long, vec_id long, score long, q int, qb long, d int")
+    # without the hint Spark would broadcast one side, through the driver, while its compressed size seems small
+    ready = store(q_blocks.join(cutoffs.hint("merge"), ["d", "block"], "left"), "queries")
+    found = _tiled(ready, r_blocks, nq, nr, _sides(nq, nr, q_bytes, ROWS * r_width, tasks),
+                   _collect(slices, k), k, FOUND, "query_id long, vec_id long, score long, q int, qb long, d int")
     best = Window.partitionBy("d", "qb", "q").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

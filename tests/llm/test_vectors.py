@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from geotrail import session
 from geotrail.llm import embed_dedup, topk
 from geotrail.llm.embed_dedup import link_vectors
 from geotrail.llm.topk import exact_top_k
@@ -185,3 +186,50 @@ def test_phases_score_only_what_is_open(monkeypatch):
     for i in range(20):
         want = sorted([(-int(q[i] @ near[j]), 100 + j) for j in range(rows)] + [(-int(q[i] @ far[j]), 5000 + j) for j in range(rows)])
         assert sorted(best[i])[:k] == want[:k]
+
+
+def test_blocks_do_not_pass_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 16)
+    monkeypatch.setattr(topk, "QUERIES", 9)
+    df = spark.createDataFrame(vectors(3), "vec_id long, embedding array<float>")
+    plans = []
+    session.STORE_LISTENERS.append(note := lambda df, name: plans.append((name, df._jdf.queryExecution().toString())))
+    try:
+        got = exact_top_k(df.filter("vec_id % 5 = 0"), df, 5)
+        assert got.count() > 0
+        plans.append(("found", got._jdf.queryExecution().toString()))
+    finally:
+        session.STORE_LISTENERS.remove(note)
+    assert {"blocks", "queries", "found"} == {name for name, _ in plans}
+    assert [name for name, plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan] == []
+
+
+@pytest.mark.parametrize("size,held", [(1, 1 << 20), (30_000, 1), (1 << 26, 1)])
+def test_top_k_over_tiles_of_any_size(spark, monkeypatch, size, held):
+    for name, value in (("ROWS", 11), ("QUERIES", 9), ("TILE_BYTES", size), ("HELD", held), ("HEAD", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rows = vectors(5)
+    rows += [(1000 + i, rows[5][1]) for i in range(30)]             # ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = exact_top_k(df.filter("vec_id % 5 = 0"), df, 7).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, 7, 5)
+
+
+def test_tiles_send_a_block_few_times():
+    # query blocks, row blocks, their bytes, tasks: blocks sent stay far below one of each for every pair
+    side_q, side_r = topk._sides(31, 151, 950_000, 524_288, 6)
+    by_q, by_r = math.ceil(31 / side_q), math.ceil(151 / side_r)
+    assert 12 <= by_q * by_r <= 48 and 31 * by_r + 151 * by_q < 1000
+    side_q, side_r = topk._sides(752, 3755, 950_000, 524_288, 6)      # more rows: bounded by the bytes of a tile
+    assert side_q * 950_000 <= topk.TILE_BYTES and side_r * 524_288 <= topk.TILE_BYTES
+    assert topk._sides(1, 1, 10 ** 9, 10 ** 9, 100) == (1, 1)
+    assert topk._sides(3, 5, 10 ** 9, 10 ** 9, 1) == (1, 1)
+
+
+def test_best_entries_of_a_query():
+    least, most = topk.LONG
+    t = pa.table({"q": pa.array([1, 0, 1, 1, 0], pa.int32()), "score": pa.array([least, 5, most, most, 5], pa.int64()),
+                  "vec_id": pa.array([3, 9, 8, 2, 4], pa.int64())})
+    assert [tuple(r.values()) for r in topk._best_entries(t, 2).to_pylist()] == [(0, 5, 4), (0, 5, 9), (1, most, 2), (1, most, 8)]
+    assert topk._best_entries(t.drop(["vec_id"]), 1)["score"].to_pylist() == [5, most]
+    assert topk._best_entries(t.slice(0, 0), 3).num_rows == 0
